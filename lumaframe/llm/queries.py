@@ -8,10 +8,46 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaframe.llm import bpe, line_dedup, simhash
-from lumaframe.llm.common import table
+from lumaframe.llm import bpe, decontaminate, language, line_dedup, quality, quality_rules, simhash, token_count, toxicity
+from lumaframe.llm.common import fold, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    remainder = fold(F.col("doc_id"), 5)
+    found = quality.classify(table(spark, sf_dir, "documents"), labels, remainder > 0, threshold=0.3)
+    return found.select("doc_id", (~F.col("learn")).alias("held_out"), "score", "predicted")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) > 0).select("doc_id", F.col("toxic").alias("label"))
+    found = toxicity.scored(docs, toxicity.fit(docs, labels), (fold(F.col("doc_id"), 5) <= 0).alias("held_out"))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    remainder = fold(F.col("doc_id"), 3)
+    model = language.fit(docs.where((remainder >= 0) & (remainder != 1)).select("doc_id", "text", "lang"))
+    found = language.predicted(docs, model, (~((remainder >= 0) & (remainder != 1))).alias("held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(table(spark, sf_dir, "documents"), PIECES)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("contaminated", F.lit(True))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,9 +65,15 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_toxicity": op2_toxicity,
+    "op3_language": op3_language,
     "op5_line_dedup": op5_line_dedup,
+    "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
+    "op8_token_counts": op8_token_counts,
     "op9_bpe": op9_bpe,
+    "op10_decontamination": op10_decontamination,
 }
 
 SQL: dict[str, str] = {
