@@ -15,6 +15,8 @@ other than doc_id and text are not looked at. A key is identified by 128 bits of
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,23 +99,23 @@ def drop_positions(lines: DataFrame, keys: DataFrame) -> DataFrame:
     return hit.groupBy("doc_id", "body").agg(F.collect_set("pos").alias("dropped"))
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs with the columns _n_lines, _n_dropped and _kept (the text that stays)."""
+def without(docs: DataFrame, dropped: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The named columns of docs (all by default) with _n_lines, _n_dropped and _kept (the text that stays)."""
     gone = dropped.select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), F.col("dropped").alias("_dropped"))
-    lines = lines_of(F.col("text"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_dropped"))
-    kept = F.when(F.col("_dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_body")), "left")
+    lines = lines_of(docs["text"])
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone["_dropped"])
+    kept = F.when(gone["_dropped"].isNull(), F.coalesce(docs["text"], F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_body"]), "left")
     return joined.select(
-        *[joined[c] for c in docs.columns],
+        *[docs[c] for c in (docs.columns if columns is None else columns)],
         F.size(lines).cast("long").alias("_n_lines"),
-        F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("_n_dropped"),
+        F.coalesce(F.size(gone["_dropped"]), F.lit(0)).cast("long").alias("_n_dropped"),
         kept.alias("_kept"),
     )
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 2, fanout: int = 2) -> DataFrame:
-    """docs (doc_id, text and any others) with _n_lines, _n_dropped and _kept.
+def common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 2, fanout: int = 2) -> DataFrame:
+    """(doc_id, body, dropped) for each text that loses lines.
 
     The corpus enters the runs in `batches` parts; a line goes when its key is in at least min_docs documents of all.
     """
@@ -127,13 +129,27 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     lines = parts[0]
     for part in parts[1:]:
         lines = lines.unionByName(part)
-    return without(docs, drop_positions(lines, keys))
+    return drop_positions(lines, keys)
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 2, fanout: int = 2) -> DataFrame:
+    """(doc_id, _n_lines, _n_dropped, _kept) of each row."""
+    return without(docs, common_lines(docs, min_docs, min_chars, batches, fanout), ["doc_id"])
+
+
+def clean(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 2, fanout: int = 2) -> DataFrame:
+    """docs with the lines taken out of text; a column n_chars follows the new text. Other columns stay as they are."""
+    mark = "_row_" + uuid.uuid4().hex
+    packed = docs.select("doc_id", "text", F.struct("*").alias(mark))
+    found = without(packed, common_lines(docs, min_docs, min_chars, batches, fanout), [mark])
+    new = {"text": F.col("_kept"), "n_chars": F.char_length("_kept").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return found.select(*[(new[c] if c in new else F.col(f"{mark}.`{c}`")).alias(c) for c in docs.columns])
 
 
 def dedup_batch(batch: DataFrame, runs: LineRuns, min_chars: int = 1) -> DataFrame:
     """One step of an endless corpus: loses the lines that earlier batches hold, then joins the runs itself."""
     lines = saved(hashed_lines(batch, min_chars), "lines")
     known = saved(runs.common(1).select("h1", "h2"), "known-lines")
-    out = without(batch, drop_positions(lines, known))
+    out = without(batch, drop_positions(lines, known))  # planned on tables that later runs do not touch
     runs.add(lines)
     return out

@@ -169,7 +169,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     Rows without a doc_id stay if their group has no id at all.
     """
     groups = near_groups(docs, shingle, max_bits)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    found = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    stay = saved(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "kept")
+    found = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
     body = "_body_" + uuid.uuid4().hex
     return found.withColumn(body, F.xxhash64("text")).dropDuplicates(["doc_id", body]).select(*docs.columns)
