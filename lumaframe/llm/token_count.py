@@ -64,9 +64,13 @@ class Counter:
         self.known: dict[str, tuple[int, float]] = {}
 
     def stretches(self, text: str) -> list[str]:
-        if "  " in text or MARK in text:
-            return self.cut(MARK + text.replace(" ", MARK))
-        return [MARK + w for w in text.split(" ")]
+        """Spaces become word marks; one is put in front unless the text starts with one."""
+        marked = text.replace(" ", MARK)
+        if marked[0] != MARK:
+            marked = MARK + marked
+        if MARK + MARK in marked:
+            return self.cut(marked)
+        return [MARK + w for w in marked[1:].split(MARK)]
 
     def one(self, stretch: str) -> tuple[int, float]:
         """(tokens, score) by a plain loop."""
