@@ -12,8 +12,8 @@ one in 170 bytes). An anchor owns a run of string starts; what these strings cov
 2. For grams with several different stretches one copy of each is cut out of its text. Suffixes (from the anchor on, and
    then the text before it, backwards) are range-partitioned by their leading bytes with sampled splitters; every bucket
    is sorted by multikey quicksort on eight-byte digits, and strings of neighbours with one gram are compared.
-3. Neighbours across a bucket's boundary have the gram of its first or last suffix: their strings are compared with those
-   of other buckets by hash.
+3. A string that repeats across a bucket's boundary leads, from its anchor on, the bucket's first or last suffix: such
+   strings are compared with those of other buckets by hash, packed into one row per bucket and part of the hashes.
 4. The runs of repeated strings meet the texts, and their bytes are taken out.
 
 A group of copies that holds a third of all rows is settled by partial aggregation in step 1. A passage in as many different
@@ -142,23 +142,37 @@ def multikey_quicksort(digits: np.ndarray, rows: np.ndarray | None = None) -> np
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def digits_of(data: list[bytes]) -> np.ndarray:
-    width = -(-max(map(len, data)) // 8) * 8
-    return np.frombuffer(b"".join(d.ljust(width, b"\0") for d in data), ">u8").reshape(len(data), -1).astype(np.uint64)
+def sort_keys(stretches: list[bytes], before: list[int]) -> np.ndarray:
+    """A row of bytes for each stretch: the suffix from its anchor on, filled up with zeros, then the text before it, backwards."""
+    wide, deep = max(len(s) - b for s, b in zip(stretches, before, strict=True)), max(before)
+    width = -(-(wide + deep) // 8) * 8
+    joined = b"".join((s[b:].ljust(wide, b"\0") + s[:b][::-1]).ljust(width, b"\0") for s, b in zip(stretches, before, strict=True))
+    return np.frombuffer(joined, np.uint8).reshape(len(stretches), width)
+
+
+def shared_lead(keys: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many bytes each row of keys shares with the row other from the start."""
+    different = keys != other
+    return np.where(different.any(axis=1), different.argmax(axis=1), keys.shape[1])
 
 
 def compare_bucket(stretches: list[bytes], before: np.ndarray, owned: np.ndarray, length: int):
     """Which strings of a bucket's stretches repeat in it.
 
     before: bytes of each stretch that precede its anchor; owned: string starts in each.
-    Returns the strings' (row, number in the row, hash, repeats here, in a group that touches the bucket's boundary, first of its kind).
+    Returns the strings' (row, number in the row, hash, repeats here, may repeat across the bucket's boundary). A string may repeat across
+    a boundary only if the part of it from the anchor on is also the lead of the bucket's first or last suffix; of equal ones one asks.
     """
     gram = min(GRAM, length)
-    order = multikey_quicksort(digits_of([s[b:] + s[:b][::-1] for s, b in zip(stretches, before.tolist(), strict=True)]))
-    heads = [stretches[r][before[r] : before[r] + gram] for r in order.tolist()]
-    new = np.r_[True, [a != b for a, b in zip(heads, heads[1:], strict=False)]].astype(bool)
+    keys = sort_keys(stretches, before.tolist())
+    order = multikey_quicksort(keys.view(">u8"))
+    new = np.r_[True, (keys[order[1:], :gram] != keys[order[:-1], :gram]).any(axis=1)]
     group = np.zeros(len(order), np.int64)
     group[order] = np.cumsum(new) - 1
+    reach = np.zeros(len(order), np.int64)
+    for outer, edge in ((0, order[0]), (int(group.max()), order[-1])):
+        own = (group == outer).nonzero()[0]
+        reach[own] = np.maximum(reach[own], shared_lead(keys[own], keys[edge]))
     base = np.cumsum([0, *map(len, stretches)])
     hashes = PrefixHash(np.frombuffer(b"".join(stretches), np.uint8))
     row = np.repeat(np.arange(len(stretches)), owned)
@@ -171,46 +185,79 @@ def compare_bucket(stretches: list[bytes], before: np.ndarray, owned: np.ndarray
     repeats, leads = np.zeros(len(row), bool), np.ones(len(row), bool)
     repeats[sort] = np.r_[False, same] | np.r_[same, False]
     leads[sort] = ~np.r_[False, same]
-    outer = (own == 0) | (own == own.max(initial=0))
-    return row, number, value, repeats, outer, leads
+    ask = leads & (reach[row] >= length - (before[row] - number))
+    return row, number, value, repeats, ask
+
 
+def runs_of(row: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Joins string starts that follow each other in a row (in order of row and start): (first place in the arrays, start, stop)."""
+    if not len(row):
+        return (np.zeros(0, np.int64),) * 3
+    new = np.r_[True, (np.diff(row) != 0) | (np.diff(start) != 1)].nonzero()[0]
+    last = np.r_[new[1:] - 1, len(row) - 1]
+    return new, start[new], start[last] + length
 
-def compared(cut: DataFrame, length: int) -> DataFrame:
+
+def compared(cut: DataFrame, length: int, parts: int) -> DataFrame:
     """Sorts the suffixes of cut (doc_id, body, gram, first, before, owned, settled, stretch) in buckets.
 
-    Returns (doc_id, body, start, stop, gram, value): repeated runs with value null, and strings to compare across boundaries with
-    their hash as value (stop is null where only others ask about them).
+    Returns rows (doc_id, body, start, stop) of repeated runs, with part null, and for each part of the hashes of strings to compare across
+    boundaries one row of arrays (doc_ids, bodies, starts, grams, values, open); open is false where the string is known to go.
     """
     kind = cut.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "body", "start", "stop", "part", "doc_ids", "bodies", "starts", "grams", "values", "open"]
 
     def run(batches):
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
-        whole = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        whole = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
         first, before, owned, settled = (whole.column(c).to_numpy(zero_copy_only=False) for c in ("first", "before", "owned", "settled"))
-        row, number, value, repeats, outer, leads = compare_bucket(whole.column("stretch").to_pylist(), before, owned, length)
-        done = repeats & ~settled[row]
-        edge = np.diff(np.r_[0, done.astype(np.int8), 0])
-        starts, stops = (edge == 1).nonzero()[0], (edge == -1).nonzero()[0] - 1
-        # a run ends where its row ends
-        inner = (np.diff(row) != 0).nonzero()[0]
-        inner = inner[done[inner] & done[np.minimum(inner + 1, len(row) - 1)]]
-        starts, stops = np.sort(np.r_[starts, inner + 1]), np.sort(np.r_[stops, inner])
-        ask = (outer & leads).nonzero()[0]
-        at = np.r_[starts, ask]
-        rows = pa.array(row[at])
-        begin = first[row[at]] + number[at]
-        open_ = np.r_[np.ones(len(starts), bool), ~(repeats | settled[row])[ask]]
-        stop = np.r_[first[row[stops]] + number[stops] + length, begin[len(starts) :] + length]
-        known = np.r_[np.zeros(len(starts), bool), np.ones(len(ask), bool)]
-        yield pa.RecordBatch.from_arrays(
-            [whole.column("doc_id").take(rows), whole.column("body").take(rows), pa.array(begin), pa.array(stop, mask=~open_), whole.column("gram").take(rows), pa.array(value[at].view(np.int64), mask=~known)],
-            names=["doc_id", "body", "start", "stop", "gram", "value"],
-        )
+        row, number, value, repeats, ask = compare_bucket(whole.column("stretch").to_pylist(), before, owned, length)
+        start = first[row] + number
+        done = (repeats & ~settled[row]).nonzero()[0]
+        at, begin, end = runs_of(row[done], start[done], length)
+        taken = pa.array(row[done][at])
+        ids, bodies, grams = whole.column("doc_id"), whole.column("body"), whole.column("gram")
+        empty = [pa.nulls(len(at), t) for t in (pa.int64(), pa.list_(ids.type), *[pa.list_(pa.int64())] * 4, pa.list_(pa.bool_()))]
+        yield pa.RecordBatch.from_arrays([ids.take(taken), bodies.take(taken), pa.array(begin), pa.array(end), *empty], names=names)
+        ask = ask.nonzero()[0]
+        part = (value[ask] % np.uint64(parts)).astype(np.int64)
+        ask = ask[part.argsort(kind="stable")]
+        some, sizes = np.unique(part, return_counts=True)
+        cuts = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+        rows = pa.array(row[ask])
+        lists = [ids.take(rows), bodies.take(rows), pa.array(start[ask]), grams.take(rows), pa.array(value[ask].view(np.int64)), pa.array(~(repeats | settled[row])[ask])]
+        none = [pa.nulls(len(some), t) for t in (ids.type, pa.int64(), pa.int64(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(some), *[pa.ListArray.from_arrays(cuts, x) for x in lists]], names=names)
 
     columns = ["doc_id", "body", "gram", "first", "before", "owned", "settled", "stretch"]
-    return cut.select(*columns).mapInArrow(run, f"doc_id {kind}, body long, start long, stop long, gram long, value long")
+    lists = f"doc_ids array<{kind}>, bodies array<long>, starts array<long>, grams array<long>, values array<long>, open array<boolean>"
+    return cut.select(*columns).mapInArrow(run, f"doc_id {kind}, body long, start long, stop long, part long, {lists}")
+
+
+def across(found: DataFrame, length: int, parts: int) -> DataFrame:
+    """(doc_id, body, start, stop): the open strings among the arrays of compared() that another bucket holds too."""
+    kind = found.schema["doc_id"].dataType.simpleString()
+    names = ["doc_ids", "bodies", "starts", "grams", "values", "open"]
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        whole = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+        ids, body, start, gram, value, open_ = (whole.column(c).flatten() for c in names)
+        body, start, gram, value, open_ = (x.to_numpy(zero_copy_only=False) for x in (body, start, gram, value, open_))
+        sort = np.lexsort((gram, value))
+        same = (value[sort][1:] == value[sort][:-1]) & (gram[sort][1:] == gram[sort][:-1])
+        met = np.zeros(len(value), bool)
+        met[sort] = np.r_[False, same] | np.r_[same, False]
+        rows = (met & open_).nonzero()[0]
+        rows = rows[np.lexsort((start[rows], body[rows]))]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(body[rows]), pa.array(start[rows]), pa.array(start[rows] + length)], names=["doc_id", "body", "start", "stop"])
+
+    asked = found.where("part is not null").select("part", *names).repartition(parts, "part").select(*names)
+    return asked.mapInArrow(run, f"doc_id {kind}, body long, start long, stop long")
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -255,11 +302,9 @@ def repeated_runs(docs: DataFrame, length: int = 400) -> DataFrame:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     suffix = F.expr("substring(stretch, cast(before as int) + 1)")
     behind = F.reverse(F.hex(F.expr("substring(stretch, 1, cast(before as int))")))
-    found = saved(compared(cut.repartitionByRange(buckets, suffix, behind), length), "compared")
-    asked = found.where("value is not null")
-    met = saved(asked.groupBy("gram", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "value"), "met")
-    across = asked.where("stop is not null").join(met, ["gram", "value"], "left_semi").select("doc_id", "body", "start", "stop")
-    return settled.unionByName(found.where("value is null").select("doc_id", "body", "start", "stop")).unionByName(across)
+    found = saved(compared(cut.repartitionByRange(buckets, suffix, behind), length, buckets), "compared")
+    inside = found.where("part is null").select("doc_id", "body", "start", "stop")
+    return settled.unionByName(inside).unionByName(across(found, length, buckets))
 
 
 def merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
