@@ -84,9 +84,9 @@ def marks_per_minute(events: DataFrame, late: str = "10 minutes") -> DataFrame:
 def burst_sessions(photos: DataFrame, late: str = "10 minutes") -> DataFrame:
     """(session_window, device, anchor_id, members); photos: ts in whole seconds, device, file_id.
 
-    A session ends where the next photo is three seconds away: steps of two whole seconds still belong to it.
+    Times are whole seconds, so a gap of two and a half seconds parts what is three away and keeps what is two away.
     """
-    return photos.withWatermark("ts", late).groupBy(F.session_window("ts", "3 seconds"), "device").agg(F.min("file_id").alias("anchor_id"), F.count(F.lit(1)).alias("members"))
+    return photos.withWatermark("ts", late).groupBy(F.session_window("ts", "2500 milliseconds"), "device").agg(F.min("file_id").alias("anchor_id"), F.count(F.lit(1)).alias("members"))
 
 
 def once_a_second(notes: DataFrame, late: str = "5 seconds") -> DataFrame:
