@@ -1,12 +1,14 @@
 """Duplicate files by perceptual hash.
 
 Members of one hash meet only its DUP_CANDIDATES + 1 smallest ids, so a hash that a third of all files share costs a row
-per file and candidate, never all pairs. Near hashes meet in an index of six slices of the 64 bits: within five differing
-bits at least one slice is equal. Equal hashes are one entry there, and pairs are between hashes, not files.
+per file and candidate, never all pairs. Near hashes meet in an index of slices of the 64 bits, some of which are equal
+within five differing bits. Equal hashes are one entry there, and pairs are between hashes, not files.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,27 +63,34 @@ def hash_groups(qc: DataFrame, files: DataFrame) -> DataFrame:
     return groups.where("files > 1")
 
 
-SLICES = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-
-
-def near_hashes(qc: DataFrame, most: int = S.MAX_HAMMING) -> DataFrame:
-    """(hash_a, hash_b, distance) of different hashes within `most` (at most 5) bits, hash_a < hash_b as text.
+def near_hashes(qc: DataFrame, most: int = S.MAX_HAMMING, bands: int = 7) -> DataFrame:
+    """(hash_a, hash_b, distance) of different hashes within `most` bits, hash_a < hash_b as text.
 
-    A pair is reported by the first slice it shares, so nothing has to be made distinct afterwards.
+    The 64 bits are cut into `bands` slices, of which at least bands - most are equal in such a pair. Hashes are posted under every
+    combination of that many slices; a pair is reported by the combination of its first equal slices, so nothing has to be made
+    distinct afterwards. With seven bands a posting is chosen by 18 bits, with eight by 24 (and 56 postings a hash instead of 21).
     """
+    edges = [64 * k // bands for k in range(bands + 1)]
+    cuts = [(at, stop - at) for at, stop in zip(edges, edges[1:], strict=False)]
     hashes = qc.select("dup_hash", V.hash_long(F.col("dup_hash")).alias("h")).where("h is not null").distinct()
-    bands = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("h", at).bitwiseAND((1 << n) - 1).alias("slice")) for k, (at, n) in enumerate(SLICES)])
-    posts = hashes.select("dup_hash", "h", F.explode(bands).alias("b")).select("dup_hash", "h", "b.band", "b.slice")
-    a = posts.select(F.col("dup_hash").alias("hash_a"), F.col("h").alias("ha"), "band", "slice")
-    b = posts.select(F.col("dup_hash").alias("hash_b"), F.col("h").alias("hb"), "band", "slice")
+
+    def slice_of(h: Column, k: int) -> Column:
+        at, n = cuts[k]
+        return F.shiftrightunsigned(h, at).bitwiseAND((1 << n) - 1)
+
+    def posting(combo: tuple[int, ...]) -> Column:
+        value = F.lit(0).cast("long")
+        for k in combo:
+            value = F.shiftleft(value, cuts[k][1]).bitwiseOR(slice_of(F.col("h"), k))
+        return F.struct(F.array(*map(F.lit, combo)).alias("combo"), value.alias("value"))
+
+    posts = hashes.select("dup_hash", "h", F.explode(F.array(*map(posting, combinations(range(bands), bands - most)))).alias("p")).select("dup_hash", "h", "p.combo", "p.value")
+    a = posts.select(F.col("dup_hash").alias("hash_a"), F.col("h").alias("ha"), "combo", "value")
+    b = posts.select(F.col("dup_hash").alias("hash_b"), F.col("h").alias("hb"), "combo", "value")
     different = F.col("ha").bitwiseXOR(F.col("hb"))
-    earlier = F.lit(False)
-    first = F.lit(True)
-    for k, (at, n) in enumerate(SLICES):
-        first = F.when(F.col("band") == k, ~earlier).otherwise(first)
-        earlier = earlier | (F.shiftrightunsigned(different, at).bitwiseAND((1 << n) - 1) == 0)
-    pairs = a.join(b, ["band", "slice"]).where("hash_a < hash_b").where((F.bit_count(different) <= most) & first)
-    return pairs.select("hash_a", "hash_b", F.bit_count(different).alias("distance"))
+    equal = F.filter(F.array(*[F.when(slice_of(different, k) == 0, F.lit(k)) for k in range(bands)]), lambda k: k.isNotNull())
+    pairs = a.join(b, ["combo", "value"]).where("hash_a < hash_b").where(F.bit_count(different) <= most)
+    return pairs.where(F.slice(equal, 1, bands - most) == F.col("combo")).select("hash_a", "hash_b", F.bit_count(different).alias("distance"))
 
 
 def near_pairs(qc: DataFrame, most: int = S.MAX_HAMMING) -> DataFrame:

@@ -21,6 +21,11 @@ def with_marks(files: DataFrame, reviews: DataFrame, qc: DataFrame | None = None
     return out.select(*columns)
 
 
+def lookup(marked: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of with_marks() whose id is in ids (id)."""
+    return marked.join(ids.select("id").distinct(), "id", "left_semi")
+
+
 FILTERS = {
     "all": F.lit,
     "keep": lambda _: F.col("decision") == S.KEEP,

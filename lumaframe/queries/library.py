@@ -102,6 +102,13 @@ def page_with_parent(v):
     return review.page_with_parent(review.with_marks(files, v("review")), folders, 1002).select("id", "from_parent")
 
 
+@query("file review decision_event", """
+    SELECT f.id, f.name, coalesce(r.decision, 0) AS decision FROM file f LEFT JOIN review r ON r.file_id = f.id WHERE f.id IN (SELECT file_id FROM decision_event)""")
+def file_lookup(v):
+    ids = v("decision_event").select(F.col("file_id").alias("id"))
+    return review.lookup(review.with_marks(v("file"), v("review")), ids).select("id", "name", "decision")
+
+
 @query("file", """
     SELECT 'videos' AS list, id FROM file WHERE kind = 2 UNION ALL SELECT 'folder_images', id FROM file WHERE kind = 1 AND folder_id = 1001 AND present = 1
     UNION ALL SELECT 'media', id FROM file WHERE kind IN (1, 2) AND present = 1""")

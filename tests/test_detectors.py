@@ -151,8 +151,9 @@ def test_near_hashes_are_all_pairs_within_five_bits(spark):
     hashes = {b ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 5), replace=False)) for b in base for _ in range(8)}
     qc = qc_rows(spark, [(k, 0, h, "", "", []) for k, h in enumerate(hashes)])
     want = {(f"{a:016x}", f"{b:016x}") for a in hashes for b in hashes if f"{a:016x}" < f"{b:016x}" and bin(a ^ b).count("1") <= 5}
-    got = [(r["hash_a"], r["hash_b"]) for r in dedup.near_hashes(qc).collect()]
-    assert set(got) == want and len(got) == len(want)
+    for bands in (6, 7, 8):
+        got = [(r["hash_a"], r["hash_b"]) for r in dedup.near_hashes(qc, bands=bands).collect()]
+        assert set(got) == want and len(got) == len(want)
 
 
 def test_upsert_and_quantile_sketch(spark):
