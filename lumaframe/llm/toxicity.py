@@ -1,6 +1,6 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-The features are densities of lexicon words (a fixed list and words learnt from labelled texts), second-person words near
+The features are densities of lexicon words (a fixed list and words learnt from labelled texts), their stems, second-person words near
 them, capitals, punctuation and obfuscated spellings. Learning uses about `max_fit_rows` labelled documents, drawn by a hash of
 the id (all of them if there are fewer): their words are counted by Spark to extend the lexicon, their features go to the
 driver, where trees of a few leaves are fitted to binned values; a quarter of the sample, which the trees have not seen,
@@ -18,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumaframe.llm.common import as_bytes, slices
+from lumaframe.llm.common import as_bytes, saved, slices
 
 # Insults and second-person words that the lexicon starts with.
 INSULTS = """
 idiot idiots moron morons stupid dumb clown loser losers scum trash garbage pathetic worthless disgusting disgrace
-ugly hate hateful fool fools imbecile jerk vermin filth filthy coward liar creep freak pig rat worm kill die shut
+ugly hateful fool fools imbecile jerk vermin filth filthy coward creep freak
 idiota estupido estupida imbecil basura asqueroso payaso escoria inutil
-idiote stupide cretin ordure minable debile degoutant nul salaud
-dummkopf trottel abschaum widerlich wertlos erbarmlich dumm mull
+idiote stupide cretin ordure minable debile degoutant salaud
+dummkopf trottel abschaum widerlich wertlos erbarmlich dumm
 """
 SECOND_PERSON = "you your yours yourself ur u tu te toi ton ta tes vous votre vos du dich dir dein deine ihr euch tus usted ustedes vosotros"
 PUNCTUATION = bytes(32 if b < 0x80 and not chr(b).isalnum() else b for b in range(256))
@@ -35,19 +35,22 @@ SIGNS = bytes.maketrans(b"013457@$!", b"oieastasi")
 KEPT_SIGNS = bytes(32 if b < 0x80 and not chr(b).isalnum() and chr(b) not in "@$!" else b for b in range(256))
 DIGITS_AND_SIGNS = frozenset(b"013457@$!")
 NEAR = 5
+#: Bytes at the start of a word that are learnt as a stem, for words that vary at their ends.
+STEMS = (6, 8)
 FEATURES = [
-    "lexicon", "lexicon_count", "lexicon_distinct", "learnt", "learnt_count", "learnt_distinct", "second_person", "second_person_near",
+    "lexicon", "lexicon_count", "lexicon_distinct", "learnt", "learnt_count", "learnt_distinct", "stems", "stem_count", "second_person", "second_person_near",
     "capitals", "capital_words", "exclamations", "questions", "punctuation", "obfuscated", "obfuscated_lexicon", "words",
 ]
 
 
-def features(text: bytes, lexicon: frozenset[bytes], learnt: frozenset[bytes], second: frozenset[bytes]) -> list[float]:
+def features(text: bytes, lexicon: frozenset[bytes], learnt: frozenset[bytes], stems: tuple[frozenset[bytes], ...], second: frozenset[bytes]) -> list[float]:
     counts = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     small = text.lower()
     words = small.translate(PUNCTUATION).split()
     n = max(len(words), 1)
     hits = [w for w in words if w in lexicon]
     more = [w for w in words if w in learnt]
+    stemmed = [w for w in words if any(w[:k] in own for k, own in zip(STEMS, stems))] if any(stems) else []
     persons = sum(map(second.__contains__, words))
     near = 0
     if persons and (hits or more):
@@ -71,6 +74,7 @@ def features(text: bytes, lexicon: frozenset[bytes], learnt: frozenset[bytes], s
     return [
         len(hits) / n, np.log1p(len(hits)), len(set(hits)),
         len(more) / n, np.log1p(len(more)), len(set(more)),
+        len(stemmed) / n, np.log1p(len(stemmed)),
         persons / n, near,
         upper / letters, sum(map(bytes.isupper, text.split())) / n,
         counts[33] / n, counts[63] / n, marks / n,
@@ -146,13 +150,13 @@ def isotonic(value: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, learnt: frozenset[bytes] = frozenset()):
+    def __init__(self, learnt: frozenset[bytes] = frozenset(), stems: tuple[frozenset[bytes], ...] = (frozenset(),) * len(STEMS)):
         self.lexicon = frozenset(w.encode() for w in INSULTS.split())
         self.second = frozenset(w.encode() for w in SECOND_PERSON.split())
-        self.learnt, self.constant, self.trees, self.knots = learnt, 0.0, None, None
+        self.learnt, self.stems, self.constant, self.trees, self.knots = learnt, stems, 0.0, None, None
 
     def table(self, texts: list[bytes]) -> np.ndarray:
-        return np.array([features(t, self.lexicon, self.learnt, self.second) for t in texts], float).reshape(-1, len(FEATURES))
+        return np.array([features(t, self.lexicon, self.learnt, self.stems, self.second) for t in texts], float).reshape(-1, len(FEATURES))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.trees is None:
@@ -160,19 +164,43 @@ class Model:
         return np.interp(self.trees.margin(x), *self.knots)
 
 
-def learnt_words(sample: DataFrame, share: float, least_docs: int = 5, size: int = 300) -> frozenset[bytes]:
-    """The words most over-represented in texts with label 1: counted per document by Spark, the `size` best taken."""
+def learnt_units(sample: DataFrame, share: float, least_docs: int = 5, size: int = 500) -> list[frozenset[bytes]]:
+    """The words, and the stems of each length in STEMS, most over-represented in texts with label 1.
+
+    Tasks count in how many of their texts each occurs, Spark adds up, and the `size` best of each kind are taken.
+    """
+    kinds = (0, *STEMS)
 
     def run(batches):
-        for part in slices(batches):
-            words = [set(t.lower().translate(PUNCTUATION).split()) for t in as_bytes(part)]
-            label = np.repeat(part.column("label").to_numpy(), [len(w) for w in words])
-            yield pa.RecordBatch.from_arrays([pa.array([x for w in words for x in w], pa.binary()), pa.array(label)], names=["word", "label"])
+        counts: dict[tuple[int, bytes], list[int]] = {}
 
-    counts = sample.select("text", "label").mapInArrow(run, "word binary, label long").groupBy("word").agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n"))
+        def rows():
+            keys = [*counts]
+            n = np.array([counts[k] for k in keys], np.int64).reshape(-1, 2)
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.binary()), pa.array(n[:, 0]), pa.array(n[:, 1])], names=["kind", "unit", "toxic", "n"])
+
+        for part in slices(batches):
+            for text, label in zip(as_bytes(part), part.column("label").to_pylist(), strict=True):
+                words = set(text.lower().translate(PUNCTUATION).split())
+                units = {(0, w) for w in words}
+                for k in STEMS:
+                    units.update((k, w[:k]) for w in words if len(w) >= k)
+                for u in units:
+                    own = counts.get(u)
+                    if own is None:
+                        counts[u] = [label, 1]
+                    else:
+                        own[0] += label
+                        own[1] += 1
+            if len(counts) > 200_000:
+                yield rows()
+        yield rows()
+
+    counts = sample.select("text", "label").mapInArrow(run, "kind long, unit binary, toxic long, n long").groupBy("kind", "unit").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
     rate = (F.col("toxic") + 5 * share) / (F.col("n") + 5)
-    best = counts.where((F.col("toxic") >= least_docs) & (rate > 0.6)).orderBy(F.desc(rate), F.desc("n"), "word").limit(size)
-    return frozenset(bytes(r["word"]) for r in best.collect())
+    good = saved(counts.where((F.col("toxic") >= least_docs) & (rate > 0.6)).withColumn("rate", rate), "toxic-units")
+    return [frozenset(bytes(r["unit"]) for r in good.where(F.col("kind") == k).orderBy(F.desc("rate"), F.desc("n"), "unit").limit(size).collect()) for k in kinds]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 20_000) -> Model:
@@ -183,7 +211,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 20_000) -> Model
         return Model()
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, max_fit_rows / n))))
     sample = docs.select("doc_id", "text").join(drawn, "doc_id")
-    model = Model(learnt_words(sample, ones / n))
+    learnt, *stems = learnt_units(sample, ones / n)
+    model = Model(learnt, tuple(stems))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
