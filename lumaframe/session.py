@@ -1,10 +1,14 @@
-"""Cutting lineage."""
+"""Cutting lineage, and the package for workers."""
 
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_shipped: set[str] = set()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -13,3 +17,17 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers once per application, wherever the driver was started."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
