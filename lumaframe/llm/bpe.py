@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from lumaframe.llm.common import slices
 
-CACHE = 300_000
+CACHE = 120_000
 # Letters and numbers that Unicode assigned after version 16, which the tokenizer takes for symbols.
 LATER_LETTERS = """
 0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959
@@ -38,7 +38,7 @@ LATER_LETTERS = """
 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
 """
 #: Bytes of text whose new words share an index.
-INDEX_BYTES = 8 << 20
+INDEX_BYTES = 2 << 20
 
 
 def byte_letters() -> list[str]:
