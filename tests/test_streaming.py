@@ -3,7 +3,6 @@
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
-import pytest
 from pyspark.sql import functions as F
 
 from lumaframe import schemas as S
