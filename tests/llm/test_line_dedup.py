@@ -1,6 +1,5 @@
 import re
 from collections import Counter, defaultdict
-from hashlib import sha256
 
 from lumaframe.llm import line_dedup
 
