@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 20_000) -> Model
     if not n:
         return Model()
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, max_fit_rows / n))))
-    sample = docs.select("doc_id", "text").join(drawn, "doc_id")
+    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # about max_fit_rows pairs of numbers
     learnt, *stems = learnt_units(sample, ones / n)
     model = Model(learnt, tuple(stems))
     shared = docs.sparkSession.sparkContext.broadcast(model)
