@@ -33,7 +33,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.saved_at = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables of saved() that nothing will read any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.saved_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +72,3 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
 def as_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The texts as UTF-8; null as empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
-
-
-def rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)

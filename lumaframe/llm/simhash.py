@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lumaframe.llm.common import as_bytes, saved, slices
+from lumaframe.llm.common import as_bytes, forget, saved, slices
 
 MAX_POSTING = 64
 #: Shingles whose bits are counted at once.
@@ -56,15 +56,15 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, body, fp): fp is the fingerprint as a signed long, body a hash of the text."""
     typed = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for part in slices(batches):
             fps = np.array([fingerprint(t, shingle) for t in as_bytes(part)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("body"), pa.array(fps)], names=["doc_id", "body", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {typed}, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("body"), "text").mapInArrow(run, f"doc_id {typed}, body long, fp long")
 
 
 def shared_bytes(a: Column, b: Column) -> Column:
@@ -113,6 +113,8 @@ def near_links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
         links = links.unionByName(neighbour_links(long))
     else:
         links = links.unionByName(neighbour_links(long).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
+    links = saved(links, "links")
+    forget(posts, sizes)
     return links
 
 
@@ -134,7 +136,9 @@ def components(links: DataFrame) -> DataFrame:
             found = found.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             found = found.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        return found.where("a <> b").distinct()
+        found = saved(found.where("a <> b").distinct(), "edges")
+        forget(least)
+        return found
 
     def mark(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -142,8 +146,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = mark(edges)
     while before[0]:
-        edges = saved(star(both(edges), True), "edges")
-        edges = saved(star(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), False), "edges")
+        wide = star(both(edges), True)
+        forget(edges)
+        edges = star(wide.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), False)
+        forget(wide)
         if (now := mark(edges)) == before:
             break
         before = now
@@ -151,7 +157,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs."""
+    """(doc_id, body, fp, component_id) for each row of docs."""
     prints = saved(fingerprints(docs, shingle), "fingerprints")
     classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
     links = near_links(classes.select("fp"), max_bits)
@@ -166,10 +172,20 @@ def near_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFra
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """docs with one document of each group: the one whose doc_id names it; of rows with equal id and text, one.
 
-    Rows without a doc_id stay if their group has no id at all.
+    Rows without a doc_id stay, one of each text, if their group has no id at all. The texts move once, to meet the ids that stay;
+    only if ids repeat or are missing the rows concerned are looked at again.
     """
-    groups = near_groups(docs, shingle, max_bits)
-    stay = saved(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "kept")
-    found = docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
-    body = "_body_" + uuid.uuid4().hex
-    return found.withColumn(body, F.xxhash64("text")).dropDuplicates(["doc_id", body]).select(*docs.columns)
+    groups = saved(near_groups(docs, shingle, max_bits), "groups")
+    mark = "_body_" + uuid.uuid4().hex
+    stay = saved(groups.where("doc_id = component_id").groupBy("doc_id", F.col("body").alias(mark)).agg(F.count(F.lit(1)).alias("n")), "kept")
+    found = docs.withColumn(mark, F.xxhash64("text")).join(stay.drop("n"), ["doc_id", mark], "left_semi").select(*docs.columns, mark)
+    if not stay.where("n > 1").isEmpty():
+        again = stay.where("n > 1").drop("n")
+        several = found.join(again, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
+        found = found.join(again, ["doc_id", mark], "left_anti").select(*docs.columns).unionByName(several.select(*docs.columns))
+    found = found.select(*docs.columns)
+    nameless = groups.where("component_id is null").select(F.col("body").alias(mark)).distinct()
+    if not nameless.isEmpty():
+        alone = docs.where(docs["doc_id"].isNull()).withColumn(mark, F.xxhash64("text")).join(nameless, mark, "left_semi").dropDuplicates([mark])
+        found = found.unionByName(alone.select(*docs.columns))
+    return found

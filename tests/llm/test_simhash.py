@@ -61,3 +61,9 @@ def test_keep_one(odd_docs, no_docs):
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(3) == 1 and 0 in ids and not set(range(100, 112)) & set(ids)
     assert simhash.keep_one(no_docs).count() == 0 and simhash.near_groups(no_docs).count() == 0
+
+
+def test_rows_without_ids(spark):
+    rows = [(None, "alone here with no id"), (None, "alone here with no id"), (None, "a text that has an id"), (4, "a text that has an id"), (5, "one more text of its own"), (5, "one more text of its own"), (5, "same id but another text"), (5, "a text that has an id")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[0], rows[3], rows[4], rows[6]], key=repr)
