@@ -9,15 +9,16 @@ one in 170 bytes). An anchor owns a run of string starts; what these strings cov
 
 1. A pass over the texts writes one row of hashes per anchor. Anchors whose leading bytes (the gram) occur once are done.
    If the whole stretch occurs twice, all strings that the anchor owns repeat.
-2. For grams with several different stretches one copy of each is cut out of its text. Suffixes (from the anchor on, and
-   then the text before it, backwards) are range-partitioned by their leading bytes with sampled splitters; every bucket
-   is sorted by multikey quicksort on eight-byte digits, and strings of neighbours with one gram are compared.
-3. A string that repeats across a bucket's boundary leads, from its anchor on, the bucket's first or last suffix: such
-   strings are compared with those of other buckets by hash, packed into one row per bucket and part of the hashes.
+2. For grams with several different stretches one copy of each is cut out of its text. Suffixes are range-partitioned by their leading bytes
+   with sampled splitters; every bucket is sorted by multikey quicksort on eight-byte digits (from the anchor on, then the
+   text before it, backwards), and strings of neighbours with one gram are compared.
+3. A string may repeat across a bucket's boundary only if it shares, from its anchor on, what splitters look at with the
+   bucket's first or last suffix (or less, if the string ends before): such strings are compared with those of other buckets
+   by hash, packed into one row per bucket and part of the hashes.
 4. The runs of repeated strings meet the texts, and their bytes are taken out.
 
 A group of copies that holds a third of all rows is settled by partial aggregation in step 1. A passage in as many different
-contexts spreads over buckets, as the splitters look at the bytes around it. A bucket is a few megabytes.
+contexts spreads over buckets, as beyond the leading bytes the splitters look at a hash of the stretch. A bucket is a few megabytes.
 
 Defined results: a null text is empty; texts under `length` bytes stay whole; strings are judged on the input, so all copies
 go, the first too; equal rows are copies of each other; an empty table gives an empty result; texts may be of any length;
@@ -34,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaframe.llm.common import as_bytes, saved, slices
+from lumaframe.llm.common import as_bytes, forget, saved, slices
 
 GRAM = 48
 #: String starts that are looked at together; longer texts are cut (their strings still overlap the cuts).
 SEGMENT = 1 << 21
 PLACE_BITS = 28
 BASE = 0x9E3779B97F4A7C15 | 1
+#: Leading bytes of a suffix that splitters look at. Beyond them a hash of the stretch splits, so no group is too large for buckets.
+LEAD = 64
 #: Bytes of suffixes in a bucket.
 BUCKET_BYTES = 8 << 20
 
@@ -160,8 +163,7 @@ def compare_bucket(stretches: list[bytes], before: np.ndarray, owned: np.ndarray
     """Which strings of a bucket's stretches repeat in it.
 
     before: bytes of each stretch that precede its anchor; owned: string starts in each.
-    Returns the strings' (row, number in the row, hash, repeats here, may repeat across the bucket's boundary). A string may repeat across
-    a boundary only if the part of it from the anchor on is also the lead of the bucket's first or last suffix; of equal ones one asks.
+    Returns the strings' (row, number in the row, hash, repeats here, may repeat across the bucket's boundary); of equal ones one asks.
     """
     gram = min(GRAM, length)
     keys = sort_keys(stretches, before.tolist())
@@ -185,7 +187,7 @@ def compare_bucket(stretches: list[bytes], before: np.ndarray, owned: np.ndarray
     repeats, leads = np.zeros(len(row), bool), np.ones(len(row), bool)
     repeats[sort] = np.r_[False, same] | np.r_[same, False]
     leads[sort] = ~np.r_[False, same]
-    ask = leads & (reach[row] >= length - (before[row] - number))
+    ask = leads & (reach[row] >= np.minimum(length - (before[row] - number), LEAD))
     return row, number, value, repeats, ask
 
 
@@ -288,6 +290,7 @@ def repeated_runs(docs: DataFrame, length: int = 400) -> DataFrame:
     every = saved(anchor_rows(docs, length), "anchors")
     twice = saved(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "repeated-grams")
     some = saved(every.join(twice, "gram", "left_semi"), "repeated-anchors")
+    forget(every, twice)
     kinds = saved(
         some.groupBy("gram", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "body", "at", "first", "last")).alias("one")),
         "stretches",
@@ -300,9 +303,9 @@ def repeated_runs(docs: DataFrame, length: int = 400) -> DataFrame:
     size = cut.agg(F.sum(F.octet_length("stretch"))).first()[0] or 0
     spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    suffix = F.expr("substring(stretch, cast(before as int) + 1)")
-    behind = F.reverse(F.hex(F.expr("substring(stretch, 1, cast(before as int))")))
-    found = saved(compared(cut.repartitionByRange(buckets, suffix, behind), length, buckets), "compared")
+    lead = F.expr(f"substring(stretch, cast(before as int) + 1, {LEAD})")
+    found = saved(compared(cut.repartitionByRange(buckets, lead, F.xxhash64("stretch")), length, buckets), "compared")
+    forget(cut, several)
     inside = found.where("part is null").select("doc_id", "body", "start", "stop")
     return settled.unionByName(inside).unionByName(across(found, length, buckets))
 
