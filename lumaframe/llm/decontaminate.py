@@ -146,11 +146,11 @@ def _by_broadcast(docs: DataFrame, items: list, least: int, typed: str) -> DataF
             out = [(row, *m) for row, text in enumerate(part.column("text").to_pylist()) for m in seeds.matches(hashes.of(text))]
             taken = pa.array([x[0] for x in out], pa.int64())
             columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((items_type, pa.int64(), pa.int64(), pa.int64(), pa.float64()), 1)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(taken), *columns], names=["doc_id", "item_id", "n_item_words", "n_matched_words", "n_tiles", "coverage"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(taken), part.column("body").take(taken), *columns], names=["doc_id", "body", "item_id", "n_item_words", "n_matched_words", "n_tiles", "coverage"])
 
     items_type = pa.int64() if typed.endswith(("bigint", "int", "long")) else pa.string()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {RESULT.format(item='long' if items_type == pa.int64() else 'string')}")
+    return docs.select("doc_id", F.xxhash64("text").alias("body"), "text").mapInArrow(run, f"doc_id {kind}, body long, {RESULT.format(item='long' if items_type == pa.int64() else 'string')}")
 
 
 def _seeds_of(df: DataFrame, key: str, least: int) -> DataFrame:
@@ -181,13 +181,13 @@ def _by_join(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
         for part in slices(batches):
             found = [_result(hashes.of(t), hashes.of(p), least) for t, p in zip(part.column("text").to_pylist(), part.column("passage").to_pylist(), strict=True)]
             columns = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("item_id"), *columns], names=["doc_id", "item_id", "n_item_words", "n_matched_words", "n_tiles", "coverage"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("body"), part.column("item_id"), *columns], names=["doc_id", "body", "item_id", "n_item_words", "n_matched_words", "n_tiles", "coverage"])
 
-    return both.select("doc_id", "item_id", "text", "passage").mapInArrow(run, f"doc_id {doc_kind}, {RESULT.format(item=item_kind)}")
+    return both.select("doc_id", "body", "item_id", "text", "passage").mapInArrow(run, f"doc_id {doc_kind}, body long, {RESULT.format(item=item_kind)}")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 5, max_broadcast_words: int = 2_000_000) -> DataFrame:
-    """(doc_id, item_id, n_item_words, n_matched_words, n_tiles, coverage) for each document and item that share a seed."""
+def _text_overlaps(docs: DataFrame, benchmark: DataFrame, least: int, max_broadcast_words: int) -> DataFrame:
+    """overlaps() with body, a hash of the document's text."""
     items = benchmark.select("item_id", "text").where("text is not null").distinct()
     kind = items.schema["item_id"].dataType.simpleString()
     size = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("words"), F.sum(F.octet_length("text")).alias("bytes")).first()
@@ -196,12 +196,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 5, max_broadcas
     return _by_join(docs, items, least)
 
 
+def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 5, max_broadcast_words: int = 2_000_000) -> DataFrame:
+    """(doc_id, item_id, n_item_words, n_matched_words, n_tiles, coverage) for each document and item that share a seed."""
+    return _text_overlaps(docs, benchmark, least, max_broadcast_words).drop("body")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.5, max_broadcast_words: int = 2_000_000) -> DataFrame:
     """The rows of overlaps() whose coverage reaches the threshold."""
     return overlaps(docs, benchmark, least, max_broadcast_words).where(F.col("coverage") >= coverage)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage: float = 0.5, max_broadcast_words: int = 2_000_000) -> DataFrame:
-    """docs without the documents that hold a benchmark item. A row without a doc_id goes if any such row is contaminated."""
-    found = saved(contaminated(docs, benchmark, least, coverage, max_broadcast_words).select(F.col("doc_id").alias("_id")).distinct(), "contaminated")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_anti")
+    """docs without the documents that hold a benchmark item; rows are told apart by doc_id and text, so clean rows without an id stay."""
+    hit = _text_overlaps(docs, benchmark, least, max_broadcast_words).where(F.col("coverage") >= coverage)
+    found = saved(hit.select(F.col("doc_id").alias("_id"), F.col("body").alias("_body")).distinct(), "contaminated")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_body"]), "left_anti")

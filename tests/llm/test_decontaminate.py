@@ -72,3 +72,11 @@ def test_clean_drops_only_the_contaminated(tables, odd_docs, no_docs):
     assert d.clean(no_docs, items).count() == 0
     assert d.clean(docs, items.where("false")).count() == docs.count()
     assert d.overlaps(docs, items.where("false"), max_broadcast_words=-1).count() == 0
+
+
+@pytest.mark.parametrize("words", [2_000_000, 0])
+def test_clean_tells_rows_of_one_id_apart(spark, words):
+    rows = [(None, "before " + ITEM), (None, "clean and without an id"), (None, None), (1, ITEM), (1, "clean but with the id of another text"), (2, "clean as well")]
+    items = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
+    kept = d.clean(spark.createDataFrame(rows, "doc_id long, text string"), items, max_broadcast_words=words)
+    assert ordered(kept.collect()) == ordered([rows[1], rows[2], rows[4], rows[5]])
