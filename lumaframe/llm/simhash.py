@@ -15,7 +15,8 @@ row here. Components come from alternating large-star and small-star steps on ta
 
 Defined results: null and empty texts have fingerprint zero and link like any other; fewer words than a shingle make
 one shingle of what there is; equal rows get equal results; an empty table gives an empty result; other columns are not
-looked at. A null doc_id never names a component unless all of the group's ids are null.
+looked at. A null doc_id never names a component unless all of the group's ids are null; rows that share an id but not a
+group stay in their own groups, which then have the same name.
 """
 
 from __future__ import annotations
@@ -157,35 +158,37 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """(doc_id, body, fp, component_id) for each row of docs."""
+    """(doc_id, body, fp, root, component_id) for each row of docs: root tells groups apart, component_id is the smallest doc_id in one."""
     prints = saved(fingerprints(docs, shingle), "fingerprints")
     classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "classes")
-    links = near_links(classes.select("fp"), max_bits)
-    # a class without any id stands under its fingerprint: it can link others but never names a group that has ids
-    known = classes.where("node is not null")
-    named = links.join(known.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(known.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b")
-    comp = components(named.select(F.col("na").alias("a"), F.col("nb").alias("b")))
-    found = saved(classes.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")), "components")
-    return prints.join(found, "fp")
+    # ids name the components only when they are complete: a text without an id, or with that of another text, links like any other
+    comp = components(near_links(classes.select("fp"), max_bits)).withColumnRenamed("node", "fp")
+    rooted = saved(classes.join(comp, "fp", "left").select("fp", "node", F.coalesce("component", "fp").alias("root")), "roots")
+    names = saved(rooted.groupBy("root").agg(F.min("node").alias("component_id")), "names")
+    found = saved(rooted.select("fp", "root").join(names, "root"), "components")
+    return prints.join(found, "fp").select("doc_id", "body", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """docs with one document of each group: the one whose doc_id names it; of rows with equal id and text, one.
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs with one row of each group (doc_id, body, root): the one with the smallest doc_id, then body; null ids come last.
 
-    Rows without a doc_id stay, one of each text, if their group has no id at all. The texts move once, to meet the ids that stay;
-    only if ids repeat or are missing the rows concerned are looked at again.
+    The texts move once, to meet the rows that stay; only if equal rows repeat the rows concerned are looked at again.
     """
-    groups = saved(near_groups(docs, shingle, max_bits), "groups")
     mark = "_body_" + uuid.uuid4().hex
-    stay = saved(groups.where("doc_id = component_id").groupBy("doc_id", F.col("body").alias(mark)).agg(F.count(F.lit(1)).alias("n")), "kept")
-    found = docs.withColumn(mark, F.xxhash64("text")).join(stay.drop("n"), ["doc_id", mark], "left_semi").select(*docs.columns, mark)
-    if not stay.where("n > 1").isEmpty():
-        again = stay.where("n > 1").drop("n")
-        several = found.join(again, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
-        found = found.join(again, ["doc_id", mark], "left_anti").select(*docs.columns).unionByName(several.select(*docs.columns))
-    found = found.select(*docs.columns)
-    nameless = groups.where("component_id is null").select(F.col("body").alias(mark)).distinct()
-    if not nameless.isEmpty():
-        alone = docs.where(docs["doc_id"].isNull()).withColumn(mark, F.xxhash64("text")).join(nameless, mark, "left_semi").dropDuplicates([mark])
-        found = found.unionByName(alone.select(*docs.columns))
-    return found
+    rows = groups.groupBy("root", "doc_id", "body").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "body", "n")).alias("first"))
+    stay = saved(first.select(F.col("first.doc_id").alias("_id"), F.col("first.body").alias("_body"), F.col("first.n").alias("_n")), "kept")
+
+    def among(found: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        return found.join(keys, found["doc_id"].eqNullSafe(keys["_id"]) & (found[mark] == keys["_body"]), how)
+
+    found = among(docs.withColumn(mark, F.xxhash64("text")), stay, "left_semi")
+    again = stay.where("_n > 1")
+    if not again.isEmpty():
+        found = among(found, again, "left_anti").unionByName(among(found, again, "left_semi").dropDuplicates(["doc_id", mark]))
+    return found.select(*docs.columns)
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """docs with one document of each SimHash group."""
+    return one_of_each(docs, saved(near_groups(docs, shingle, max_bits), "groups"))

@@ -67,3 +67,32 @@ def test_rows_without_ids(spark):
     rows = [(None, "alone here with no id"), (None, "alone here with no id"), (None, "a text that has an id"), (4, "a text that has an id"), (5, "one more text of its own"), (5, "one more text of its own"), (5, "same id but another text"), (5, "a text that has an id")]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[0], rows[3], rows[4], rows[6]], key=repr)
+
+
+def reached(spark, monkeypatch, rows):
+    """near_groups() of (doc_id, fingerprint) rows."""
+    prints = spark.createDataFrame([(i, k, f) for k, (i, f) in enumerate(rows)], "doc_id long, body long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: prints)
+    return {(r["doc_id"], r["fp"]): r["component_id"] for r in simhash.near_groups(prints).collect()}
+
+
+def test_a_text_without_an_id_links_others(spark, monkeypatch):
+    got = reached(spark, monkeypatch, [(1, 0b0001), (None, 0b0111), (2, 0b11111), (None, 0xFF << 36), (None, 0x7F << 36), (9, 0xFFFF << 20), (9, 0xFF << 50)])
+    assert [got[k] for k in ((1, 1), (None, 7), (2, 31))] == [1, 1, 1]
+    assert got[None, 0xFF << 36] is None and got[9, 0xFF << 50] == 9
+
+
+def test_a_hub_without_an_id_links_others(spark, monkeypatch):
+    # more than a posting holds, and the smallest fingerprint of all stars has no id
+    rows = [(None, 0)] + [(k, 1 << i | 1 << j) for k, (i, j) in enumerate(((i, j) for i in range(16) for j in range(i)), 1)]
+    assert set(reached(spark, monkeypatch, rows).values()) == {1}
+
+
+def test_keep_one_with_shared_and_missing_ids(spark, monkeypatch):
+    rows = [(7, "first text"), (7, "second text"), (8, "second text"), (None, "near copy"), (3, "text near that copy"), (None, "alone"), (None, "alone")]
+    prints = {"first text": 0, "second text": 0xFFFF << 8, "near copy": 0xFFFF << 40, "text near that copy": 0xFFFD << 40, "alone": -1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bodies = {r["text"]: r["b"] for r in docs.selectExpr("text", "xxhash64(text) AS b").collect()}
+    table = spark.createDataFrame([(i, bodies[t], prints[t]) for i, t in rows], "doc_id long, body long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: table)
+    assert sorted(map(tuple, simhash.keep_one(docs).collect()), key=repr) == sorted([rows[0], rows[1], rows[4], rows[5]], key=repr)
