@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,9 +18,11 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a new temporary one."""
+    """The folder in spark.checkpoint.dir; where it is unset and all runs on this machine (tests), a new temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -38,6 +42,23 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df, to be broadcast if a count of it, a stored table, finds at most so many rows; otherwise joins shuffle it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def once(df: DataFrame, columns: list[str], slim: DataFrame | None = None) -> DataFrame:
+    """df with one row of those that agree in columns. Only rows that have such a twin move; slim: these columns of df, if stored elsewhere."""
+    slim = df if slim is None else slim
+    twins = slim.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twins = saved(twins.select(*[F.col(c).alias(f"_{k}") for k, c in enumerate(columns)]), "twins")
+    if twins.isEmpty():
+        return df
+    keys = bounded(twins)
+    same = reduce(Column.__and__, [df[c].eqNullSafe(keys[f"_{k}"]) for k, c in enumerate(columns)])
+    return df.join(keys, same, "left_anti").unionByName(df.join(keys, same, "left_semi").dropDuplicates(columns))
+
+
 def forget(*tables: DataFrame) -> None:
     """Removes tables of saved() that nothing will read any more."""
     for table in tables:

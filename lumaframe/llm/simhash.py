@@ -1,14 +1,14 @@
 """SimHash near-duplicate groups through an inverted index over byte positions.
 
 A fingerprint is eight bytes, each at its position. Two fingerprints that differ in at most two bits share at least six
-positional bytes, so of the four aligned byte pairs at least two are equal. The index therefore posts every distinct
-fingerprint under its six combinations of two byte pairs (four positional bytes each). Fingerprints that meet in a
-posting are tallied: shared positional bytes are counted, pairs under the guaranteed six go, the rest is verified by
-the number of differing bits.
+positional bytes. The index posts every distinct fingerprint under fourteen blocks of four positions, chosen so that any
+three positions lie in exactly one block: who shares six bytes meets in three blocks, who shares five in one, who shares
+seven in seven. Spark tallies in how many blocks each pair meets, pairs under the guaranteed number go, and the rest is
+verified by the number of differing bits.
 
-A posting longer than MAX_POSTING is not paired up: its fingerprints take an exact linear way instead. Each of them is
-listed with its 64 one-bit neighbours; two fingerprints are within two bits exactly if their lists meet, and at most 65
-fingerprints meet in one entry, so a huge group of near copies costs 65 rows a fingerprint and no pairs.
+A posting longer than MAX_POSTING is split by further positions: among the four bytes outside the block two at least are
+shared, so its members are posted anew under the block and two more bytes, and what is still long under two of the last
+four half bytes. Such a posting holds at most 256 fingerprints whatever the corpus, so no pairs within a large group are made.
 
 Exact copies are one fingerprint from the start (partial aggregation), so a group that holds a third of all rows is one
 row here. Components come from alternating large-star and small-star steps on tables in the shared folder.
@@ -22,16 +22,21 @@ group stay in their own groups, which then have the same name.
 from __future__ import annotations
 
 import uuid
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lumaframe.llm.common import as_bytes, forget, saved, slices
+from lumaframe.llm.common import as_bytes, bounded, forget, once, saved, slices
 
 MAX_POSTING = 64
+#: The blocks of four of the eight positions: any three positions lie in one of them (their numbers' exclusive or is zero).
+BLOCKS = [b for b in combinations(range(8), 4) if b[0] ^ b[1] ^ b[2] ^ b[3] == 0]
+#: By the most differing bits: in how many blocks a pair meets at least.
+MEETINGS = {0: 14, 1: 7, 2: 3}
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
 
@@ -68,55 +73,59 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("body"), "text").mapInArrow(run, f"doc_id {typed}, body long, fp long")
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """How many of the eight positions hold equal bytes."""
-    different = a.bitwiseXOR(b)
-    return sum((F.shiftright(different, 8 * k).bitwiseAND(255) == 0).cast("int") for k in range(8))
+def mask_of(positions, width: int = 8) -> int:
+    """The bits of some positions (of width bits each) as a signed long."""
+    return int(np.uint64(sum(((1 << width) - 1) << width * p for p in positions)).view(np.int64))
 
 
-def postings(fps: DataFrame) -> DataFrame:
-    """(key, fp): the six combinations of two of the four aligned byte pairs."""
+def blocks_of(fps: DataFrame) -> DataFrame:
+    """(block, mask, value, fp): each fingerprint under each block; value is what the mask leaves of it."""
+    masks = F.explode(F.array(*[F.lit(mask_of(b)) for b in BLOCKS]))
+    found = fps.select("fp", masks.alias("block")).withColumn("mask", F.col("block"))
+    return found.select("block", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp")
 
-    def pair(k: int) -> Column:
-        return F.shiftrightunsigned("fp", 16 * k).bitwiseAND(0xFFFF)
 
-    combos = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    keys = F.array(*[F.lit(n << 32).bitwiseOR(F.shiftleft(pair(i), 16)).bitwiseOR(pair(j)) for n, (i, j) in enumerate(combos)])
-    return fps.select("fp", F.explode(keys).alias("key"))
+def split(posts: DataFrame, width: int) -> DataFrame:
+    """postings under two more of the four positions, width bits each, that are still open; they may differ in two."""
+    closed = {8: BLOCKS, 4: [(*b, *more) for b in BLOCKS for more in combinations(sorted({*range(8)} - {*b}), 2)]}[width]
+    further = {}
+    for positions in closed:
+        left = [p * 8 // width + k for p in range(8) if p not in positions for k in range(8 // width)]
+        further[mask_of(positions)] = [mask_of(positions) | mask_of(two, width) for two in combinations(left, 2)]
+    table = F.create_map(*[x for m, to in further.items() for x in (F.lit(m), F.array(*map(F.lit, to)))])
+    found = posts.select("block", "fp", F.explode(table[F.col("mask")]).alias("mask"))
+    return found.select("block", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp")
 
 
-def paired(posts: DataFrame, max_bits: int) -> DataFrame:
-    """(a, b) from postings of at most MAX_POSTING fingerprints: tally of shared bytes, then the exact test."""
-    lists = posts.groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-    first = lists.select("fps", F.posexplode("fps").alias("i", "a"))
-    pairs = first.select("a", F.explode(F.slice("fps", F.col("i") + 2, F.size("fps"))).alias("b"))
-    pairs = pairs.where(shared_bytes(F.col("a"), F.col("b")) >= 8 - max_bits)
-    return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).distinct()
+def paired(posts: DataFrame) -> DataFrame:
+    """(block, a, b) from short postings."""
+    lists = posts.groupBy("block", "mask", "value").agg(F.sort_array(F.collect_set("fp")).alias("fps"))
+    first = lists.select("block", "fps", F.posexplode("fps").alias("i", "a"))
+    return first.select("block", "a", F.explode(F.slice("fps", F.col("i") + 2, F.size("fps"))).alias("b"))
 
 
-def neighbour_links(fps: DataFrame) -> DataFrame:
-    """(a, b) that connect all fingerprints within two bits of each other, without pairing them up."""
-    near = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))))
-    meet = fps.select("fp", F.explode(near).alias("at")).groupBy("at").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-    return meet.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct()
+def meetings(fps: DataFrame) -> DataFrame:
+    """(block, a, b) for each block in whose postings a pair meets."""
+    posts, found, open_widths = blocks_of(fps), None, [8, 4]
+    while True:
+        keys = ["block", "mask", "value"]
+        sizes = saved(posts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "posting-sizes")
+        short = sizes if not open_widths else sizes.where(F.col("n") <= MAX_POSTING)
+        pairs = paired(posts.join(short.select(*keys), keys, "left_semi"))
+        found = pairs if found is None else found.unionByName(pairs)
+        long = sizes.where(F.col("n") > MAX_POSTING)
+        if not open_widths or long.isEmpty():
+            return found
+        posts = saved(split(posts.join(long.select(*keys), keys, "left_semi"), open_widths.pop(0)), "split-postings")
 
 
 def near_links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
-    """(a, b) between distinct fingerprints; the links' components are those of all pairs within max_bits (at most 2)."""
-    if not 0 <= max_bits <= 2:
+    """(a, b): all pairs of distinct fingerprints within max_bits (at most 2) of each other."""
+    if max_bits not in MEETINGS:
         raise ValueError("the index guarantees pairs of up to two differing bits")
-    posts = saved(postings(fps), "postings")
-    sizes = saved(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "posting-sizes")
-    short = posts.join(sizes.where(F.col("n") <= MAX_POSTING).select("key"), "key", "left_semi")
-    long = posts.join(sizes.where(F.col("n") > MAX_POSTING).select("key"), "key", "left_semi").select("fp").distinct()
-    links = paired(short, max_bits)
-    if max_bits == 2:
-        links = links.unionByName(neighbour_links(long))
-    else:
-        links = links.unionByName(neighbour_links(long).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
-    links = saved(links, "links")
-    forget(posts, sizes)
-    return links
+    tally = meetings(fps).distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
+    return saved(tally.where((F.col("met") >= MEETINGS[max_bits]) & near).select("a", "b"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -172,21 +181,18 @@ def near_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFra
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """docs with one row of each group (doc_id, body, root): the one with the smallest doc_id, then body; null ids come last.
 
-    The texts move once, to meet the rows that stay; only if equal rows repeat the rows concerned are looked at again.
+    The rows that go are looked up, so texts stay where they are unless those are too many to broadcast.
     """
     mark = "_body_" + uuid.uuid4().hex
-    rows = groups.groupBy("root", "doc_id", "body").agg(F.count(F.lit(1)).alias("n"))
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "body", "n")).alias("first"))
-    stay = saved(first.select(F.col("first.doc_id").alias("_id"), F.col("first.body").alias("_body"), F.col("first.n").alias("_n")), "kept")
-
-    def among(found: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        return found.join(keys, found["doc_id"].eqNullSafe(keys["_id"]) & (found[mark] == keys["_body"]), how)
-
-    found = among(docs.withColumn(mark, F.xxhash64("text")), stay, "left_semi")
-    again = stay.where("_n > 1")
-    if not again.isEmpty():
-        found = among(found, again, "left_anti").unionByName(among(found, again, "left_semi").dropDuplicates(["doc_id", mark]))
-    return found.select(*docs.columns)
+    rows = groups.select("root", "doc_id", "body").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "body")
+    first = saved(rows.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").select("root", "first"), "first-of-each")
+    other = rows.join(first, "root").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("body") == F.col("first.body"))))
+    gone = saved(other.select(F.col("doc_id").alias("_id"), F.col("body").alias("_body")), "gone")
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    keys = bounded(gone)
+    stay = marked.join(keys, marked["doc_id"].eqNullSafe(keys["_id"]) & (marked[mark] == keys["_body"]), "left_anti")
+    return once(stay, ["doc_id", mark], groups.select("doc_id", F.col("body").alias(mark))).select(*docs.columns)
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
