@@ -6,18 +6,20 @@ words is left. Matches grow out of Karp-Rabin hashes of word windows and are com
 hashes). The share of the item's words under tiles is its coverage; order plays no part, so reordered passages count.
 
 The benchmark is broadcast only after its words have been counted and found to be at most `max_broadcast_words`; then a
-document is read once, where it lies, and never shuffled. A larger benchmark meets the documents in a join on seeds
-(distinct per document; a seed held by a third of the documents is a skewed equi-join that adaptive execution splits),
-and only documents that share a seed are fetched.
-
-Defined results: null and empty texts, and items of fewer than `least` words, match nothing; equal rows give equal
-results; empty tables give an empty result; a null doc_id is carried as it is; other columns are not looked at.
+document is read once, where it lies, and never shuffled; the index of seeds is built once, by the driver. A larger
+benchmark meets the documents in a join on seeds (distinct per document; a seed held by a third of the documents is a
+skewed equi-join that adaptive execution splits), and only documents that share a seed are fetched. Both ways give the same
+rows and schema. Seeds of a document and an item are looked at PAIRS at a time and kept as runs along diagonals, so memory
+follows the texts and the number of maximal matches, not the product of their lengths.
+
+Defined results: null and empty texts, and items of fewer than `least` words, match nothing; items that share an id but
+not a text are items of their own with that id; equal rows give equal results; empty tables give an empty result; a null
+doc_id or item_id is carried as it is; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 PUNCTUATION = bytes(32 if b < 0x80 and not chr(b).isalnum() else b for b in range(256))
 CACHE = 500_000
 RESULT = "item_id {item}, n_item_words long, n_matched_words long, n_tiles long, coverage double"
+#: Pairs of equal seeds that are held at once.
+PAIRS = 1 << 20
 
 
 class WordHashes(dict):
@@ -59,33 +63,48 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-def tiles(text: np.ndarray, item: np.ndarray, least: int, at: np.ndarray | None = None) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (place in item, place in text, length), longest first; ties go to the earliest in item, then text.
+def matches(text: np.ndarray, item: np.ndarray, least: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal runs of at least `least` equal words: (place in item, place in text, length).
 
-    at: the places in text where a seed of any item starts, if known.
+    at: the places in text where a seed of any item starts, if known, ascending.
     """
-    seeds = window_hashes(item, least)
-    there = window_hashes(text, least)
+    seeds, there = window_hashes(item, least), window_hashes(text, least)
     at = np.arange(len(there)) if at is None else at
     order = seeds.argsort(kind="stable")
     ranked = seeds[order]
     low, high = ranked.searchsorted(there[at], "left"), ranked.searchsorted(there[at], "right")
     many = high - low
-    t = np.repeat(at, many)
-    i = order[np.arange(len(t)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)]
-    same = np.ones(len(t), bool)
-    for k in range(least):
-        same &= text[t + k] == item[i + k]
-    t, i = t[same], i[same]
-    # consecutive seeds on a diagonal are one maximal match
-    line = np.lexsort((t, t - i))
-    t, i = t[line], i[line]
-    if not len(t):
-        return []
-    new = np.r_[True, (np.diff(t) != 1) | (np.diff(t - i) != 0)]
-    first = new.nonzero()[0]
-    size = np.diff(np.r_[first, len(t)]) + least - 1
-    queue = [(-n, a, b) for n, a, b in zip(size.tolist(), i[first].tolist(), t[first].tolist(), strict=True)]
+    upto = np.cumsum(many)
+    parts, k = [], 0
+    while k < len(at):
+        j = max(k + 1, int(upto.searchsorted((upto[k - 1] if k else 0) + PAIRS, "right")))
+        n = many[k:j]
+        t = np.repeat(at[k:j], n)
+        i = order[np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[k:j], n)]
+        same = np.ones(len(t), bool)
+        for w in range(least):
+            same &= text[t + w] == item[i + w]
+        t, i = t[same], i[same]
+        parts.append(joined(t - i, t, np.ones(len(t), np.int64)))
+        k = j
+        if len(parts) > 16:
+            parts = [joined(*map(np.concatenate, zip(*parts, strict=True)))]
+    line, t, n = joined(*map(np.concatenate, zip(*parts, strict=True))) if parts else (np.zeros(0, np.int64),) * 3
+    return t - line, t, n + least - 1
+
+
+def joined(line: np.ndarray, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of n seeds from t on, on a diagonal each; those that follow each other become one."""
+    order = np.lexsort((t, line))
+    line, t, n = line[order], t[order], n[order]
+    new = np.r_[True, (line[1:] != line[:-1]) | (t[1:] != t[:-1] + n[:-1])][: len(t)].nonzero()[0]
+    return line[new], t[new], np.add.reduceat(n, new) if len(new) else n
+
+
+def tiles(text: np.ndarray, item: np.ndarray, least: int, at: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Greedy string tiling: (place in item, place in text, length), longest first; ties go to the earliest in item, then text."""
+    i, t, size = matches(text, item, least, at)
+    queue = [(-n, a, b) for n, a, b in zip(size.tolist(), i.tolist(), t.tolist(), strict=True)]
     heapq.heapify(queue)
     free_item, free_text = np.ones(len(item), bool), np.ones(len(text), bool)
     found = []
@@ -104,53 +123,64 @@ def tiles(text: np.ndarray, item: np.ndarray, least: int, at: np.ndarray | None
     return found
 
 
-def _result(words: np.ndarray, item: np.ndarray, least: int, at: np.ndarray | None = None) -> tuple[int, int, int, float]:
+def _result(words: np.ndarray, item: np.ndarray, least: int, at: np.ndarray | None = None) -> tuple[int, int, int, float] | None:
     found = tiles(words, item, least, at)
     matched = sum(n for _, _, n in found)
-    return len(item), matched, len(found), matched / len(item)
+    return (len(item), matched, len(found), matched / len(item)) if found else None
 
 
 class Seeds:
-    """All items with an index of their seeds, for one pass over the documents."""
-
-    def __init__(self, items: list[tuple[object, np.ndarray]], least: int):
-        self.items, self.least = items, least
-        where = defaultdict(list)
-        for k, (_, words) in enumerate(items):
-            for h in np.unique(window_hashes(words, least)).tolist():
-                where[h].append(k)
-        self.where = dict(where)
+    """The words of all items with a sorted index of their seeds, for one pass over the documents."""
+
+    def __init__(self, texts: list[str], least: int):
+        hashes = WordHashes()
+        self.items, self.least = [hashes.of(t) for t in texts], least
+        own = [np.unique(window_hashes(words, least)) for words in self.items]
+        seeds, owner = np.concatenate([np.empty(0, np.uint64), *own]), np.repeat(np.arange(len(own)), [len(x) for x in own])
+        order = seeds.argsort(kind="stable")
+        self.seeds, self.owner = seeds[order], owner[order]
         self.filter = np.zeros(1 << 20, bool)
-        self.filter[(np.fromiter(where, np.uint64, len(where)) >> np.uint64(44)).astype(np.int64)] = True
+        self.filter[(seeds >> np.uint64(44)).astype(np.int64)] = True
 
     def matches(self, words: np.ndarray):
-        """(item, its words, matched words, tiles, coverage) for each item that shares a seed."""
+        """(item, its words, matched words, tiles, coverage) for each item that has a tile in the words."""
         hashes = window_hashes(words, self.least)
         maybe = self.filter[(hashes >> np.uint64(44)).astype(np.int64)].nonzero()[0]
-        near = defaultdict(list)
-        for place, h in zip(maybe.tolist(), hashes[maybe].tolist(), strict=True):
-            for k in self.where.get(h, ()):
-                near[k].append(place)
-        for k, places in sorted(near.items()):
-            name, item = self.items[k]
-            yield (name, *_result(words, item, self.least, np.array(places)))
+        if not len(maybe):
+            return
+        low, high = self.seeds.searchsorted(hashes[maybe], "left"), self.seeds.searchsorted(hashes[maybe], "right")
+        n = high - low
+        place = np.repeat(maybe, n)
+        owner = self.owner[np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
+        order = owner.argsort(kind="stable")
+        owner, place = owner[order], place[order]
+        cuts = np.r_[0, (np.diff(owner) != 0).nonzero()[0] + 1, len(owner)].tolist()
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if j > i and (found := _result(words, self.items[owner[i]], self.least, place[i:j])):
+                yield (int(owner[i]), *found)
+
+
+NUMBERS = [("n_item_words", pa.int64()), ("n_matched_words", pa.int64()), ("n_tiles", pa.int64()), ("coverage", pa.float64())]
+
+
+def _schema(docs: DataFrame, items: DataFrame) -> str:
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, body long, {RESULT.format(item=items.schema['item_id'].dataType.simpleString())}"
 
 
-def _by_broadcast(docs: DataFrame, items: list, least: int, typed: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def _by_broadcast(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
+    table = items.toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast((table.column("item_id").combine_chunks(), Seeds(table.column("text").to_pylist(), least)))
 
     def run(batches):
         hashes = WordHashes()
-        seeds = Seeds([(name, hashes.of(text)) for name, text in shared.value], least)
+        names, seeds = shared.value
         for part in slices(batches):
             out = [(row, *m) for row, text in enumerate(part.column("text").to_pylist()) for m in seeds.matches(hashes.of(text))]
-            taken = pa.array([x[0] for x in out], pa.int64())
-            columns = [pa.array([x[k] for x in out], t) for k, t in enumerate((items_type, pa.int64(), pa.int64(), pa.int64(), pa.float64()), 1)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(taken), part.column("body").take(taken), *columns], names=["doc_id", "body", "item_id", "n_item_words", "n_matched_words", "n_tiles", "coverage"])
+            row, item = (pa.array([x[k] for x in out], pa.int64()) for k in (0, 1))
+            columns = [pa.array([x[k] for x in out], t) for k, (_, t) in enumerate(NUMBERS, 2)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(row), part.column("body").take(row), names.take(item), *columns], names=["doc_id", "body", "item_id", *[n for n, _ in NUMBERS]])
 
-    items_type = pa.int64() if typed.endswith(("bigint", "int", "long")) else pa.string()
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("body"), "text").mapInArrow(run, f"doc_id {kind}, body long, {RESULT.format(item='long' if items_type == pa.int64() else 'string')}")
+    return docs.select("doc_id", F.xxhash64("text").alias("body"), "text").mapInArrow(run, _schema(docs, items))
 
 
 def _seeds_of(df: DataFrame, key: str, least: int) -> DataFrame:
@@ -168,36 +198,39 @@ def _seeds_of(df: DataFrame, key: str, least: int) -> DataFrame:
 
 
 def _by_join(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
-    doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     left = _seeds_of(docs, "doc_id", least)
-    right = saved(_seeds_of(items, "item_id", least).select("item_id", "seed"), "benchmark-seeds")
-    pairs = saved(left.join(right, "seed").select("doc_id", "body", "item_id").distinct(), "seed-pairs")
-    texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("b"), "text")
-    passages = items.select(F.col("item_id").alias("i"), F.col("text").alias("passage"))
-    both = pairs.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("body") == F.col("b"))).join(passages, F.col("item_id").eqNullSafe(F.col("i")))
+    right = saved(_seeds_of(items, "item_id", least).withColumnRenamed("body", "passage"), "benchmark-seeds")
+    pairs = saved(left.join(right, "seed").select("doc_id", "body", "item_id", "passage").distinct(), "seed-pairs")
+    texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("b"), "text").dropDuplicates(["d", "b"])
+    passages = items.select(F.col("item_id").alias("i"), F.xxhash64("text").alias("p"), F.col("text").alias("item"))
+    both = pairs.join(texts, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("body") == F.col("b"))).join(passages, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("passage") == F.col("p")))
 
     def run(batches):
         hashes = WordHashes()
         for part in slices(batches):
-            found = [_result(hashes.of(t), hashes.of(p), least) for t, p in zip(part.column("text").to_pylist(), part.column("passage").to_pylist(), strict=True)]
-            columns = [pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("body"), part.column("item_id"), *columns], names=["doc_id", "body", "item_id", "n_item_words", "n_matched_words", "n_tiles", "coverage"])
+            found = [_result(hashes.of(t), hashes.of(p), least) for t, p in zip(part.column("text").to_pylist(), part.column("item").to_pylist(), strict=True)]
+            part, found = part.filter(pa.array([x is not None for x in found], pa.bool_())), [x for x in found if x]
+            columns = [pa.array([x[k] for x in found], t) for k, (_, t) in enumerate(NUMBERS)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("body"), part.column("item_id"), *columns], names=["doc_id", "body", "item_id", *[n for n, _ in NUMBERS]])
 
-    return both.select("doc_id", "body", "item_id", "text", "passage").mapInArrow(run, f"doc_id {doc_kind}, body long, {RESULT.format(item=item_kind)}")
+    found = both.select("doc_id", "body", "item_id", "text", "item").mapInArrow(run, _schema(docs, items))
+    # a row for each of equal documents again
+    rows = docs.groupBy(F.col("doc_id").alias("d"), F.xxhash64("text").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    again = rows.where("n > 1").select("d", "b", F.explode(F.sequence(F.lit(2), F.col("n"))).alias("copy"))
+    more = found.join(again, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("body") == F.col("b"))).select(*found.columns)
+    return found.unionByName(more)
 
 
 def _text_overlaps(docs: DataFrame, benchmark: DataFrame, least: int, max_broadcast_words: int) -> DataFrame:
     """overlaps() with body, a hash of the document's text."""
     items = benchmark.select("item_id", "text").where("text is not null").distinct()
-    kind = items.schema["item_id"].dataType.simpleString()
     size = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("words"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    if max(size["words"] or 0, (size["bytes"] or 0) // 8) <= max_broadcast_words and kind in ("bigint", "int", "string"):
-        return _by_broadcast(docs, [tuple(r) for r in items.collect()], least, kind)
-    return _by_join(docs, items, least)
+    small = max(size["words"] or 0, (size["bytes"] or 0) // 8) <= max_broadcast_words
+    return (_by_broadcast if small else _by_join)(docs, items, least)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = 5, max_broadcast_words: int = 2_000_000) -> DataFrame:
-    """(doc_id, item_id, n_item_words, n_matched_words, n_tiles, coverage) for each document and item that share a seed."""
+    """(doc_id, item_id, n_item_words, n_matched_words, n_tiles, coverage) for each document and item with a tile."""
     return _text_overlaps(docs, benchmark, least, max_broadcast_words).drop("body")
 
 

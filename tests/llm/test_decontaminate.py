@@ -80,3 +80,49 @@ def test_clean_tells_rows_of_one_id_apart(spark, words):
     items = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
     kept = d.clean(spark.createDataFrame(rows, "doc_id long, text string"), items, max_broadcast_words=words)
     assert ordered(kept.collect()) == ordered([rows[1], rows[2], rows[4], rows[5]])
+
+
+def brute_overlaps(docs, items, least):
+    hashes, out = d.WordHashes(), []
+    for doc_id, text in docs:
+        for item_id, passage in set(items):
+            words, item = hashes.of(text).tolist(), hashes.of(passage).tolist()
+            if found := slow_tiles(words, item, least) if passage else []:
+                out.append((doc_id, item_id, len(item), sum(n for *_, n in found), len(found)))
+    return sorted(out, key=repr)
+
+
+def test_both_ways_against_brute_force(spark):
+    """Repeated ids, null, empty and repeated-word texts, and ids of a narrow type."""
+    rng = random.Random(8)
+
+    def some(n):
+        return " ".join(rng.choice("ab") for _ in range(rng.randint(0, n)))
+
+    items = [(1, "a b c d e f g h"), (1, ""), (1, "a b c d e"), (2, None), (None, "b a b a b a"), (3, "a " * 9), (3, "a " * 9)] + [(k % 3, some(12)) for k in range(6)]
+    docs = [(k, some(25)) for k in range(15)] + [(20, None), (21, ""), (22, "a " * 30), (22, "a " * 30), (None, "a b c d e f"), (None, "b a b a b")]
+    table, bench = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    ways = [d.overlaps(table, bench, 5, words) for words in (10**6, 0)]
+    assert ways[0].schema == ways[1].schema
+    want = brute_overlaps(docs, items, 5)
+    for way in ways:
+        assert sorted((tuple(r)[:5] for r in way.collect()), key=repr) == want
+
+
+def test_matches_in_blocks(monkeypatch):
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        text, item = (rng.integers(0, 2, rng.integers(0, 60)).astype(np.uint64) for _ in range(2))
+        want = sorted(zip(*(x.tolist() for x in d.matches(text, item, 3)), strict=True))
+        monkeypatch.setattr(d, "PAIRS", 7)
+        assert sorted(zip(*(x.tolist() for x in d.matches(text, item, 3)), strict=True)) == want
+        monkeypatch.undo()
+
+
+def test_memory_follows_the_texts():
+    import tracemalloc
+
+    tracemalloc.start()
+    found = d.tiles(np.ones(20_000, np.uint64), np.ones(2_000, np.uint64), 5)
+    assert found == [(0, 0, 2_000)] and tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
