@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from hashlib import sha256
 from itertools import chain
@@ -37,6 +38,11 @@ LATER_LETTERS = """
 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4
 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
 """
+# Letters that got a lower case after Unicode 15.1, which Python 3.13 knows: first-last, then the first one's.
+LATER_CASES = """
+1C89-1C89:1C8A A7CB-A7CB:0264 A7CC-A7CC:A7CD A7CE-A7CE:A7CF A7D2-A7D2:A7D3 A7D4-A7D4:A7D5 A7DA-A7DA:A7DB A7DC-A7DC:019B
+10D50-10D65:10D70 16EA0-16EB8:16EBB
+"""
 #: Bytes of text whose new words share an index.
 INDEX_BYTES = 2 << 20
 
@@ -73,8 +79,19 @@ class Vocabulary:
         self.numbers = [str(k) for k in range(len(self.tokens))]
 
 
+def later_cases() -> dict[int, int]:
+    ranges = [[int(x, 16) for x in re.split("[-:]", r)] for r in LATER_CASES.split()]
+    return {c: to + c - first for first, last, to in ranges for c in range(first, last + 1)}
+
+
+LOWER = later_cases()
+WITHOUT_CASE = regex.compile(f"[{''.join(map(chr, LOWER))}]").search
+
+
 def lower(text: str) -> str:
     """Lower case letter by letter: unlike str.lower, a sigma at a word's end is no special case."""
+    if WITHOUT_CASE(text):
+        text = text.translate(LOWER)
     return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
 
@@ -188,14 +205,15 @@ def encode_words(words: list[str], vocab: Vocabulary) -> list[tuple[int, ...]]:
 
 
 class Encoder:
-    """Encodes lists of texts; remembers words and what stands between white space."""
+    """Encodes lists of texts; remembers words, and of what stands between white space the ids, their digits and what they decode to."""
 
     def __init__(self, vocab: Vocabulary, cache: int = CACHE):
         self.vocab, self.limit, self.split = vocab, cache, Splitter(vocab)
         self.known: dict[str, tuple[int, ...]] = {}
-        self.runs: dict[str, tuple[int, ...]] = {}
+        self.runs: dict[str, tuple[tuple[int, ...], int, str, str]] = {}
 
-    def __call__(self, texts: list[str | None]) -> list[list[int]]:
+    def found(self, texts: list[str | None]) -> list[list[tuple[tuple[int, ...], int, str, str]]]:
+        """For each text its runs: (ids, their number, their digits with spaces between, their tokens with spaces between)."""
         cut = [self.split(t) if t else [] for t in texts]
         if len(self.known) > self.limit:
             self.known = {}
@@ -210,13 +228,17 @@ class Encoder:
             new.discard(name)
         fresh = list(new)
         known.update(zip(fresh, encode_words(fresh, self.vocab), strict=True))
-        find = known.__getitem__
+        find, number = known.__getitem__, self.vocab.numbers.__getitem__
         for run, parts in words.items():
-            runs[run] = find(parts[0]) if len(parts) == 1 else tuple(chain.from_iterable(map(find, parts)))
-        return [list(chain.from_iterable(map(runs.__getitem__, x))) for x in cut]
+            ids = find(parts[0]) if len(parts) == 1 else tuple(chain.from_iterable(map(find, parts)))
+            runs[run] = (ids, len(ids), " ".join(map(number, ids)), decode(ids, self.vocab))
+        return [[*map(runs.__getitem__, x)] for x in cut]
+
+    def __call__(self, texts: list[str | None]) -> list[list[int]]:
+        return [list(chain.from_iterable(r[0] for r in x)) for x in self.found(texts)]
 
 
-def decode(ids: list[int], vocab: Vocabulary) -> str:
+def decode(ids, vocab: Vocabulary) -> str:
     """The tokenizer file names no decoder, so its tokens are joined by one space."""
     return " ".join(map(vocab.tokens.__getitem__, ids))
 
@@ -229,16 +251,14 @@ def encoded(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
     def run(batches):
         vocab = shared.value
         encode = Encoder(vocab)
-        number = vocab.numbers.__getitem__
         for part in slices(batches, limit=INDEX_BYTES):
-            ids = encode(part.column("text").to_pylist())
-            n = pa.array([len(x) for x in ids], pa.int64())
-            if digests:
-                first = pa.array([sha256(" ".join(map(number, x)).encode()).hexdigest() for x in ids], pa.string())
-                second = pa.array([sha256(decode(x, vocab).encode()).hexdigest() for x in ids], pa.string())
-            else:
-                first = pa.array(ids, pa.list_(pa.int32()))
-                second = pa.array([decode(x, vocab) for x in ids], pa.string())
+            n, first, second = [], [], []
+            for runs in encode.found(part.column("text").to_pylist()):
+                ids, many, digits, tokens = zip(*runs, strict=True) if runs else ((),) * 4
+                n.append(sum(many))
+                first.append(sha256(" ".join(digits).encode()).hexdigest() if digests else [*chain.from_iterable(ids)])
+                second.append(sha256(" ".join(tokens).encode()).hexdigest() if digests else " ".join(tokens))
+            n, first, second = pa.array(n, pa.int64()), pa.array(first, pa.string() if digests else pa.list_(pa.int32())), pa.array(second, pa.string())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, first, second], names=names)
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["doc_id", "n_tokens", "ids", "decoded"]

@@ -1,11 +1,11 @@
 """Language identification by words, with spans for mixed text.
 
-A word is a run of letters. The script of its first letter, by code point ranges, narrows the candidates to the languages
+A word is a letter and the letters and combining marks that follow it. The script of its first letter, by code point ranges, narrows the candidates to the languages
 that are written in it; each candidate scores the word by the letter trigrams it has learnt. A Viterbi pass over the
 words of a text, with a penalty for every switch, labels spans; the language with the most letters names the text.
 
 Learning counts hashed trigrams over a sample of `max_fit_rows` documents per language (drawn by a hash of the id; all of
-them if there are fewer); the model has BUCKETS numbers per language and is broadcast. Labelling reads each text once,
+them if there are fewer); the model has BUCKETS numbers per language, of which there may be MAX_LANGUAGES, and is broadcast. Labelling reads each text once,
 where it lies; the passes over the texts of a slice run side by side.
 
 Defined results: a null text or one without a letter is `und` with score 0; ties go to the language first in order of
@@ -15,6 +15,7 @@ name; equal rows give equal results; an empty table gives an empty result; witho
 
 from __future__ import annotations
 
+import unicodedata
 from functools import cache
 
 import numpy as np
@@ -25,6 +26,10 @@ from pyspark.sql import functions as F
 from lumaframe.llm.common import slices
 
 BUCKETS = 1 << 15
+#: More values than these in the language column are refused: they are no languages, and the model has to stay small.
+MAX_LANGUAGES = 400
+#: Scores (letters times languages) that are held at once.
+SCORES = 1 << 24
 NO_LANGUAGE = "und"
 # Unicode ranges of scripts, first and last code point.
 SCRIPTS = {
@@ -43,6 +48,12 @@ SCRIPTS = {
 }
 
 
+@cache
+def combining() -> np.ndarray:
+    """Which code points are marks that belong to the letter before them."""
+    return np.array([unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)])
+
+
 @cache
 def letter_scripts() -> np.ndarray:
     """For each code point 0 if it is no letter, else 1 + the number of its script, or 1 + len(SCRIPTS) for others."""
@@ -66,6 +77,12 @@ class Letters:
         points = np.frombuffer(b"\0" * 4 + b"".join(d + b"\0" * 4 for d in data), np.uint32)
         script = letter_scripts()[points]
         is_letter = script > 0
+        marks = combining()[points].nonzero()[0]
+        if len(marks):  # those that follow a letter, with marks only between, count as letters of its word
+            base = marks - 1
+            while len(more := (combining()[points[base]]).nonzero()[0]):
+                base[more] -= 1
+            is_letter[marks[script[base] > 0]] = True
         at = is_letter.nonzero()[0]
         code = np.where(is_letter, points, 0).astype(np.uint64)
         mixed = (code[at - 1] * np.uint64(0x9E3779B97F4A7C15) + code[at]) * np.uint64(0xC2B2AE3D27D4EB4F) + code[at + 1]
@@ -75,7 +92,7 @@ class Letters:
         self.word_size = np.diff(np.r_[self.word_first, len(at)])
         first_at = at[starts]
         self.word_script = script[first_at]
-        self.letter_script = script[at]
+        self.letter_script = np.repeat(self.word_script, self.word_size)
         ends = 1 + np.cumsum([len(d) // 4 + 1 for d in data])
         self.word_text = np.searchsorted(ends, first_at, side="right")
         self.word_place = first_at - np.r_[1, ends[:-1]][self.word_text] if len(data) else first_at
@@ -96,8 +113,16 @@ class Model:
     def word_scores(self, letters: Letters) -> np.ndarray:
         if not len(letters.word_first):
             return np.zeros((0, len(self.languages)), np.float32)
-        scores = np.add.reduceat(self.log[letters.bucket], letters.word_first, axis=0)
-        return scores + self.narrow[letters.word_script]
+        scores = np.empty((len(letters.word_first), len(self.languages)), np.float32)
+        step, k = max(1, SCORES // len(self.languages)), 0
+        while k < len(scores):  # a part of the words at a time
+            start = letters.word_first[k]
+            j = max(k + 1, int(letters.word_first.searchsorted(start + step)))
+            stop = letters.word_first[j] if j < len(scores) else len(letters.bucket)
+            scores[k:j] = np.add.reduceat(self.log[letters.bucket[start:stop]], letters.word_first[k:j] - start, axis=0)
+            k = j
+        scores += self.narrow[letters.word_script]
+        return scores
 
     def labels(self, scores: np.ndarray, text: np.ndarray) -> np.ndarray:
         """The language of each word: the best path through the words of each text (text numbers ascend)."""
@@ -147,7 +172,9 @@ def fit(docs: DataFrame, lang: str = "lang", max_fit_rows: int = 4000, penalty:
     """Learns from the rows of docs (doc_id, text and the language column) that have a language."""
     spark = docs.sparkSession
     known = docs.where(F.col(lang).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}
+    sizes = {r[0]: r[1] for r in known.groupBy(lang).count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"the column {lang} has more than {MAX_LANGUAGES} values")
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, BUCKETS)), np.zeros((0, len(SCRIPTS) + 2)), penalty)
@@ -156,17 +183,13 @@ def fit(docs: DataFrame, lang: str = "lang", max_fit_rows: int = 4000, penalty:
     sample = known.join(F.broadcast(share), F.col(lang) == F.col("l")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
 
     def run(batches):
-        grams = np.zeros(len(languages) * BUCKETS, np.int64)
-        scripts = np.zeros(len(languages) * (len(SCRIPTS) + 2), np.int64)
         for part in slices(batches):
             letters = Letters(part.column("text").to_pylist())
             names = np.array([number[x] for x in part.column("l").to_pylist()], np.int64)
             owner = names[letters.letter_text]
-            grams += np.bincount(owner * BUCKETS + letters.bucket, minlength=len(grams))
-            scripts += np.bincount(owner * (len(SCRIPTS) + 2) + letters.letter_script, minlength=len(scripts))
-        for kind, counts in ((0, grams), (1, scripts)):
-            at = counts.nonzero()[0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind)), pa.array(at), pa.array(counts[at])], names=["kind", "slot", "n"])
+            for kind, slots in ((0, owner * BUCKETS + letters.bucket), (1, owner * (len(SCRIPTS) + 2) + letters.letter_script)):
+                at, n = np.unique(slots, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind)), pa.array(at), pa.array(n)], names=["kind", "slot", "n"])
 
     counts = sample.select("text", "l").mapInArrow(run, "kind long, slot long, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toArrow()
     kind, slot, n = (counts.column(c).to_numpy() for c in ("kind", "slot", "n"))

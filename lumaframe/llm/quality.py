@@ -84,6 +84,14 @@ def vectors(docs: DataFrame, *keep: Column) -> DataFrame:
     return source.mapInArrow(run, f"{kept}, x array<float>")
 
 
+def forward(factor: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Solves factor @ z = y for a lower triangular factor and columns y, row by row."""
+    z = np.empty_like(y)
+    for k in range(len(factor)):
+        z[k] = (y[k] - factor[k, :k] @ z[:k]) / factor[k, k]
+    return z
+
+
 class Discriminant:
     """Two classes' means and cached Cholesky factors; slope and offset of the logistic line."""
 
@@ -113,7 +121,7 @@ class Discriminant:
         """Log density of label 1 over label 0, prior included."""
         side = {}
         for k in (0, 1):
-            z = np.linalg.solve(self.factor[k], (x / self.scale - self.mean[k]).T)
+            z = forward(self.factor[k], (x / self.scale - self.mean[k]).T)
             side[k] = -0.5 * (z * z).sum(axis=0) - np.log(np.diag(self.factor[k])).sum()
         return np.clip(side[1] - side[0] + self.log_prior, -SPAN, SPAN)
 

@@ -4,6 +4,10 @@ Texts are cut where no vocabulary piece can cross (before a run of word marks),
 An Aho-Corasick automaton lists all vocabulary pieces in the new stretches of a slice at once; then a Viterbi pass that
 carries only the best score and the number of tokens goes through them position by position, all stretches side by side.
 
+The vocabulary is that of a sentencepiece model. Control, unknown and byte pieces are no text and stay out of the
+automaton, so a literal "<s>" is three characters. A BPE model has merge ranks instead of log probabilities; its pieces come
+in order of falling frequency, so Zipf's law estimates them: the k-th of n has probability 1 / (k H(n)).
+
 Tie rules of the tokenizer: among paths of equal score into a position the one whose last piece starts first (the longest
 piece) stays; a character that no single-character piece covers may also be unknown, with a score of ten under the
 lowest of the vocabulary, considered after all pieces; an unknown character counts one token for each UTF-8 byte.
@@ -35,20 +39,20 @@ LONG = 256
 
 
 def load_pieces(path: str) -> list[tuple[str, float]]:
-    """(piece, score) of a sentencepiece model file."""
+    """(piece, log probability) of a sentencepiece model file, without control, unknown and byte pieces."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(k), model.get_score(k)) for k in range(model.get_piece_size())]
+    pieces = [model.id_to_piece(k) for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k) or model.is_unused(k))]
+    rank = np.arange(1, len(pieces) + 1)
+    return [*zip(pieces, (-np.log(rank) - np.log((1 / rank).sum())).tolist(), strict=True)]
 
 
 class Counter:
-    """Counts the tokens of texts under (piece, score) pairs; byte pieces <0x00> to <0xFF> must be among them."""
+    """Counts the tokens of texts under (piece, score) pairs; unknown characters fall back to a token for each byte."""
 
     def __init__(self, pieces: list[tuple[str, float]], cache: int = CACHE):
         names = {p for p, _ in pieces}
-        if any(f"<0x{b:02X}>" not in names for b in range(256)):
-            raise ValueError("unknown characters fall back to bytes, which need their pieces")
         if any(MARK in p.lstrip(MARK) for p in names):
             raise ValueError("a piece continues over a word mark")
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)

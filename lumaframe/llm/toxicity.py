@@ -2,12 +2,12 @@
 
 The features are densities of lexicon words (a fixed list and words learnt from labelled texts), their stems, second-person words near
 them, capitals, punctuation and obfuscated spellings. Learning uses about `max_fit_rows` labelled documents, drawn by a hash of
-the id (all of them if there are fewer): their words are counted by Spark to extend the lexicon, their features go to the
+the id (all of them if there are fewer; one of the rows that share an id): their words are counted by Spark to extend the lexicon, their features go to the
 driver, where trees of a few leaves are fitted to binned values; a quarter of the sample, which the trees have not seen,
 calibrates the scores by pooling adjacent violators. Scoring reads each text once, where it lies.
 
 Defined results: null and empty texts have all features zero and get a score like any other; unlabelled rows are not
-learnt from; without both labels every score is the share of label 1 (0 without labels); equal rows give equal results; an
+learnt from, an id with several labels has the highest; without both labels every score is the share of label 1 (0 without labels); equal rows give equal results; an
 empty table gives an empty result; texts may be of any length; other columns are not looked at.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumaframe.llm.common import as_bytes, saved, slices
+from lumaframe.llm.common import as_bytes, once, saved, slices
 
 # Insults and second-person words that the lexicon starts with.
 INSULTS = """
@@ -35,22 +35,28 @@ SIGNS = bytes.maketrans(b"013457@$!", b"oieastasi")
 KEPT_SIGNS = bytes(32 if b < 0x80 and not chr(b).isalnum() and chr(b) not in "@$!" else b for b in range(256))
 DIGITS_AND_SIGNS = frozenset(b"013457@$!")
 NEAR = 5
-#: Bytes at the start of a word that are learnt as a stem, for words that vary at their ends.
-STEMS = (6, 8)
+#: Bytes at the start of a longer word that are learnt as a stem, for words that vary at their ends; a stem ends with a letter.
+STEMS = (5, 6, 7, 8)
 FEATURES = [
     "lexicon", "lexicon_count", "lexicon_distinct", "learnt", "learnt_count", "learnt_distinct", "stems", "stem_count", "second_person", "second_person_near",
     "capitals", "capital_words", "exclamations", "questions", "punctuation", "obfuscated", "obfuscated_lexicon", "words",
 ]
 
 
-def features(text: bytes, lexicon: frozenset[bytes], learnt: frozenset[bytes], stems: tuple[frozenset[bytes], ...], second: frozenset[bytes]) -> list[float]:
+def stem(word: bytes, size: int) -> bytes | None:
+    """The first size bytes of a longer word; None where that would cut a letter."""
+    return word[:size] if len(word) > size and word[size] & 0xC0 != 0x80 else None
+
+
+def features(text: bytes, lexicon: frozenset[bytes], learnt: frozenset[bytes], stems: tuple[frozenset[bytes], ...], heads: frozenset[bytes], second: frozenset[bytes]) -> list[float]:
     counts = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
     small = text.lower()
     words = small.translate(PUNCTUATION).split()
     n = max(len(words), 1)
     hits = [w for w in words if w in lexicon]
     more = [w for w in words if w in learnt]
-    stemmed = [w for w in words if any(w[:k] in own for k, own in zip(STEMS, stems))] if any(stems) else []
+    least = STEMS[0]
+    stemmed = [w for w in words if w[:least] in heads and any(stem(w, k) in own for k, own in zip(STEMS, stems, strict=True))]
     persons = sum(map(second.__contains__, words))
     near = 0
     if persons and (hits or more):
@@ -154,9 +160,10 @@ class Model:
         self.lexicon = frozenset(w.encode() for w in INSULTS.split())
         self.second = frozenset(w.encode() for w in SECOND_PERSON.split())
         self.learnt, self.stems, self.constant, self.trees, self.knots = learnt, stems, 0.0, None, None
+        self.heads = frozenset(x[: STEMS[0]] for own in stems for x in own)
 
     def table(self, texts: list[bytes]) -> np.ndarray:
-        return np.array([features(t, self.lexicon, self.learnt, self.stems, self.second) for t in texts], float).reshape(-1, len(FEATURES))
+        return np.array([features(t, self.lexicon, self.learnt, self.stems, self.heads, self.second) for t in texts], float).reshape(-1, len(FEATURES))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.trees is None:
@@ -185,7 +192,7 @@ def learnt_units(sample: DataFrame, share: float, least_docs: int = 5, size: int
                 words = set(text.lower().translate(PUNCTUATION).split())
                 units = {(0, w) for w in words}
                 for k in STEMS:
-                    units.update((k, w[:k]) for w in words if len(w) >= k)
+                    units.update((k, x) for w in words if (x := stem(w, k)))
                 for u in units:
                     own = counts.get(u)
                     if own is None:
@@ -205,12 +212,17 @@ def learnt_units(sample: DataFrame, share: float, least_docs: int = 5, size: int
 
 def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 20_000) -> Model:
     """Learns from docs (doc_id, text) with labels (doc_id, label); label is 0 or 1."""
-    known = labels.where(F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("long").alias("label"))
+    known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("label").cast("long")).alias("label"))
     n, ones = known.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not n:
         return Model()
+    # about max_fit_rows ids, with the number of rows that have each
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, max_fit_rows / n))))
-    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # about max_fit_rows pairs of numbers
+    held = docs.select("doc_id").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("rows"))
+    held = F.broadcast(saved(held, "drawn-labels"))
+    # of the rows that share an id about one stays, and one of equal rows
+    sample = docs.select("doc_id", "text").join(held, "doc_id").where(F.pmod(F.xxhash64("doc_id", "text"), F.col("rows")) == 0)
+    sample = once(sample, ["doc_id", "text"], sample.where("rows > 1").select("doc_id", "text"))
     learnt, *stems = learnt_units(sample, ones / n)
     model = Model(learnt, tuple(stems))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -10,8 +10,7 @@ from .conftest import ordered, texts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 VOCAB = bpe.Vocabulary(PATH)
-# letters whose case or composition Python's Unicode tables do not know yet stay out
-LETTERS = st.characters(max_codepoint=0x2FFFF, exclude_categories=["Cs", "Cn"])
+LETTERS = st.characters(max_codepoint=0x2FFFF, exclude_categories=["Cs"])
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +48,11 @@ def test_small_cache():
     encode, large = bpe.Encoder(VOCAB, cache=3), bpe.Encoder(VOCAB)
     some = [["one two three four"], ["four five six"], ["one seven"], [None, ""]]
     assert [encode(x) for x in some] == [large(x) for x in some]
+
+
+def test_every_code_point(library):
+    encode = bpe.Encoder(VOCAB)
+    for first in range(0, 0x110000, 0x4000):
+        some = [f"a{chr(c)}b" for c in range(first, first + 0x4000) if not 0xD800 <= c < 0xE000]
+        want = [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+        assert encode(some) == want, hex(first)

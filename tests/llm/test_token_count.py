@@ -14,7 +14,10 @@ COUNT = token_count.Counter(PIECES)
 
 
 def library():
-    t = Tokenizer(models.Unigram(PIECES, unk_id=0, byte_fallback=True))
+    # its bytes and unknown piece need places in the vocabulary; their score is the lowest there is
+    least = min(score for _, score in PIECES)
+    extra = [("<unk>", least), *((f"<0x{b:02X}>", least) for b in range(256))]
+    t = Tokenizer(models.Unigram([*extra, *PIECES], unk_id=0, byte_fallback=True))
     t.pre_tokenizer = pre_tokenizers.Metaspace("▁", prepend_scheme="always", split=False)
     return t
 
@@ -54,3 +57,26 @@ def test_ties_go_to_the_piece_that_starts_first():
 def test_pieces_it_cannot_cut_for():
     with pytest.raises(ValueError):
         token_count.Counter([("a▁b", 0.0)])
+
+
+def slow_count(text):
+    """(tokens, score) by trying every piece at every place."""
+    marked, score, unknown = "▁" + text.replace(" ", "▁"), dict(PIECES), min(s for _, s in PIECES) - 10
+    best = [(0.0, 0)] + [(-float("inf"), 0)] * len(marked)
+    for end in range(1, len(marked) + 1):
+        for start in range(max(0, end - 20), end):
+            piece = marked[start:end]
+            if piece in score:
+                best[end] = max(best[end], (best[start][0] + score[piece], best[start][1] + 1), key=lambda x: x[0])
+        if marked[end - 1] not in score and best[end - 1][0] + unknown > best[end][0]:
+            best[end] = (best[end - 1][0] + unknown, best[end - 1][1] + len(marked[end - 1].encode()))
+    return best[-1][1], best[-1][0]
+
+
+def test_control_and_byte_pieces_are_ordinary_text():
+    names = {p for p, _ in PIECES}
+    assert not names & {"<s>", "</s>", "<unk>", "<0x00>", "<0xFF>"} and all(s < 0 for _, s in PIECES)
+    for text in ("<s>", "a <s> b </s>", "<0x41> and <unk>", "the <s>the</s> 🙂"):
+        (n, score), (slow_n, slow_score) = COUNT([text])[0], slow_count(text)
+        assert n == slow_n and abs(score - slow_score) < 1e-6
+    assert COUNT(["<s>"])[0][0] > 1
