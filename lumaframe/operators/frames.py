@@ -1,12 +1,13 @@
 """Metrics of gray frames, in Arrow batches; pixels are never shuffled except for the pairs that must be compared.
 
-Each function on arrays looks at one raster or two. Decisions are made afterwards, in verdict.py, so thresholds can change
-without reading pixels again.
+Functions on arrays look at rasters in the last two axes, so a batch of frames of one size is measured at once. Decisions are
+made afterwards, in verdict.py, so thresholds can change without reading pixels again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -16,8 +17,12 @@ from pyspark.sql import functions as F
 from lumaframe import schemas as S
 
 GRID = 8
+#: Pixels that are measured at once (a larger frame comes alone).
+PIXELS = 1 << 20
+INSIDE = (-2, -1)
 
 
+@cache
 def dct_rows(n: int = S.GRAY_SIDE, rows: int = 8) -> np.ndarray:
     """The first rows of the orthonormal DCT-II matrix."""
     k = np.arange(rows)[:, None]
@@ -26,16 +31,16 @@ def dct_rows(n: int = S.GRAY_SIDE, rows: int = 8) -> np.ndarray:
     return m
 
 
-def hash_bits(block: np.ndarray) -> int:
-    """Bit i is set if low frequency i (row by row) is above the upper median of all but the first."""
-    flat = block.ravel()
-    middle = np.sort(flat[1:])[31]
-    return int(sum(1 << i for i, v in enumerate(flat.tolist()) if v > middle))
+def perceptual_hashes(gray: np.ndarray) -> list[str]:
+    """Of each raster: bit i is set if low frequency i (row by row) is above the upper median of all but the first."""
+    c = dct_rows(gray.shape[-1])
+    flat = (c @ gray.astype(float) @ c.T).reshape(-1, GRID * GRID)
+    above = flat > np.sort(flat[:, 1:], axis=1)[:, 31:32]
+    return [f"{x:016x}" for x in np.packbits(above, axis=1, bitorder="little").view("<u8").ravel().tolist()]
 
 
 def perceptual_hash(gray: np.ndarray) -> str:
-    c = dct_rows(gray.shape[0])
-    return f"{hash_bits(c @ gray.astype(float) @ c.T):016x}"
+    return perceptual_hashes(gray[None])[0]
 
 
 def deviation(x: np.ndarray, axis=None) -> np.ndarray:
@@ -44,62 +49,67 @@ def deviation(x: np.ndarray, axis=None) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).mean(axis=axis) - x.mean(axis=axis) ** 2, 0))
 
 
-def sharpness(gray: np.ndarray) -> float:
+def sharpness(gray: np.ndarray) -> np.ndarray:
     """Deviation of the 4-neighbour Laplacian over inner pixels."""
     g = gray.astype(float)
-    if min(g.shape) < 3:
-        return 0.0
-    return float(deviation(4 * g[1:-1, 1:-1] - g[1:-1, :-2] - g[1:-1, 2:] - g[:-2, 1:-1] - g[2:, 1:-1]))
+    if min(g.shape[-2:]) < 3:
+        return np.zeros(g.shape[:-2])
+    inner = 4 * g[..., 1:-1, 1:-1] - g[..., 1:-1, :-2] - g[..., 1:-1, 2:] - g[..., :-2, 1:-1] - g[..., 2:, 1:-1]
+    return deviation(inner, axis=INSIDE)
 
 
 def cells(gray: np.ndarray, side: int) -> np.ndarray:
-    h, w = gray.shape[0] // side, gray.shape[1] // side
-    return gray[: h * side, : w * side].reshape(h, side, w, side).swapaxes(1, 2).reshape(h, w, side * side)
+    """The pixels of each whole square cell in the last axis."""
+    *lead, h, w = gray.shape
+    h, w = h // side, w // side
+    parts = gray[..., : h * side, : w * side].reshape(*lead, h, side, w, side).swapaxes(-3, -2)
+    return parts.reshape(*lead, h, w, side * side)
 
 
-def noise_floor(gray: np.ndarray) -> float:
+def noise_floor(gray: np.ndarray) -> np.ndarray:
     """The deviation of the cell that a tenth of all cells are flatter than."""
-    if min(gray.shape) < 2 * S.NOISE_CELL:
-        return 0.0
-    flat = deviation(cells(gray, S.NOISE_CELL), axis=2).ravel()
-    at = len(flat) // 10
-    return float(np.partition(flat, at)[at])
-
-
-def lens_dirt(gray: np.ndarray) -> tuple[float, list[tuple[float, float, float, float]]]:
-    """(confidence, boxes): a compact patch of smooth grid cells that stand out from the cells around them."""
-    parts = cells(gray, gray.shape[0] // GRID)[:GRID, :GRID]
-    mean, dev = parts.astype(float).mean(axis=2), deviation(parts, axis=2)
-    padded, ones = np.pad(mean, 1), np.pad(np.ones_like(mean), 1)
-    shifts = [(i, j) for i in range(3) for j in range(3) if (i, j) != (1, 1)]
-    around = sum(padded[i : i + GRID, j : j + GRID] for i, j in shifts) / sum(ones[i : i + GRID, j : j + GRID] for i, j in shifts)
-    bad = (dev < max(4.0, 0.35 * float(deviation(dev)))) & (np.abs(mean - around) > 25.0)
-    n = int(bad.sum())
-    if n < 3:
-        return 0.0, []
-    ys, xs = bad.nonzero()
-    top, left, high, wide = int(ys.min()), int(xs.min()), int(np.ptp(ys)) + 1, int(np.ptp(xs)) + 1
-    if min(high, wide) < 2 or high * wide >= 0.6 * GRID * GRID or n < 0.5 * high * wide:
-        return 0.0, []
-    return n / GRID**2, [(left / GRID, top / GRID, wide / GRID, high / GRID)]
+    lead = gray.shape[:-2]
+    if min(gray.shape[-2:]) < 2 * S.NOISE_CELL:
+        return np.zeros(lead)
+    flat = deviation(cells(gray, S.NOISE_CELL), axis=-1).reshape(*lead, -1)
+    at = flat.shape[-1] // 10
+    return np.partition(flat, at, axis=-1)[..., at]
+
+
+def lens_dirt(gray: np.ndarray) -> list[tuple[float, list[tuple[float, float, float, float]]]]:
+    """(confidence, boxes) of each raster: a compact patch of smooth grid cells that stand out from the cells around them."""
+    parts = cells(gray, gray.shape[-2] // GRID)[:, :GRID, :GRID]
+    mean, dev = parts.mean(axis=-1), deviation(parts, axis=-1)
+    padded, ones = np.pad(mean, ((0, 0), (1, 1), (1, 1))), np.pad(np.ones((GRID, GRID)), 1)
+    steps = [(i, j) for i in range(3) for j in range(3) if (i, j) != (1, 1)]
+    around = sum(padded[:, i : i + GRID, j : j + GRID] for i, j in steps) / sum(ones[i : i + GRID, j : j + GRID] for i, j in steps)
+    smooth_below = np.maximum(4.0, 0.35 * deviation(dev, axis=INSIDE))[:, None, None]
+    bad = (dev < smooth_below) & (np.abs(mean - around) > 25.0)
+    found = [(0.0, [])] * len(gray)
+    for k in (bad.sum(axis=INSIDE) >= 3).nonzero()[0].tolist():
+        ys, xs = bad[k].nonzero()
+        n, top, left, high, wide = len(ys), int(ys.min()), int(xs.min()), int(np.ptp(ys)) + 1, int(np.ptp(xs)) + 1
+        if min(high, wide) >= 2 and high * wide < 0.6 * GRID * GRID and n >= 0.5 * high * wide:
+            found[k] = (n / GRID**2, [(left / GRID, top / GRID, wide / GRID, high / GRID)])
+    return found
 
 
 def resized(gray: np.ndarray, w: int, h: int) -> np.ndarray:
     """Area averages when a side shrinks, nearest pixels when it grows."""
 
     def along(x: np.ndarray, n: int) -> np.ndarray:
-        old = x.shape[0]
+        """The axis before the last at the new size n."""
+        old = x.shape[-2]
         if n >= old:
-            return x[(np.arange(n) * old // n)]
-        sums = np.vstack([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0)])
+            return x[..., np.arange(n) * old // n, :]
+        sums = np.concatenate([np.zeros_like(x[..., :1, :]), np.cumsum(x, axis=-2)], axis=-2)
         edges = np.arange(n + 1) * old / n
         low = edges.astype(int).clip(max=old - 1)
-        at = sums[low] + (edges - low)[:, None] * x[low]
-        return np.diff(at, axis=0) * n / old
+        return np.diff(sums[..., low, :] + (edges - low)[:, None] * x[..., low, :], axis=-2) * n / old
 
-    if gray.shape == (h, w):
+    if gray.shape[-2:] == (h, w):
         return gray
-    return np.rint(along(along(gray.astype(float), h).T, w).T).clip(0, 255).astype(np.uint8)
+    return np.rint(along(along(gray.astype(float), h).swapaxes(-1, -2), w).swapaxes(-1, -2)).clip(0, 255).astype(np.uint8)
 
 
 def to_gray(rgb: np.ndarray) -> np.ndarray:
@@ -114,21 +124,20 @@ def scaled_size(w: int, h: int) -> tuple[int, int]:
     return tuple(max(8, int(x * S.DETAIL_SIDE / long + 0.5)) for x in (w, h))
 
 
-def measured(gray: np.ndarray, costly: bool = True) -> dict:
-    """All metrics of one raster: the small one and, if costly, the detailed one."""
+def measured(gray: np.ndarray, costly: np.ndarray) -> list[tuple]:
+    """The metrics (as in METRICS) of rasters of one size: of the small ones and, where costly, of the detailed ones."""
     small = resized(gray, S.GRAY_SIDE, S.GRAY_SIDE)
-    conf, boxes = lens_dirt(small)
-    out = {
-        "corrupted": False, "gray_std": float(deviation(small)), "exp_mean": float(small.mean()), "clip_low": float((small <= S.DARK).mean()), "clip_high": float((small >= S.BRIGHT).mean()),
-        "lap_std": None, "noise_floor": None, "dirt_conf": conf, "dirt_boxes": [dict(zip("xywh", b, strict=True)) for b in boxes], "dup_hash": perceptual_hash(small),
-    }
-    if costly:
-        detail = resized(gray, *scaled_size(gray.shape[1], gray.shape[0]))
-        out |= {"lap_std": sharpness(detail), "noise_floor": noise_floor(detail)}
-    return out
+    detail = resized(gray[costly], *scaled_size(gray.shape[2], gray.shape[1]))
+    sharp, noise = np.full(len(gray), None), np.full(len(gray), None)
+    sharp[costly], noise[costly] = sharpness(detail).tolist(), noise_floor(detail).tolist()
+    dirt = lens_dirt(small)
+    boxes = [[dict(zip("xywh", b, strict=True)) for b in own] for _, own in dirt]
+    shares = [x.mean(axis=INSIDE).tolist() for x in (small, small <= S.DARK, small >= S.BRIGHT)]
+    return [*zip([False] * len(gray), deviation(small, axis=INSIDE).tolist(), *shares, sharp, noise, [c for c, _ in dirt], boxes, perceptual_hashes(small), strict=True)]
 
 
-BROKEN = {"corrupted": True, "gray_std": None, "exp_mean": None, "clip_low": None, "clip_high": None, "lap_std": None, "noise_floor": None, "dirt_conf": None, "dirt_boxes": [], "dup_hash": ""}
+METRIC_NAMES = ["corrupted", "gray_std", "exp_mean", "clip_low", "clip_high", "lap_std", "noise_floor", "dirt_conf", "dirt_boxes", "dup_hash"]
+BROKEN = (True, None, None, None, None, None, None, None, [], "")
 
 
 def _raster(w, h, gray) -> np.ndarray | None:
@@ -137,16 +146,30 @@ def _raster(w, h, gray) -> np.ndarray | None:
     return np.frombuffer(gray, np.uint8).reshape(int(h), int(w))
 
 
+def by_size(rasters: list[np.ndarray | None]) -> Iterator[tuple[list[int], np.ndarray]]:
+    """(places, stack) of rasters of one size, PIXELS at a time."""
+    groups: dict[tuple[int, int], list[int]] = {}
+    for k, r in enumerate(rasters):
+        if r is not None:
+            groups.setdefault(r.shape, []).append(k)
+    for (h, w), own in groups.items():
+        step = max(1, PIXELS // (h * w))
+        for k in range(0, len(own), step):
+            yield own[k : k + step], np.stack([rasters[j] for j in own[k : k + step]])
+
+
 def frame_metrics(frames: DataFrame, costly_every: int = 1) -> DataFrame:
     """(file_id, frame_idx, METRICS) of each frame; a frame whose bytes are not w x h is corrupted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            found = []
-            for file_id, at, w, h, gray in part.itertuples(index=False):
-                raster = _raster(w, h, gray)
-                found.append({"file_id": file_id, "frame_idx": at, **(BROKEN if raster is None else measured(raster, at % costly_every == 0))})
-            yield pd.DataFrame(found, columns=["file_id", "frame_idx", *BROKEN])
+            found = [BROKEN] * len(part)
+            costly = (part["frame_idx"].to_numpy() % costly_every) == 0
+            for places, stack in by_size([_raster(*x) for x in zip(part["w"], part["h"], part["gray"], strict=True)]):
+                for k, row in zip(places, measured(stack, costly[places]), strict=True):
+                    found[k] = row
+            out = pd.DataFrame(found, columns=METRIC_NAMES)
+            yield pd.concat([part[["file_id", "frame_idx"]].reset_index(drop=True), out], axis=1)
 
     return frames.select("file_id", "frame_idx", "w", "h", "gray").mapInPandas(run, f"file_id long, frame_idx int, {S.METRICS}")
 

@@ -124,10 +124,14 @@ def active_reviewers(claims: DataFrame, known: DataFrame, now_ms: int, anonymous
     return both.where((F.trim("name") != "") & (F.col("name") != anonymous)).groupBy("name").agg(F.min("folder_id").alias("folder_id"))
 
 
-def recent_names(uses: DataFrame, n: int = 20) -> DataFrame:
-    """(name, last_used): the n names used last; of equal times the one whose last record came later."""
-    last = uses.groupBy("name").agg(F.max("last_used").alias("last_used"))
-    return last.orderBy(F.desc("last_used"), F.desc("name")).limit(n)
+def recent_names(uses: DataFrame, n: int = 20, anonymous: str = "匿名") -> DataFrame:
+    """(name, last_used): the n names used last; of equal times the one that came in later, by its first record.
+
+    uses: name, last_used, seq (the number of the record). Blank names and the anonymous one are not remembered.
+    """
+    named = uses.withColumn("name", F.trim("name")).where((F.col("name") != "") & (F.col("name") != anonymous))
+    last = named.groupBy("name").agg(F.max("last_used").alias("last_used"), F.min("seq").alias("first"))
+    return last.orderBy(F.desc("last_used"), F.desc("first")).limit(n).select("name", "last_used")
 
 
 def issue_centre(files: DataFrame, failed: DataFrame, qc: DataFrame, scan_errors: DataFrame, n: int = 200) -> DataFrame:

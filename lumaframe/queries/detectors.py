@@ -118,23 +118,56 @@ def hash_bits(v):
 
 
 def _rasters(v, side: int = 64):
-    """A gray raster for each order, by a formula of its key."""
+    """A gray raster for each order, by a formula of its key. Keys are dealt out first, so that pixels are made where they are used."""
     y, x = np.mgrid[0:side, 0:side]
 
     def run(batches):
         for part in batches:
-            grays = [((x * (k % 7) + y * (k % 5) + (k * 37) % 256 + (k % 3 == 0) * ((x * y * k) % 97)) % 256).astype(np.uint8).tobytes() for k in part["k"]]
-            yield pd.DataFrame({"file_id": part["k"] + 1, "frame_idx": 0, "w": side, "h": side, "gray": grays})
+            for at in range(0, len(part), 256):
+                keys = part["k"].to_numpy()[at : at + 256]
+                k = keys[:, None, None]
+                pixels = (x * (k % 7) + y * (k % 5) + k * 37 % 256 + np.where(k % 3 == 0, x * y * k % 97, 0)) % 256
+                grays = [g.tobytes() for g in pixels.astype(np.uint8)]
+                yield pd.DataFrame({"file_id": keys + 1, "frame_idx": 0, "w": side, "h": side, "gray": grays})
 
-    return v("orders").select(F.col("o_orderkey").alias("k")).mapInPandas(run, S.FRAME)
+    keys = v("orders").select(F.col("o_orderkey").alias("k"))
+    tasks = 2 * keys.sparkSession.sparkContext.defaultParallelism
+    return keys.repartition(tasks, "k").mapInPandas(run, S.FRAME)
 
 
-@query()
+#: The pixel formula in DuckDB, at a place given by SQL terms.
+def _pixel(k: str, x: str, y: str) -> str:
+    return f"(({x}) * ({k} % 7) + ({y}) * ({k} % 5) + {k} * 37 % 256 + CASE WHEN {k} % 3 = 0 THEN ({x}) * ({y}) * {k} % 97 ELSE 0 END) % 256"
+
+
+GRID = "(SELECT CAST(i AS BIGINT) AS y FROM range(64) t(i)) ys, (SELECT CAST(i AS BIGINT) AS x FROM range(64) t(i)) xs"
+AROUND = " - ".join(["4 * g", *(_pixel("k", x, y) for x, y in (("x - 1", "y"), ("x + 1", "y"), ("x", "y - 1"), ("x", "y + 1")))])
+
+
+@query("", f"""
+    WITH p AS (SELECT o_orderkey AS k, x, y, {_pixel('o_orderkey', 'x', 'y')} AS g FROM orders, {GRID}),
+    q AS (SELECT k, x, y, g, CASE WHEN x BETWEEN 1 AND 62 AND y BETWEEN 1 AND 62 THEN {AROUND} END AS lap FROM p),
+    cell AS (SELECT k, x // 16 AS cx, y // 16 AS cy, sqrt(greatest(avg(g * g) - avg(g) * avg(g), 0)) AS dev FROM p GROUP BY ALL),
+    noise AS (SELECT k, list_sort(list(dev))[2] AS noise_floor FROM cell GROUP BY k)
+    SELECT q.k + 1 AS file_id, 0 AS frame_idx, false AS corrupted, round(sqrt(greatest(avg(g * g) - avg(g) * avg(g), 0)), 6) AS gray_std, avg(g) AS exp_mean,
+           avg(CASE WHEN g <= 8 THEN 1.0::DOUBLE ELSE 0 END) AS clip_low, avg(CASE WHEN g >= 247 THEN 1.0::DOUBLE ELSE 0 END) AS clip_high,
+           round(sqrt(greatest(avg(lap * lap) - avg(lap) * avg(lap), 0)), 6) AS lap_std, round(any_value(noise_floor), 6) AS noise_floor
+    FROM q JOIN noise USING (k) GROUP BY q.k""")
 def frame_metrics(v):
-    return frames.frame_metrics(_rasters(v)).drop("dirt_boxes")
+    rows = frames.frame_metrics(_rasters(v)).select("file_id", "frame_idx", *frames.METRIC_NAMES[:7])
+    return rows.withColumns({c: F.round(c, 6) for c in ("gray_std", "lap_std", "noise_floor")})
 
 
 @query()
+def frame_marks(v):
+    """Lens dirt and perceptual hash of each raster."""
+    return frames.frame_metrics(_rasters(v)).select("file_id", "frame_idx", "dirt_conf", "dup_hash")
+
+
+@query("", f"""
+    WITH pair AS (SELECT a.o_orderkey AS k, b.o_orderkey AS m FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey - a.o_orderkey % 3 AND a.o_orderkey % 3 <> 0)
+    SELECT k + 1 AS file_id, m + 1 AS other_id, avg(CASE WHEN abs({_pixel('k', 'x', 'y')} - {_pixel('m', 'x', 'y')}) > 25 THEN 1.0::DOUBLE ELSE 0 END) AS diff
+    FROM pair, {GRID} GROUP BY k, m""")
 def pixel_diff(v):
     rasters = _rasters(v)
     pairs = v("orders").select((F.col("o_orderkey") + 1).alias("file_id"), (F.col("o_orderkey") - F.col("o_orderkey") % 3 + 1).alias("other_id")).where("file_id <> other_id")

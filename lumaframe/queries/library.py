@@ -357,12 +357,13 @@ def safe_names(v):
     return v("pages").select("page_id", P.file_name(F.col("url")).alias("name"), P.csv_safe(F.concat(lead, "url")).alias("cell"))
 
 
-@query("", """
-    SELECT doc_id, CASE WHEN length(trim(substr(text, 1, 20 + CAST(doc_id % 9 AS INT)), ' ' || chr(10))) BETWEEN 1 AND 24
-                         AND NOT contains(trim(substr(text, 1, 20 + CAST(doc_id % 9 AS INT)), ' ' || chr(10)), chr(10)) THEN trim(substr(text, 1, 20 + CAST(doc_id % 9 AS INT)), ' ' || chr(10)) END AS name
-    FROM documents""")
+@query("", r"""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, CAST(pos AS INT) AS pos, CASE WHEN length(trim(line)) BETWEEN 1 AND 24 AND NOT regexp_matches(trim(line), '[\x00-\x1F\x7F-\x{9F}]') THEN trim(line) END AS name FROM l""")
 def reviewer_names(v):
-    return v("documents").select("doc_id", P.reviewer_name(F.expr("substring(text, 1, 20 + cast(doc_id % 9 as int))")).alias("name"))
+    """Every line of every text as a name."""
+    lines = v("documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return lines.select("doc_id", "pos", P.reviewer_name(F.col("line")).alias("name"))
 
 
 @query("file", r"""

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lumaframe.functions import values as V
 from lumaframe.operators import stats
-from lumaframe.queries.registry import query
+from lumaframe.queries import library
+from lumaframe.queries.registry import SQL, query
 
 NOW_MS = 1_706_600_000_000
 
@@ -135,29 +136,50 @@ def active_reviewers(v):
     return stats.active_reviewers(v("claim"), v("known_user"), NOW_MS)
 
 
-@query("feed", "SELECT user_name AS name, max(ts_ms) AS last_used FROM feed GROUP BY user_name ORDER BY max(ts_ms) DESC, user_name DESC LIMIT 20")
+@query("feed", """
+    SELECT trim(user_name) AS name, max(ts_ms) AS last_used FROM feed WHERE trim(user_name) NOT IN ('', '匿名')
+    GROUP BY trim(user_name) ORDER BY max(ts_ms) DESC, min(event_id) DESC LIMIT 20""")
 def recent_names(v):
-    return stats.recent_names(v("feed").select(F.col("user_name").alias("name"), F.col("ts_ms").alias("last_used")))
+    return stats.recent_names(v("feed").select(F.col("user_name").alias("name"), F.col("ts_ms").alias("last_used"), F.col("event_id").alias("seq")))
 
 
 @query("file qc probe feed", """
     SELECT 'failed' AS kind, f.rel_path AS text, CAST(1 AS BIGINT) AS n FROM file f JOIN probe p ON p.file_id = f.id WHERE f.kind = 2 AND NOT p.ok
     UNION ALL SELECT 'missing', rel_path, 1 FROM (SELECT rel_path FROM file WHERE present = 0 ORDER BY name, id LIMIT 200)
     UNION ALL SELECT 'missing_more', '', n - 200 FROM (SELECT count(*) AS n FROM file WHERE present = 0) WHERE n > 200
-    UNION ALL SELECT 'scan', props, 1 FROM feed WHERE event_type = 'error' AND event_id % 100 = 0
+    UNION ALL SELECT 'scan', props, 1 FROM feed WHERE event_type = 'error'
     UNION ALL SELECT 'corrupted', '', n FROM (SELECT count(*) AS n FROM qc WHERE flags & 2 <> 0) WHERE n > 0""")
 def issue_centre(v):
     files = v("file")
     failed = files.where("kind = 2").join(v("probe").where("not ok").select(F.col("file_id").alias("id")), "id", "left_semi")
-    errors = v("feed").where("event_type = 'error' and event_id % 100 = 0").select(F.col("props").alias("message"))
+    errors = v("feed").where("event_type = 'error'").select(F.col("props").alias("message"))
     return stats.issue_centre(files, failed, v("qc"), errors)
 
 
-@query("folder file review qc claim", f"""
-    SELECT 'claims' AS section, concat('[{{"folders":', folders, ',"claims":', claims, ',"stale":', stale, ',"active":', claims - stale, ',"unclaimed":', folders - claims + stale, '}}]') AS json
-    FROM (SELECT count(*) AS folders FROM folder) f, (SELECT count(*) AS claims, count(*) FILTER (WHERE {MS} < {NOW_MS - 1800000}) AS stale FROM claim) c
-    UNION ALL
-    SELECT 'totals', concat('[{{"files":', files, ',"keep":', keep, ',"reject":', reject, ',"pending":', files - keep - reject, '}}]')
-    FROM (SELECT count(*) AS files FROM file) f, (SELECT count(*) FILTER (WHERE decision = 1) AS keep, count(*) FILTER (WHERE decision = 2) AS reject FROM review) r""")
+def _section(name: str, columns: str, sql: str) -> str:
+    """A section of the dashboard in DuckDB: the rows of some SQL as one JSON array."""
+    fields = ", ".join(f"{c} := x.{c}" for c in columns.split())
+    return f"SELECT '{name}' AS section, '[' || coalesce(string_agg(j, ',' ORDER BY j), '') || ']' AS json FROM (SELECT CAST(to_json(struct_pack({fields})) AS VARCHAR) AS j FROM ({sql}) x)"
+
+
+FOLDERS, WORKERS, ISSUES, TALLY = "folder_id total done pending claimer", "active reviewing", "kind n", "status files"
+
+
+@query("", " UNION ALL ".join([
+    _section("claims", "folders claims stale active unclaimed", SQL["claim_summary"]),
+    _section("folders", FOLDERS, f"SELECT folder_id, total, done, pending, coalesce(claimer, '') AS claimer FROM ({SQL['folder_progress_top8']})"),
+    _section("issues", ISSUES, f"SELECT kind, CAST(sum(n) AS BIGINT) AS n FROM ({SQL['issue_centre']}) GROUP BY kind"),
+    _section("media", "photos videos processed unprocessed", SQL["media_totals"]),
+    _section("qc", "total " + " ".join(stats.BITS), SQL["qc_counts_all"]),
+    _section("totals", "files keep reject pending", SQL["totals"]),
+    _section("transcodes", TALLY, SQL["transcode_tally"]),
+    _section("workers", WORKERS, f"SELECT count(*) AS active, count(folder_id) AS reviewing FROM ({SQL['active_reviewers']})"),
+]))
 def dashboard_snapshot(v):
-    return stats.dashboard({"totals": stats.totals(v("file"), v("review")), "claims": stats.claim_summary(v("folder"), _claims(v), NOW_MS)})
+    """All sections: counts, and the eight folders with most to do. Rows of issues are issue_centre's; here they are counted by kind."""
+    people = active_reviewers(v).agg(F.count(F.lit(1)).alias("active"), F.count("folder_id").alias("reviewing"))
+    return stats.dashboard({
+        "claims": claim_summary(v), "folders": folder_progress_top8(v).select(*FOLDERS.split()[:-1], F.coalesce("claimer", F.lit("")).alias("claimer")),
+        "issues": issue_centre(v).groupBy("kind").agg(F.sum("n").alias("n")), "media": media_totals(v), "qc": qc_counts_all(v), "totals": totals(v),
+        "transcodes": library.transcode_tally(v), "workers": people.select(*WORKERS.split()),
+    })

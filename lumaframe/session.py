@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -12,10 +13,13 @@ _shipped: set[str] = set()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir (a temporary one where that is unset, as in tests)."""
+    """df, written to the folder in spark.checkpoint.dir (a temporary one where that is unset and all runs on this machine, as in tests)."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lumaframe import schemas as S
+from lumaframe.operators.frames import METRIC_NAMES, frame_metrics, projections, shifts
+from lumaframe.streaming.replay import outcomes
 from lumaframe.streaming.rules import RULES
 
 
@@ -72,8 +74,12 @@ def expanded_activity(events: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def active_users(events: DataFrame, late: str = "1 minute") -> DataFrame:
-    """(window, users): names seen in the last five minutes, every ten seconds; events: ts, user_name."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", "5 minutes", "10 seconds")).agg(F.approx_count_distinct("user_name").alias("users"))
+    """(window, users): how many names were seen in the last five minutes, every ten seconds, exactly; events: ts, user_name.
+
+    Names are counted once a window by a first aggregation, whose state is a row for each name and window.
+    """
+    names = events.withWatermark("ts", late).groupBy(F.window("ts", "5 minutes", "10 seconds").alias("window"), "user_name").agg(F.count(F.lit(1)).alias("n"))
+    return names.groupBy("window").agg(F.count(F.lit(1)).alias("users"))
 
 
 def marks_per_minute(events: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -99,34 +105,123 @@ def new_only(files: DataFrame, late: str = "1 hour") -> DataFrame:
     return files.withWatermark("ts", late).dropDuplicatesWithinWatermark(["rel_path", "size", "mtime"])
 
 
+#: Folders that a table of upsert_into() is dealt over; a batch rewrites those that its keys are in.
+PARTS = 64
+
+
+def _versions(spark, path: str) -> DataFrame | None:
+    """(version, part, at): for each version of the table in which folder v<at> a part lies; None before the first."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(f"{path}/versions")
+    except AnalysisException:
+        return None
+
+
+def _places(spark, path: str) -> tuple[int, dict[int, int]]:
+    """The last version and where its parts lie (at most PARTS rows)."""
+    known = _versions(spark, path)
+    if known is None:
+        return -1, {}
+    last = known.agg(F.max("version")).first()[0]
+    return last, {r["part"]: r["at"] for r in known.where(F.col("version") == last).collect()}
+
+
+def _read(spark, path: str, places: dict[int, int]) -> DataFrame | None:
+    return spark.read.parquet(*[f"{path}/v{at}/part={part}" for part, at in sorted(places.items())]) if places else None
+
+
+def _remove(spark, paths: list[str]) -> None:
+    context = spark.sparkContext
+    for p in paths:
+        p = context._jvm.org.apache.hadoop.fs.Path(p)
+        p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def upsert_into(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps the last row per key: each batch writes a new version folder and then names it as current."""
+    """A foreachBatch sink that keeps the last row per key.
+
+    The table lies in PARTS folders by a hash of the key. A batch writes those anew that it touches and then names the new version;
+    what only versions before the last one had is removed, so a reader of that one can finish. A batch that was written before does nothing.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        last = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        before = current(spark, path)
-        rows = last if before is None else before.join(last.select(*keys), keys, "left_anti").unionByName(last)
-        rows.write.mode("overwrite").parquet(f"{path}/v{number}")
-        spark.createDataFrame([(number,)], "version long").write.mode("append").parquet(f"{path}/versions")
+        last, places = _places(spark, path)
+        if last >= number:
+            return
+        part = F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")
+        new = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*").withColumn("part", part)
+        touched = [r["part"] for r in new.select("part").distinct().collect()]
+        before = _read(spark, path, {p: places[p] for p in touched if p in places})
+        rows = new
+        if before is not None:
+            stay = before.join(new.select(*keys), keys, "left_anti").select(*batch.columns).withColumn("part", part)
+            rows = stay.unionByName(new)
+        rows.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/v{number}")
+        now = places | dict.fromkeys(touched, number)
+        known = _versions(spark, path)
+        old = [] if known is None else known.where(F.col("version") < last).select("part", "at").distinct().collect()
+        if now:
+            spark.createDataFrame([(number, p, at) for p, at in now.items()], "version long, part int, at long").write.mode("append").parquet(f"{path}/versions")
+        needed = {*places.items(), *now.items()}
+        _remove(spark, [f"{path}/v{r['at']}/part={r['part']}" for r in old if (r["part"], r["at"]) not in needed])
 
     return write
 
 
 def current(spark, path: str) -> DataFrame | None:
     """The table that upsert_into() has written last, if any."""
-    from pyspark.errors import AnalysisException
+    return _read(spark, path, _places(spark, path)[1])
 
-    try:
-        version = spark.read.parquet(f"{path}/versions").agg(F.max("version")).first()[0]
-    except AnalysisException:
-        return None
-    return spark.read.parquet(f"{path}/v{version}")
+
+def store_marks(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink for keyed(events, "lock", "folder_id"): outcomes of the marks, and the last decision of each file.
+
+    The stream's state is who holds each folder; decisions are read from and kept in the table current(spark, path + "/marks").
+    Outcomes of batch n lie in path/outcomes/batch=n.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        stored = current(batch.sparkSession, f"{path}/marks")
+        batch.persist()
+        rows = outcomes(batch, stored)
+        if _places(batch.sparkSession, f"{path}/marks")[0] < number:  # else the table holds this batch already, and so do its outcomes
+            rows.write.mode("overwrite").parquet(f"{path}/outcomes/batch={number}")
+            kept = rows.where("outcome <> 'blocked'").select("file_id", "decision", "user_name", F.struct("ts_ms", "seq").alias("at"))
+            upsert_into(f"{path}/marks", ["file_id"], "at")(kept, number)
+        batch.unpersist()
+
+    return write
+
+
+def file_results(metrics: DataFrame, shaking: DataFrame) -> DataFrame:
+    """(file_id, frames, flags, METRICS of the first frame) from frame_metrics() of whole files and verdict.shake() of them.
+
+    A file of one frame is judged like an image; of several like a clip: by the share of frames with each fault, and shake.
+    """
+    from lumaframe.operators import verdict
+
+    judged = verdict.image_verdicts(metrics)
+    has = lambda bit: F.col("flags").bitwiseAND(bit) != 0
+    t = S.Thresholds()
+    hits = judged.where("not corrupted").select(
+        "file_id", "frame_idx", has(S.BLANK).alias("blank"), has(S.LENS_DIRT).alias("dirt"), has(S.BLUR).alias("blur"), has(S.NOISE).alias("noise"), "dup_hash",
+        verdict.under(F.col("exp_mean"), F.col("clip_low"), t).alias("under"), verdict.over(F.col("exp_mean"), F.col("clip_high"), t).alias("over"),
+    )
+    votes = verdict.video_votes(hits).select("file_id", F.col("flags").alias("voted"))
+    shaken = shaking.where("shake").select("file_id", F.lit(S.SHAKE).alias("shaken"))
+    first = judged.groupBy("file_id").agg(F.count(F.lit(1)).alias("frames"), F.min_by(F.struct("flags", *METRIC_NAMES), "frame_idx").alias("first"))
+    rows = first.join(votes, "file_id", "left").join(shaken, "file_id", "left")
+    clip = F.coalesce("voted", F.lit(S.CORRUPTED)).bitwiseOR(F.coalesce("shaken", F.lit(0)))
+    flags = F.when(F.col("frames") > 1, clip).otherwise(F.col("first.flags")).cast("int")
+    return rows.select("file_id", "frames", flags.alias("flags"), *[F.col(f"first.{c}") for c in METRIC_NAMES])
 
 
 def ingest(stored: str, version: int) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that measures new frames (FRAME and size, mtime) and appends what no stored result covers."""
-    from lumaframe.operators.frames import frame_metrics
+    """A foreachBatch sink that measures new files (all their FRAME rows with size and mtime) and stores what no stored result covers."""
+    from lumaframe.operators import verdict
 
     def write(batch: DataFrame, number: int) -> None:
         facts = batch.select("file_id", "size", "mtime").distinct()
@@ -134,7 +229,8 @@ def ingest(stored: str, version: int) -> Callable[[DataFrame, int], None]:
         if done is not None:
             facts = facts.join(done.where(F.col("qc_version") == version), ["file_id", "size", "mtime"], "left_anti")
         fresh = batch.join(facts.select("file_id"), "file_id", "left_semi")
-        rows = frame_metrics(fresh).where("frame_idx = 0").join(facts, "file_id").withColumn("qc_version", F.lit(version)).withColumn("batch", F.lit(number).cast("long"))
+        found = file_results(frame_metrics(fresh, S.COSTLY_EVERY), verdict.shake(shifts(projections(fresh))))
+        rows = found.join(facts, "file_id").withColumn("qc_version", F.lit(version)).withColumn("batch", F.lit(number).cast("long"))
         upsert_into(stored, ["file_id"], "batch")(rows, number)
 
     return write

@@ -83,22 +83,17 @@ def claim(state: dict, e) -> tuple[dict, list]:
     return state, []
 
 
-def marks(state: dict, e) -> tuple[dict, list]:
-    """e: ts_ms, user_name, op (claim, release or mark), file_id, decision; key is the folder. Returns (file_id, outcome, decision, user_name).
+def lock(state: dict, e) -> tuple[dict, list]:
+    """e: ts_ms, user_name, op (claim, release or mark), file_id, decision; key is the folder. Returns each mark and whether it is allowed.
 
-    Claims and marks of a folder share a key, so the lock is checked in the order of events.
+    Claims and marks of a folder share a key, so the lock is checked in the order of events; the state is who holds it.
     """
-    holder, files = state.get("holder"), dict(state.get("files", {}))
+    holder = state.get("holder")
     if e.op == "claim":
-        return {"holder": holder or e.user_name, "files": files}, []
+        return {"holder": holder or e.user_name}, []
     if e.op == "release":
-        return {"holder": None if holder == e.user_name else holder, "files": files}, []
-    if holder is not None and holder != e.user_name:
-        return state, [(e.file_id, "blocked", e.decision, e.user_name)]
-    key = str(e.file_id)
-    if files.get(key) == e.decision:
-        return state, [(e.file_id, "same", e.decision, e.user_name)]
-    return {"holder": holder, "files": files | {key: int(e.decision)}}, [(e.file_id, "changed", e.decision, e.user_name)]
+        return {"holder": None if holder == e.user_name else holder}, []
+    return state, [(e.file_id, e.decision, e.user_name, holder is None or holder == e.user_name)]
 
 
 def changed_section(state: dict, e) -> tuple[dict, list]:
@@ -113,6 +108,6 @@ RULES = {
     "throttle": (throttle, "outcome string"),
     "redeem": (redeem, "outcome string"),
     "claim": (claim, "outcome string, holder string"),
-    "marks": (marks, "file_id long, outcome string, decision int, user_name string"),
+    "lock": (lock, "file_id long, decision int, user_name string, allowed boolean"),
     "section": (changed_section, "json string"),
 }

@@ -3,11 +3,12 @@
 from datetime import datetime, timedelta
 from types import SimpleNamespace
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lumaframe import schemas as S
 from lumaframe.streaming import live, rules
-from lumaframe.streaming.replay import replay
+from lumaframe.streaming.replay import marked
 
 START = datetime(2024, 1, 1)
 
@@ -65,10 +66,30 @@ def test_marks_stream_is_its_replay(spark, tmp_path):
     for k in range(60):
         op = "claim" if k % 11 == 0 else "release" if k % 13 == 0 else "mark"
         log.append((k % 3, 10 * k, k, f"u{k % 4}", op, k % 5, k // 7 % 3))
-    want = sorted(map(tuple, replay(spark.createDataFrame(log, schema), "marks", "folder_id").collect()))
+    want = sorted(map(tuple, marked(spark.createDataFrame(log, schema)).collect()))
     assert {w[4] for w in want} == {"blocked", "same", "changed"}
-    got = sorted(map(tuple, streamed(spark, tmp_path, [log[:20], log[20:45], log[45:]], schema, lambda s: live.keyed(s, "marks", "folder_id"))))
-    assert got == want
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (log[:20], log[20:45], log[45:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = live.keyed(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), "lock", "folder_id")
+    q = stream.writeStream.foreachBatch(live.store_marks(out)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert q.exception() is None
+    got = spark.read.parquet(f"{out}/outcomes").drop("batch").collect()
+    assert sorted(map(tuple, got)) == want
+    holder, decided, slow = {}, {}, []
+    for folder, ts, seq, user, op, file_id, decision in log:  # one dict of everything
+        if op == "claim":
+            holder[folder] = holder.get(folder) or user
+        elif op == "release":
+            holder[folder] = None if holder.get(folder) == user else holder.get(folder)
+        elif holder.get(folder) not in (None, user):
+            slow.append((file_id, ts, seq, folder, "blocked", decision, user))
+        else:
+            slow.append((file_id, ts, seq, folder, "same" if decided.get(file_id) == decision else "changed", decision, user))
+            decided[file_id] = decision
+    assert want == sorted(slow)
+    assert {r["file_id"]: r["decision"] for r in live.current(spark, f"{out}/marks").collect()} == decided
 
 
 def at(seconds):
@@ -109,7 +130,9 @@ def test_other_windows(spark, tmp_path):
     schema = "ts timestamp, user_name string"
     rows = [(at(0), "a"), (at(1), "b"), (at(200), "a")]
     active = streamed(spark, tmp_path / "a", [rows, [(at(2000), "z")], [(at(4000), "z")]], schema, live.active_users)
-    assert max(r["users"] for r in active) == 2
+    starts = {at(10 * k) for k in range(-30, 21)}
+    seen = {w: len({u for t, u in rows if w <= t < w + timedelta(minutes=5)}) for w in starts}
+    assert {r["window"]["start"]: r["users"] for r in active if r["window"]["start"] in starts} == {w: n for w, n in seen.items() if n}
     ticks = streamed(spark, tmp_path / "b", [[(at(0), "a"), (at(0), "b"), (at(3), "a")], [(at(100), "z")], [(at(200), "z")]], schema, live.once_a_second)
     assert sorted((r["window"]["start"], r["n"]) for r in ticks)[:2] == [(at(0), 2), (at(3), 1)]
     once = streamed(spark, tmp_path / "c", [[(at(0), "p", 1, 1), (at(1), "p", 1, 1)], [(at(2), "p", 1, 1), (at(3), "p", 2, 1)]], "ts timestamp, rel_path string, size long, mtime long", live.new_only)
@@ -121,6 +144,11 @@ def test_upsert_and_ingest(spark, tmp_path):
     write(spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "file_id long, n long, v string"), 0)
     write(spark.createDataFrame([(2, 5, "d"), (3, 1, "e")], "file_id long, n long, v string"), 1)
     assert {r["file_id"]: r["v"] for r in live.current(spark, str(tmp_path / "t")).collect()} == {1: "b", 2: "d", 3: "e"}
+    for n in (2, 3, 3):  # a batch that comes again changes nothing
+        write(spark.createDataFrame([(1, n + 4, f"x{n}")], "file_id long, n long, v string"), n)
+    assert {r["file_id"]: r["v"] for r in live.current(spark, str(tmp_path / "t")).collect()} == {1: "x3", 2: "d", 3: "e"}
+    kept = {p.parent.name for p in (tmp_path / "t").glob("v*/part=*")}
+    assert "v3" in kept and len([*(tmp_path / "t").glob("v*/part=*")]) <= 5
     store = str(tmp_path / "qc")
     sink = live.ingest(store, S.ALGORITHM_VERSION)
     frames = spark.createDataFrame([(1, 0, 64, 64, bytearray(4096)), (2, 0, 64, 64, bytearray(b"x"))], S.FRAME).withColumn("size", F.lit(1).cast("long")).withColumn("mtime", F.lit(1).cast("long"))
@@ -131,3 +159,22 @@ def test_upsert_and_ingest(spark, tmp_path):
     claims = spark.createDataFrame([(7, "a"), (8, "a")], "folder_id long, user_name string")
     events = spark.createDataFrame([(0, "a", "activity"), (9, "b", "claim")], "folder_id long, user_name string, op string")
     assert sorted(r["folder_id"] for r in live.expanded_activity(events, claims).collect()) == [7, 8, 9]
+
+
+def test_ingest_votes_over_all_frames(spark, tmp_path):
+    """A streamed clip gets the flags that the batch rules give it."""
+    rng = np.random.default_rng(2)
+    scene = rng.integers(0, 255, (80, 80)).astype(np.uint8)
+    rows = []
+    for k in range(12):
+        d = 3 if k % 2 else 0
+        rows.append((1, k, 64, 64, bytearray(scene[8 + d : 72 + d, 8:72].tobytes())))
+        rows.append((2, k, 64, 64, bytearray(bytes(4096)) if k % 2 else bytearray(scene[8:72, 8:72].tobytes())))
+        rows.append((3, k, 64, 64, bytearray(scene[8:72, 8:72].tobytes()) if k else bytearray(bytes(4096))))
+    rows.append((4, 0, 64, 64, bytearray(bytes(4096))))
+    rows += [(5, k, 64, 64, bytearray(b"x")) for k in range(2)]
+    frames = spark.createDataFrame(rows, S.FRAME).withColumn("size", F.lit(1).cast("long")).withColumn("mtime", F.lit(1).cast("long"))
+    live.ingest(str(tmp_path / "qc"), S.ALGORITHM_VERSION)(frames, 0)
+    flags = {r["file_id"]: r["flags"] for r in live.current(spark, str(tmp_path / "qc")).collect()}
+    assert flags[1] & S.SHAKE and not flags[2] & S.SHAKE and flags[2] & S.BLANK and flags[2] & S.EXPOSURE
+    assert not flags[3] & (S.BLANK | S.EXPOSURE | S.SHAKE) and flags[4] & S.BLANK and flags[5] == S.CORRUPTED
