@@ -8,17 +8,22 @@ alone, so equal strings have their anchors at the same place, and only suffixes
 one in 170 bytes). An anchor owns a run of string starts; what these strings cover is its stretch of text.
 
 1. A pass over the texts writes one row of hashes per anchor. Anchors whose leading bytes (the gram) occur once are done.
-   If the whole stretch occurs twice, all strings that the anchor owns repeat.
-2. For grams with several different stretches one copy of each is cut out of its text. Suffixes are range-partitioned by their leading bytes
-   with sampled splitters; every bucket is sorted by multikey quicksort on eight-byte digits (from the anchor on, then the
-   text before it, backwards), and strings of neighbours with one gram are compared.
-3. A string may repeat across a bucket's boundary only if it shares, from its anchor on, what splitters look at with the
+   Equal stretches are counted before anything else moves, so a group of copies is one suffix with a number.
+2. One copy of each stretch is cut out of its text. Suffixes are range-partitioned by their leading bytes with sampled
+   splitters, and every bucket is sorted by multikey quicksort on eight-byte digits (from the anchor on, then the text
+   before it, backwards).
+3. Repeats come from the bytes that sorted neighbours have in common: forward from the anchor and backward from it. A suffix
+   that stands for several repeats whole, as its equal neighbours. Where three or more suffixes have a gram, a string
+   may equal one that is no neighbour; only those that share enough with a neighbour to allow it are looked up by hash and
+   then compared byte by byte.
+4. A string may repeat across a bucket's boundary only if it shares, from its anchor on, what splitters look at with the
    bucket's first or last suffix (or less, if the string ends before): such strings are compared with those of other buckets
    by hash, packed into one row per bucket and part of the hashes.
-4. The runs of repeated strings meet the texts, and their bytes are taken out.
+5. The runs of repeated strings go back to all copies of their stretch, and their bytes are taken out of the texts. Stretches
+   with more than HOT copies meet those by broadcast (if they are few enough), so no task gets all rows of one.
 
-A group of copies that holds a third of all rows is settled by partial aggregation in step 1. A passage in as many different
-contexts spreads over buckets, as beyond the leading bytes the splitters look at a hash of the stretch. A bucket is a few megabytes.
+A passage in many different contexts spreads over buckets, as beyond the leading bytes the splitters look at a hash of the
+stretch. A bucket is a few megabytes.
 
 Defined results: a null text is empty; texts under `length` bytes stay whole; strings are judged on the input, so all copies
 go, the first too; equal rows are copies of each other; an empty table gives an empty result; texts may be of any length;
@@ -35,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumaframe.llm.common import as_bytes, forget, saved, slices
+from lumaframe.llm.common import as_bytes, bounded, forget, once, saved, slices
 
 GRAM = 48
 #: String starts that are looked at together; longer texts are cut (their strings still overlap the cuts).
@@ -44,6 +49,8 @@ PLACE_BITS = 28
 BASE = 0x9E3779B97F4A7C15 | 1
 #: Leading bytes of a suffix that splitters look at. Beyond them a hash of the stretch splits, so no group is too large for buckets.
 LEAD = 64
+#: Copies of a stretch from which on its rows are kept out of shuffles by it.
+HOT = 256
 #: Bytes of suffixes in a bucket.
 BUCKET_BYTES = 8 << 20
 
@@ -154,160 +161,190 @@ def sort_keys(stretches: list[bytes], before: list[int]) -> np.ndarray:
 
 
 def shared_lead(keys: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """How many bytes each row of keys shares with the row other from the start."""
+    """How many bytes each row of keys shares from the start with the row of other (or with the one row other)."""
+    if not keys.shape[1]:
+        return np.zeros(len(keys), np.int64)
     different = keys != other
     return np.where(different.any(axis=1), different.argmax(axis=1), keys.shape[1])
 
 
-def compare_bucket(stretches: list[bytes], before: np.ndarray, owned: np.ndarray, length: int):
+def neighbours(keys: np.ndarray, order: np.ndarray, ahead: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes that each suffix in order shares with the next: from the anchor on and before it.
+
+    keys are those of sort_keys(), ahead and before the true lengths of the two parts of each row.
+    """
+    wide = int(ahead.max())
+    forth, back = np.zeros(max(len(order) - 1, 0), np.int64), np.zeros(max(len(order) - 1, 0), np.int64)
+    for k in range(0, len(forth), 4096):
+        a, b = order[k : k + 4097][:-1], order[k : k + 4097][1:]
+        forth[k : k + len(a)] = np.minimum(shared_lead(keys[a, :wide], keys[b, :wide]), np.minimum(ahead[a], ahead[b]))
+        back[k : k + len(a)] = np.minimum(shared_lead(keys[a, wide:], keys[b, wide:]), np.minimum(before[a], before[b]))
+    return forth, back
+
+
+def equal_strings(data: np.ndarray, start: np.ndarray, order: np.ndarray, same: np.ndarray, length: int) -> np.ndarray:
+    """same, where the strings of neighbours in order have equal bytes as well as equal hashes."""
+    at = same.nonzero()[0]
+    for k in range(0, len(at), 8192):
+        i = at[k : k + 8192]
+        x, y = (data[start[order[j]][:, None] + np.arange(length)] for j in (i, i + 1))
+        same[i] = (x == y).all(axis=1)
+    return same
+
+
+def compare_bucket(stretches: list[bytes], before: np.ndarray, owned: np.ndarray, several: np.ndarray, length: int):
     """Which strings of a bucket's stretches repeat in it.
 
-    before: bytes of each stretch that precede its anchor; owned: string starts in each.
-    Returns the strings' (row, number in the row, hash, repeats here, may repeat across the bucket's boundary); of equal ones one asks.
+    before: bytes of each stretch that precede its anchor; owned: string starts in each; several: it stands for several copies.
+    Returns the strings' (row, number in the row, repeats here) and of those that may repeat across the bucket's boundary
+    (place among the strings, hash); of equal ones one asks.
     """
     gram = min(GRAM, length)
+    ahead = np.fromiter(map(len, stretches), np.int64, len(stretches)) - before
     keys = sort_keys(stretches, before.tolist())
     order = multikey_quicksort(keys.view(">u8"))
-    new = np.r_[True, (keys[order[1:], :gram] != keys[order[:-1], :gram]).any(axis=1)]
+    forth, back = neighbours(keys, order, ahead, before)
     group = np.zeros(len(order), np.int64)
-    group[order] = np.cumsum(new) - 1
+    group[order] = np.r_[0, np.cumsum(forth < gram)]
+    # strings of each row by their distance from the anchor: a neighbour has those between length - forth and back
+    row = np.repeat(np.arange(len(stretches)), owned)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(owned) - owned, owned)
+    off = before[row] - number
+    repeats, most = several[row], np.zeros(len(stretches), np.int64)
+    for rows in (order[:-1], order[1:]):
+        low, high = np.full(len(stretches), length + 1), np.full(len(stretches), -1)
+        low[rows], high[rows] = length - forth, back
+        repeats |= (off >= low[row]) & (off <= high[row])
+        most[rows] = np.maximum(most[rows], forth)
     reach = np.zeros(len(order), np.int64)
     for outer, edge in ((0, order[0]), (int(group.max()), order[-1])):
         own = (group == outer).nonzero()[0]
         reach[own] = np.maximum(reach[own], shared_lead(keys[own], keys[edge]))
+    # beyond neighbours: strings that may equal another of a group of three or more, in groups where one is still open
+    may = (most[row] >= length - off) & (np.bincount(group)[group] > 2)[row]
+    may &= (np.bincount(group[row], may & ~repeats, int(group.max()) + 1) > 0)[group][row]
+    asks = reach[row] >= np.minimum(length - off, LEAD)
+    some = (may | asks).nonzero()[0]
+    if not len(some):
+        return row, number, repeats, some, np.zeros(0, np.uint64)
+    data = np.frombuffer(b"".join(stretches), np.uint8)
     base = np.cumsum([0, *map(len, stretches)])
-    hashes = PrefixHash(np.frombuffer(b"".join(stretches), np.uint8))
-    row = np.repeat(np.arange(len(stretches)), owned)
-    number = np.arange(len(row)) - np.repeat(np.cumsum(owned) - owned, owned)
-    start = base[row] + number
-    value = hashes.of(start, start + length)
-    own = group[row]
+    start = base[row[some]] + number[some]
+    value = PrefixHash(data).of(start, start + length)
+    own = group[row[some]]
     sort = np.lexsort((own, value))
-    same = (value[sort][1:] == value[sort][:-1]) & (own[sort][1:] == own[sort][:-1])
-    repeats, leads = np.zeros(len(row), bool), np.ones(len(row), bool)
-    repeats[sort] = np.r_[False, same] | np.r_[same, False]
+    same = equal_strings(data, start, sort, (value[sort][1:] == value[sort][:-1]) & (own[sort][1:] == own[sort][:-1]), length)
+    met, leads = np.zeros(len(some), bool), np.ones(len(some), bool)
+    met[sort] = np.r_[False, same] | np.r_[same, False]
     leads[sort] = ~np.r_[False, same]
-    ask = leads & (reach[row] >= np.minimum(length - (before[row] - number), LEAD))
-    return row, number, value, repeats, ask
+    repeats[some] |= met
+    ask = leads & asks[some]
+    return row, number, repeats, some[ask], value[ask]
 
 
-def runs_of(row: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Joins string starts that follow each other in a row (in order of row and start): (first place in the arrays, start, stop)."""
+def runs_of(row: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Joins strings that follow each other in a row (in order of row and number): (first place in the arrays, first, last number)."""
     if not len(row):
         return (np.zeros(0, np.int64),) * 3
-    new = np.r_[True, (np.diff(row) != 0) | (np.diff(start) != 1)].nonzero()[0]
+    new = np.r_[True, (np.diff(row) != 0) | (np.diff(number) != 1)].nonzero()[0]
     last = np.r_[new[1:] - 1, len(row) - 1]
-    return new, start[new], start[last] + length
+    return new, number[new], number[last]
+
+
+LISTS = ["kinds", "grams", "numbers", "values", "open"]
 
 
 def compared(cut: DataFrame, length: int, parts: int) -> DataFrame:
-    """Sorts the suffixes of cut (doc_id, body, gram, first, before, owned, settled, stretch) in buckets.
+    """Sorts the suffixes of cut (gram, kind, before, owned, n, stretch) in buckets.
 
-    Returns rows (doc_id, body, start, stop) of repeated runs, with part null, and for each part of the hashes of strings to compare across
-    boundaries one row of arrays (doc_ids, bodies, starts, grams, values, open); open is false where the string is known to go.
+    Returns rows (gram, kind, low, high), numbers of the strings of a stretch that repeat, with part null, and for each part of the
+    hashes of strings to compare across boundaries one row of arrays LISTS; open is false where the string is known to go.
     """
-    kind = cut.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "body", "start", "stop", "part", "doc_ids", "bodies", "starts", "grams", "values", "open"]
+    names = ["gram", "kind", "low", "high", "part", *LISTS]
 
     def run(batches):
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
         whole = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
-        first, before, owned, settled = (whole.column(c).to_numpy(zero_copy_only=False) for c in ("first", "before", "owned", "settled"))
-        row, number, value, repeats, ask = compare_bucket(whole.column("stretch").to_pylist(), before, owned, length)
-        start = first[row] + number
-        done = (repeats & ~settled[row]).nonzero()[0]
-        at, begin, end = runs_of(row[done], start[done], length)
-        taken = pa.array(row[done][at])
-        ids, bodies, grams = whole.column("doc_id"), whole.column("body"), whole.column("gram")
-        empty = [pa.nulls(len(at), t) for t in (pa.int64(), pa.list_(ids.type), *[pa.list_(pa.int64())] * 4, pa.list_(pa.bool_()))]
-        yield pa.RecordBatch.from_arrays([ids.take(taken), bodies.take(taken), pa.array(begin), pa.array(end), *empty], names=names)
-        ask = ask.nonzero()[0]
-        part = (value[ask] % np.uint64(parts)).astype(np.int64)
-        ask = ask[part.argsort(kind="stable")]
+        gram, kind, before, owned, n = (whole.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "kind", "before", "owned", "n"))
+        row, number, repeats, ask, value = compare_bucket(whole.column("stretch").to_pylist(), before, owned, n > 1, length)
+        done = repeats.nonzero()[0]
+        at, low, high = runs_of(row[done], number[done])
+        taken = row[done][at]
+        empty = [pa.nulls(len(at), t) for t in (pa.int64(), *[pa.list_(pa.int64())] * 4, pa.list_(pa.bool_()))]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (gram[taken], kind[taken], low, high)), *empty], names=names)
+        part = (value % np.uint64(parts)).astype(np.int64)
+        order = part.argsort(kind="stable")
+        ask, value = ask[order], value[order]
         some, sizes = np.unique(part, return_counts=True)
         cuts = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
-        rows = pa.array(row[ask])
-        lists = [ids.take(rows), bodies.take(rows), pa.array(start[ask]), grams.take(rows), pa.array(value[ask].view(np.int64)), pa.array(~(repeats | settled[row])[ask])]
-        none = [pa.nulls(len(some), t) for t in (ids.type, pa.int64(), pa.int64(), pa.int64())]
-        yield pa.RecordBatch.from_arrays([*none, pa.array(some), *[pa.ListArray.from_arrays(cuts, x) for x in lists]], names=names)
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (kind[row[ask]], gram[row[ask]], number[ask], value.view(np.int64), ~repeats[ask])]
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(some), pa.int64())] * 4, pa.array(some), *lists], names=names)
 
-    columns = ["doc_id", "body", "gram", "first", "before", "owned", "settled", "stretch"]
-    lists = f"doc_ids array<{kind}>, bodies array<long>, starts array<long>, grams array<long>, values array<long>, open array<boolean>"
-    return cut.select(*columns).mapInArrow(run, f"doc_id {kind}, body long, start long, stop long, part long, {lists}")
+    lists = "kinds array<long>, grams array<long>, numbers array<long>, values array<long>, open array<boolean>"
+    return cut.select("gram", "kind", "before", "owned", "n", "stretch").mapInArrow(run, f"gram long, kind long, low long, high long, part long, {lists}")
 
 
-def across(found: DataFrame, length: int, parts: int) -> DataFrame:
-    """(doc_id, body, start, stop): the open strings among the arrays of compared() that another bucket holds too."""
-    kind = found.schema["doc_id"].dataType.simpleString()
-    names = ["doc_ids", "bodies", "starts", "grams", "values", "open"]
+def across(found: DataFrame, parts: int) -> DataFrame:
+    """(gram, kind, low, high): the open strings among the arrays of compared() that another bucket holds too."""
 
     def run(batches):
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
         whole = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
-        ids, body, start, gram, value, open_ = (whole.column(c).flatten() for c in names)
-        body, start, gram, value, open_ = (x.to_numpy(zero_copy_only=False) for x in (body, start, gram, value, open_))
+        kind, gram, number, value, open_ = (whole.column(c).flatten().to_numpy(zero_copy_only=False) for c in LISTS)
         sort = np.lexsort((gram, value))
         same = (value[sort][1:] == value[sort][:-1]) & (gram[sort][1:] == gram[sort][:-1])
         met = np.zeros(len(value), bool)
         met[sort] = np.r_[False, same] | np.r_[same, False]
         rows = (met & open_).nonzero()[0]
-        rows = rows[np.lexsort((start[rows], body[rows]))]
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(body[rows]), pa.array(start[rows]), pa.array(start[rows] + length)], names=["doc_id", "body", "start", "stop"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[rows]) for x in (gram, kind, number, number)], names=["gram", "kind", "low", "high"])
 
-    asked = found.where("part is not null").select("part", *names).repartition(parts, "part").select(*names)
-    return asked.mapInArrow(run, f"doc_id {kind}, body long, start long, stop long")
+    asked = found.where("part is not null").select("part", *LISTS).repartition(parts, "part").select(*LISTS)
+    return asked.mapInArrow(run, "gram long, kind long, low long, high long")
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """wanted (doc_id, body, gram, at, first, last, settled) with the text of each stretch."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    lists = wanted.groupBy("doc_id", "body").agg(F.collect_list(F.struct("gram", "at", "first", "last", "settled")).alias("anchors"))
+    """wanted (doc_id, body, gram, kind, at, first, last, n) as suffixes: (gram, kind, before, owned, n, stretch)."""
+    lists = wanted.groupBy("doc_id", "body").agg(F.collect_list(F.struct("gram", "kind", "at", "first", "last", "n")).alias("anchors"))
     texts = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("b"), "text")
+    texts = once(texts, ["d", "b"], texts.select("d", "b"))
     both = texts.join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("body") == F.col("b")))
 
     def run(batches):
         for part in slices(batches):
             lists, texts = part.column("anchors"), as_bytes(part)
             flat = lists.flatten()
-            gram, at, first, last, settled = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+            gram, kind, at, first, last, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(6))
             row = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
             stretch = [texts[r][a : b + length] for r, a, b in zip(row.tolist(), first.tolist(), last.tolist(), strict=True)]
-            rows = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(rows), part.column("body").take(rows), pa.array(gram), pa.array(first), pa.array(at - first), pa.array(last - first + 1), pa.array(settled), pa.array(stretch, pa.binary())],
-                names=["doc_id", "body", "gram", "first", "before", "owned", "settled", "stretch"],
-            )
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (gram, kind, at - first, last - first + 1, n)), pa.array(stretch, pa.binary())], names=["gram", "kind", "before", "owned", "n", "stretch"])
 
-    return both.select("doc_id", "body", "text", "anchors").mapInArrow(run, f"doc_id {kind}, body long, gram long, first long, before long, owned long, settled boolean, stretch binary")
+    return both.select("text", "anchors").mapInArrow(run, "gram long, kind long, before long, owned long, n long, stretch binary")
 
 
 def repeated_runs(docs: DataFrame, length: int = 400) -> DataFrame:
     """(doc_id, body, start, stop): stretches of bytes that strings of `length` bytes with a copy elsewhere cover; they may overlap."""
     every = saved(anchor_rows(docs, length), "anchors")
     twice = saved(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "repeated-grams")
-    some = saved(every.join(twice, "gram", "left_semi"), "repeated-anchors")
+    some = saved(every.join(bounded(twice), "gram", "left_semi").withColumnRenamed("stretch", "kind"), "repeated-anchors")
     forget(every, twice)
-    kinds = saved(
-        some.groupBy("gram", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "body", "at", "first", "last")).alias("one")),
-        "stretches",
-    )
-    copies = some.join(kinds.where("n > 1").select("gram", "stretch"), ["gram", "stretch"], "left_semi")
-    settled = copies.select("doc_id", "body", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
-    several = saved(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "varied-grams")
-    wanted = kinds.join(several, "gram", "left_semi").select("gram", "one.*", (F.col("n") > 1).alias("settled"))
-    cut = saved(cut_out(docs, wanted, length), "suffixes")
+    kinds = saved(some.groupBy("gram", "kind").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "body", "at", "first", "last")).alias("one")), "stretches")
+    cut = saved(cut_out(docs, kinds.select("gram", "kind", "n", "one.*"), length), "suffixes")
     size = cut.agg(F.sum(F.octet_length("stretch"))).first()[0] or 0
     spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     lead = F.expr(f"substring(stretch, cast(before as int) + 1, {LEAD})")
     found = saved(compared(cut.repartitionByRange(buckets, lead, F.xxhash64("stretch")), length, buckets), "compared")
-    forget(cut, several)
-    inside = found.where("part is null").select("doc_id", "body", "start", "stop")
-    return settled.unionByName(inside).unionByName(across(found, length, buckets))
+    forget(cut)
+    runs = saved(found.where("part is null").select("gram", "kind", "low", "high").unionByName(across(found, buckets)), "runs")
+    forget(found)
+    keys = ["gram", "kind"]
+    hot = bounded(saved(kinds.where(F.col("n") > HOT).select(*keys), "hot-stretches"))
+    own = some.join(hot, keys, "left_anti").join(runs, keys).unionByName(some.join(hot, keys, "left_semi").join(bounded(saved(runs.join(hot, keys, "left_semi"), "hot-runs")), keys))
+    return own.select("doc_id", "body", (F.col("first") + F.col("low")).alias("start"), (F.col("first") + F.col("high") + length).alias("stop"))
 
 
 def merged(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -68,6 +68,49 @@ def test_odd_rows(odd_docs, no_docs):
     assert by_id[403]["kept"] == b"" and by_id[403]["n_removed"] == by_id[404]["n_bytes"] and by_id[405]["kept"] == b""
 
 
+def test_bucket_against_brute_force():
+    """Strings of one bucket, decided by neighbours and by the look-up beyond them."""
+    rng = random.Random(6)
+    for length in (60, 100):
+        base = "".join(rng.choice("abc") for _ in range(700)).encode()
+        parts = [base[a : a + rng.randint(0, 300)] + bytes(rng.choice(b"abc\0") for _ in range(40)) for a in (rng.randint(0, 500) for _ in range(60))]
+        stretches, before, owned = [], [], []
+        for text in parts:
+            for at, first, last, _, _ in suffix_dedup.anchors(text, length):
+                for a, f, end in zip(at.tolist(), first.tolist(), last.tolist(), strict=True):
+                    stretches.append(text[f : end + length])
+                    before.append(a - f)
+                    owned.append(end - f + 1)
+        row, number, repeats, _, _ = suffix_dedup.compare_bucket(stretches, np.array(before), np.array(owned), np.zeros(len(stretches), bool), length)
+        strings = [stretches[r][k : k + length] for r, k in zip(row.tolist(), number.tolist(), strict=True)]
+        held = Counter(strings)
+        assert [held[x] > 1 for x in strings] == repeats.tolist() and 0 < repeats.sum() < len(repeats)
+
+
+def test_planted_passages_of_51_to_90_words(spark):
+    """Passages go if they have 400 bytes or more, however many words they have; shorter ones are outside of what is asked for."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 10)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows, sizes = [], {}
+    for k, n in enumerate(range(51, 91, 3)):
+        passage = text(n)
+        sizes[k] = len(passage)
+        rows += [(10 * k + j, f"{text(20)} {passage} {text(20)}") for j in range(3)]
+    got = ordered(suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 400).collect())
+    assert got == brute(rows, 400)
+    gone = {r[0]: r[2] for r in got}
+    assert all((gone[10 * k] >= sizes[k]) if size >= 400 else (gone[10 * k] == 0 or size > 390) for k, size in sizes.items())
+    assert min(sizes.values()) < 380 and max(sizes.values()) > 450
+
+
+def test_many_copies_are_kept_out_of_shuffles(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 4)
+    rows = mixed(random.Random(5), 12)
+    rows += [(100 + k, rows[-3][1]) for k in range(9)] + [rows[0]] * 3
+    assert ordered(suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 100).collect()) == brute(rows, 100)
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(1)
     digits = rng.integers(0, 4, (500, 5)).astype(np.uint64)
