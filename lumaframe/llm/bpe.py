@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from lumaframe.llm.common import slices
 
-CACHE = 120_000
+CACHE = 60_000
 # Letters and numbers that Unicode assigned after version 16, which the tokenizer takes for symbols.
 LATER_LETTERS = """
 0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959
@@ -44,7 +44,7 @@ LATER_CASES = """
 10D50-10D65:10D70 16EA0-16EB8:16EBB
 """
 #: Bytes of text whose new words share an index.
-INDEX_BYTES = 2 << 20
+INDEX_BYTES = 1 << 20
 
 
 def byte_letters() -> list[str]:
@@ -205,15 +205,15 @@ def encode_words(words: list[str], vocab: Vocabulary) -> list[tuple[int, ...]]:
 
 
 class Encoder:
-    """Encodes lists of texts; remembers words, and of what stands between white space the ids, their digits and what they decode to."""
+    """Encodes lists of texts; remembers words, and of what stands between white space the ids (or their digits) and what they decode to."""
 
-    def __init__(self, vocab: Vocabulary, cache: int = CACHE):
-        self.vocab, self.limit, self.split = vocab, cache, Splitter(vocab)
+    def __init__(self, vocab: Vocabulary, cache: int = CACHE, digits: bool = False):
+        self.vocab, self.limit, self.split, self.digits = vocab, cache, Splitter(vocab), digits
         self.known: dict[str, tuple[int, ...]] = {}
-        self.runs: dict[str, tuple[tuple[int, ...], int, str, str]] = {}
+        self.runs: dict[str, tuple[tuple[int, ...] | str, int, str]] = {}
 
-    def found(self, texts: list[str | None]) -> list[list[tuple[tuple[int, ...], int, str, str]]]:
-        """For each text its runs: (ids, their number, their digits with spaces between, their tokens with spaces between)."""
+    def found(self, texts: list[str | None]) -> list[list[tuple[tuple[int, ...] | str, int, str]]]:
+        """For each text its runs: (ids, or their digits with spaces between; their number; their tokens with spaces between)."""
         cut = [self.split(t) if t else [] for t in texts]
         if len(self.known) > self.limit:
             self.known = {}
@@ -231,7 +231,7 @@ class Encoder:
         find, number = known.__getitem__, self.vocab.numbers.__getitem__
         for run, parts in words.items():
             ids = find(parts[0]) if len(parts) == 1 else tuple(chain.from_iterable(map(find, parts)))
-            runs[run] = (ids, len(ids), " ".join(map(number, ids)), decode(ids, self.vocab))
+            runs[run] = (" ".join(map(number, ids)) if self.digits else ids, len(ids), decode(ids, self.vocab))
         return [[*map(runs.__getitem__, x)] for x in cut]
 
     def __call__(self, texts: list[str | None]) -> list[list[int]]:
@@ -250,13 +250,13 @@ def encoded(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
 
     def run(batches):
         vocab = shared.value
-        encode = Encoder(vocab)
+        encode = Encoder(vocab, digits=digests)
         for part in slices(batches, limit=INDEX_BYTES):
             n, first, second = [], [], []
             for runs in encode.found(part.column("text").to_pylist()):
-                ids, many, digits, tokens = zip(*runs, strict=True) if runs else ((),) * 4
+                ids, many, tokens = zip(*runs, strict=True) if runs else ((),) * 3
                 n.append(sum(many))
-                first.append(sha256(" ".join(digits).encode()).hexdigest() if digests else [*chain.from_iterable(ids)])
+                first.append(sha256(" ".join(ids).encode()).hexdigest() if digests else [*chain.from_iterable(ids)])
                 second.append(sha256(" ".join(tokens).encode()).hexdigest() if digests else " ".join(tokens))
             n, first, second = pa.array(n, pa.int64()), pa.array(first, pa.string() if digests else pa.list_(pa.int32())), pa.array(second, pa.string())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, first, second], names=names)

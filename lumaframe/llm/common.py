@@ -14,7 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once (a longer text comes alone).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+
+
+def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Rows that go to Python at once: fewer than Spark's default, as texts may be long; another choice of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -88,6 +95,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             stop = max(start + 1, int(ends.searchsorted(base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()
 
 
 def as_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

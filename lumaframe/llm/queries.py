@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumaframe.llm import bpe, decontaminate, language, line_dedup, quality, quality_rules, simhash, suffix_dedup, token_count, toxicity
-from lumaframe.llm.common import fold, table
+from lumaframe.llm.common import fold, modest_batches, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -68,6 +68,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), TOKENIZER, digests=True)
 
 
+def _modest(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        modest_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
@@ -80,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_decontamination": op10_decontamination,
 }
+QUERIES = {name: _modest(query) for name, query in QUERIES.items()}
 
 SQL: dict[str, str] = {
     "op5_line_dedup": r"""

@@ -52,7 +52,7 @@ LEAD = 64
 #: Copies of a stretch from which on its rows are kept out of shuffles by it.
 HOT = 256
 #: Bytes of suffixes in a bucket.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 
 
 @cache
@@ -185,8 +185,8 @@ def neighbours(keys: np.ndarray, order: np.ndarray, ahead: np.ndarray, before: n
 def equal_strings(data: np.ndarray, start: np.ndarray, order: np.ndarray, same: np.ndarray, length: int) -> np.ndarray:
     """same, where the strings of neighbours in order have equal bytes as well as equal hashes."""
     at = same.nonzero()[0]
-    for k in range(0, len(at), 8192):
-        i = at[k : k + 8192]
+    for k in range(0, len(at), 2048):
+        i = at[k : k + 2048]
         x, y = (data[start[order[j]][:, None] + np.arange(length)] for j in (i, i + 1))
         same[i] = (x == y).all(axis=1)
     return same
@@ -207,12 +207,12 @@ def compare_bucket(stretches: list[bytes], before: np.ndarray, owned: np.ndarray
     group = np.zeros(len(order), np.int64)
     group[order] = np.r_[0, np.cumsum(forth < gram)]
     # strings of each row by their distance from the anchor: a neighbour has those between length - forth and back
-    row = np.repeat(np.arange(len(stretches)), owned)
-    number = np.arange(len(row)) - np.repeat(np.cumsum(owned) - owned, owned)
-    off = before[row] - number
+    row = np.repeat(np.arange(len(stretches), dtype=np.int32), owned)
+    number = np.arange(len(row), dtype=np.int32) - np.repeat((np.cumsum(owned) - owned).astype(np.int32), owned)
+    off = before.astype(np.int32)[row] - number
     repeats, most = several[row], np.zeros(len(stretches), np.int64)
     for rows in (order[:-1], order[1:]):
-        low, high = np.full(len(stretches), length + 1), np.full(len(stretches), -1)
+        low, high = np.full(len(stretches), length + 1, np.int32), np.full(len(stretches), -1, np.int32)
         low[rows], high[rows] = length - forth, back
         repeats |= (off >= low[row]) & (off <= high[row])
         most[rows] = np.maximum(most[rows], forth)
@@ -227,9 +227,10 @@ def compare_bucket(stretches: list[bytes], before: np.ndarray, owned: np.ndarray
     some = (may | asks).nonzero()[0]
     if not len(some):
         return row, number, repeats, some, np.zeros(0, np.uint64)
-    data = np.frombuffer(b"".join(stretches), np.uint8)
-    base = np.cumsum([0, *map(len, stretches)])
-    start = base[row[some]] + number[some]
+    held, place = np.unique(row[some], return_inverse=True)
+    parts = [stretches[k] for k in held.tolist()]
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    start = np.cumsum([0, *map(len, parts)])[place] + number[some]
     value = PrefixHash(data).of(start, start + length)
     own = group[row[some]]
     sort = np.lexsort((own, value))
@@ -273,13 +274,13 @@ def compared(cut: DataFrame, length: int, parts: int) -> DataFrame:
         at, low, high = runs_of(row[done], number[done])
         taken = row[done][at]
         empty = [pa.nulls(len(at), t) for t in (pa.int64(), *[pa.list_(pa.int64())] * 4, pa.list_(pa.bool_()))]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, (gram[taken], kind[taken], low, high)), *empty], names=names)
+        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (gram[taken], kind[taken], low, high)), *empty], names=names)
         part = (value % np.uint64(parts)).astype(np.int64)
         order = part.argsort(kind="stable")
         ask, value = ask[order], value[order]
         some, sizes = np.unique(part, return_counts=True)
         cuts = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
-        lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (kind[row[ask]], gram[row[ask]], number[ask], value.view(np.int64), ~repeats[ask])]
+        lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (kind[row[ask]], gram[row[ask]], number[ask].astype(np.int64), value.view(np.int64), ~repeats[ask])]
         yield pa.RecordBatch.from_arrays([*[pa.nulls(len(some), pa.int64())] * 4, pa.array(some), *lists], names=names)
 
     lists = "kinds array<long>, grams array<long>, numbers array<long>, values array<long>, open array<boolean>"
