@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from lumaframe.llm.common import slices
 
-CACHE = 60_000
+CACHE = 240_000
 # Letters and numbers that Unicode assigned after version 16, which the tokenizer takes for symbols.
 LATER_LETTERS = """
 0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959
@@ -44,7 +44,7 @@ LATER_CASES = """
 10D50-10D65:10D70 16EA0-16EB8:16EBB
 """
 #: Bytes of text whose new words share an index.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 4 << 20
 
 
 def byte_letters() -> list[str]:
@@ -243,15 +243,18 @@ def decode(ids, vocab: Vocabulary) -> str:
     return " ".join(map(vocab.tokens.__getitem__, ids))
 
 
-def encoded(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids, decoded) of every row, or with digests SHA-256 of the two in place of them."""
+def encoded(docs: DataFrame, path: str, digests: bool = False, cache: int = CACHE, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """(doc_id, n_tokens, ids, decoded) of every row, or with digests SHA-256 of the two in place of them.
+
+    Smaller caches and indexes take less memory and more time.
+    """
     typed = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
     def run(batches):
         vocab = shared.value
-        encode = Encoder(vocab, digits=digests)
-        for part in slices(batches, limit=INDEX_BYTES):
+        encode = Encoder(vocab, cache, digits=digests)
+        for part in slices(batches, limit=index_bytes):
             n, first, second = [], [], []
             for runs in encode.found(part.column("text").to_pylist()):
                 ids, many, tokens = zip(*runs, strict=True) if runs else ((),) * 3
