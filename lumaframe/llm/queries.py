@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaframe.llm import bpe, decontaminate, language, line_dedup, quality, quality_rules, simhash, suffix_dedup, token_count, toxicity
+from lumaframe.llm import bpe, decontaminate, language, line_dedup, periodic, quality, quality_rules, simhash, suffix_dedup, token_count, toxicity
 from lumaframe.llm.common import fold, modest_batches, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -68,6 +68,23 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), TOKENIZER, digests=True)
 
 
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = periodic.periodic_runs(docs.select("doc_id", periodic.with_planted(F.col("text"), F.col("doc_id")).alias("text")), min_length=12)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("short"), r["start"].alias("start"), r["period"].alias("period"))))
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("longest.start").alias("start"),
+        (-F.col("longest.short")).alias("length"),
+        F.col("longest.period").alias("period"),
+        F.expr("1000 * -longest.short div longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def _modest(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         modest_batches(spark)
@@ -87,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_bpe": op9_bpe,
     "op10_decontamination": op10_decontamination,
+    "op13_periodic": op13_periodic,
 }
 QUERIES = {name: _modest(query) for name, query in QUERIES.items()}
 
