@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaframe.llm import bpe, decontaminate, language, line_dedup, periodic, quality, quality_rules, simhash, suffix_dedup, token_count, toxicity
+from lumaframe.llm import bpe, decontaminate, language, line_dedup, periodic, quality, quality_rules, simhash, suffix_dedup, token_count, toxicity, whitening
 from lumaframe.llm.common import fold, modest_batches, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -68,6 +68,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), TOKENIZER, digests=True)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(spark, sf_dir, "embeddings"), components=32)
+
+
 def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = periodic.periodic_runs(docs.select("doc_id", periodic.with_planted(F.col("text"), F.col("doc_id")).alias("text")), min_length=12)
@@ -104,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_bpe": op9_bpe,
     "op10_decontamination": op10_decontamination,
+    "op11_whitening": op11_whitening,
     "op13_periodic": op13_periodic,
 }
 QUERIES = {name: _modest(query) for name, query in QUERIES.items()}
