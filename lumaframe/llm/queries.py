@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaframe.llm import bpe, decontaminate, language, line_dedup, periodic, quality, quality_rules, simhash, suffix_dedup, token_count, toxicity, whitening
+from lumaframe.llm import bpe, decontaminate, language, line_dedup, periodic, quality, quality_rules, simhash, suffix_dedup, token_count, top_k, toxicity, whitening
 from lumaframe.llm.common import fold, modest_batches, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -72,6 +72,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.components(table(spark, sf_dir, "embeddings"), components=32)
 
 
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = periodic.periodic_runs(docs.select("doc_id", periodic.with_planted(F.col("text"), F.col("doc_id")).alias("text")), min_length=12)
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_decontamination": op10_decontamination,
     "op11_whitening": op11_whitening,
+    "op12_top_k": op12_top_k,
     "op13_periodic": op13_periodic,
 }
 QUERIES = {name: _modest(query) for name, query in QUERIES.items()}
@@ -128,4 +133,17 @@ SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE common.k IS NULL), '')) AS kept_sha256
         FROM keyed LEFT JOIN common ON keyed.k = common.k
         GROUP BY doc_id""",
+    "op12_top_k": r"""
+        WITH fine AS (
+            SELECT row_number() OVER () AS row_no, vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)),
+        whole AS (SELECT * FROM fine WHERE len(v) = (SELECT len(v) FROM fine GROUP BY len(v) ORDER BY count(*) DESC, len(v) DESC LIMIT 1)),
+        scored AS (
+            SELECT q.row_no, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM whole q JOIN whole c ON q.row_no <> c.row_no
+            WHERE q.vec_id % 100 = 0)
+        SELECT query_id, rank, vec_id, score
+        FROM (SELECT *, (row_number() OVER (PARTITION BY row_no ORDER BY score DESC, vec_id NULLS LAST))::INTEGER AS rank FROM scored)
+        WHERE rank <= 10""",
 }
