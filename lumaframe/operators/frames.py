@@ -71,7 +71,8 @@ def noise_floor(gray: np.ndarray) -> np.ndarray:
     lead = gray.shape[:-2]
     if min(gray.shape[-2:]) < 2 * S.NOISE_CELL:
         return np.zeros(lead)
-    flat = deviation(cells(gray, S.NOISE_CELL), axis=-1).reshape(*lead, -1)
+    flat = deviation(cells(gray, S.NOISE_CELL), axis=-1)
+    flat = flat.reshape(*lead, flat.shape[-2] * flat.shape[-1])
     at = flat.shape[-1] // 10
     return np.partition(flat, at, axis=-1)[..., at]
 
@@ -158,51 +159,97 @@ def by_size(rasters: list[np.ndarray | None]) -> Iterator[tuple[list[int], np.nd
             yield own[k : k + step], np.stack([rasters[j] for j in own[k : k + step]])
 
 
+def _rows_of(part: pd.DataFrame, costly_every: int) -> tuple[list[tuple], list[np.ndarray | None]]:
+    """The metrics and the rasters of a batch of frames."""
+    rasters = [_raster(*x) for x in zip(part["w"], part["h"], part["gray"], strict=True)]
+    found, costly = [BROKEN] * len(part), (part["frame_idx"].to_numpy() % costly_every) == 0
+    for places, stack in by_size(rasters):
+        for k, row in zip(places, measured(stack, costly[places]), strict=True):
+            found[k] = row
+    return found, rasters
+
+
 def frame_metrics(frames: DataFrame, costly_every: int = 1) -> DataFrame:
     """(file_id, frame_idx, METRICS) of each frame; a frame whose bytes are not w x h is corrupted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            found = [BROKEN] * len(part)
-            costly = (part["frame_idx"].to_numpy() % costly_every) == 0
-            for places, stack in by_size([_raster(*x) for x in zip(part["w"], part["h"], part["gray"], strict=True)]):
-                for k, row in zip(places, measured(stack, costly[places]), strict=True):
-                    found[k] = row
-            out = pd.DataFrame(found, columns=METRIC_NAMES)
+            out = pd.DataFrame(_rows_of(part, costly_every)[0], columns=METRIC_NAMES)
             yield pd.concat([part[["file_id", "frame_idx"]].reset_index(drop=True), out], axis=1)
 
     return frames.select("file_id", "frame_idx", "w", "h", "gray").mapInPandas(run, f"file_id long, frame_idx int, {S.METRICS}")
 
 
+def _projected(rasters: list[np.ndarray | None]) -> pd.DataFrame:
+    """Means of each row and each column of each raster."""
+    out = {"rows": [None] * len(rasters), "cols": [None] * len(rasters)}
+    for places, stack in by_size(rasters):
+        for k, rows, cols in zip(places, stack.mean(axis=2), stack.mean(axis=1), strict=True):
+            out["rows"][k], out["cols"][k] = rows, cols
+    return pd.DataFrame(out)
+
+
 def projections(frames: DataFrame) -> DataFrame:
     """(file_id, frame_idx, rows, cols): means of each row and each column."""
 
     @F.pandas_udf("struct<rows: array<double>, cols: array<double>>")
     def project(w: pd.Series, h: pd.Series, gray: pd.Series) -> pd.DataFrame:
-        rasters = [_raster(*x) for x in zip(w, h, gray, strict=True)]
-        return pd.DataFrame({"rows": [None if r is None else r.mean(axis=1) for r in rasters], "cols": [None if r is None else r.mean(axis=0) for r in rasters]})
+        return _projected([_raster(*x) for x in zip(w, h, gray, strict=True)])
 
     return frames.select("file_id", "frame_idx", project("w", "h", "gray").alias("p")).select("file_id", "frame_idx", "p.rows", "p.cols")
 
 
+def frame_features(frames: DataFrame, costly_every: int = 1, keep: list[str] | None = None) -> DataFrame:
+    """(file_id, frame_idx, keep, METRICS, rows, cols): frame_metrics() and projections() in one look at the pixels; columns in keep pass."""
+    keep = keep or []
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            found, rasters = _rows_of(part, costly_every)
+            head = part[["file_id", "frame_idx", *keep]].reset_index(drop=True)
+            yield pd.concat([head, pd.DataFrame(found, columns=METRIC_NAMES), _projected(rasters)], axis=1)
+
+    kept = "".join(f"{c} {frames.schema[c].dataType.simpleString()}, " for c in keep)
+    return frames.select("file_id", "frame_idx", *keep, "w", "h", "gray").mapInPandas(run, f"file_id long, frame_idx int, {kept}{S.METRICS}, rows array<double>, cols array<double>")
+
+
 def smooth(x: np.ndarray) -> np.ndarray:
+    """Means of three neighbours in the last axis; the ends stay."""
     out = x.astype(float).copy()
-    out[1:-1] = (x[:-2] + x[1:-1] + x[2:]) / 3
+    out[..., 1:-1] = (x[..., :-2] + x[..., 1:-1] + x[..., 2:]) / 3
     return out
 
 
-def shift(a: np.ndarray, b: np.ndarray, most: int = 8) -> tuple[int, float]:
-    """(offset, mean distance) of the best match of b against a, within most steps either way; the first of equal ones."""
-    a, b = smooth(np.asarray(a)), smooth(np.asarray(b))
-    n = min(len(a), len(b))
-    best, least = 0, np.inf
-    for d in range(-most, most + 1):
+def best_shifts(a: np.ndarray, b: np.ndarray, most: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(offset, mean distance) of the best match of each row of b against that of a, within most steps either way; the first of equal ones."""
+    a, b = smooth(a), smooth(b)
+    n = min(a.shape[1], b.shape[1])
+    dist = np.full((2 * most + 1, len(a)), np.inf)
+    for k, d in enumerate(range(-most, most + 1)):
         lo, hi = max(0, -d), min(n, n - d)
         if hi > lo:
-            dist = float(np.abs(a[lo:hi] - b[lo + d : hi + d]).mean())
-            if dist < least:
-                best, least = d, dist
-    return best, least
+            dist[k] = np.abs(a[:, lo:hi] - b[:, lo + d : hi + d]).mean(axis=1)
+    best = dist.argmin(axis=0)
+    least = dist[best, np.arange(len(a))]
+    return np.where(np.isfinite(least), best - most, 0), least
+
+
+def shift(a: np.ndarray, b: np.ndarray, most: int = 8) -> tuple[int, float]:
+    """best_shifts() of one pair."""
+    d, dist = best_shifts(np.asarray(a)[None], np.asarray(b)[None], most)
+    return int(d[0]), float(dist[0])
+
+
+def _matched(before: pd.Series, now: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """best_shifts() of pairs of arrays, all of one pair of lengths at a time; 0 where one is missing."""
+    d, dist = np.zeros(len(now), np.int64), np.zeros(len(now))
+    groups: dict[tuple[int, int], list[int]] = {}
+    for k, (a, b) in enumerate(zip(before, now, strict=True)):
+        if a is not None and b is not None:
+            groups.setdefault((len(a), len(b)), []).append(k)
+    for own in groups.values():
+        d[own], dist[own] = best_shifts(np.stack([before.iat[k] for k in own]), np.stack([now.iat[k] for k in own]))
+    return d, dist
 
 
 def shifts(projected: DataFrame) -> DataFrame:
@@ -213,14 +260,8 @@ def shifts(projected: DataFrame) -> DataFrame:
 
     @F.pandas_udf("struct<dy: int, dx: int, dist: double>")
     def step(r0: pd.Series, r1: pd.Series, c0: pd.Series, c1: pd.Series) -> pd.DataFrame:
-        out = []
-        for a, b, c, d in zip(r0, r1, c0, c1, strict=True):
-            if a is None or b is None:
-                out.append((0, 0, 0.0))
-                continue
-            (dy, ey), (dx, ex) = shift(a, b), shift(c, d)
-            out.append((dy, dx, max(ey, ex)))
-        return pd.DataFrame(out, columns=["dy", "dx", "dist"])
+        (dy, ey), (dx, ex) = _matched(r0, r1), _matched(c0, c1)
+        return pd.DataFrame({"dy": dy, "dx": dx, "dist": np.maximum(ey, ex)})
 
     rows = projected.withColumn("r0", F.lag("rows").over(own)).withColumn("c0", F.lag("cols").over(own))
     return rows.select("file_id", "frame_idx", step("r0", "rows", "c0", "cols").alias("s")).select("file_id", "frame_idx", "s.dy", "s.dx", "s.dist")
@@ -238,12 +279,18 @@ def pixel_differences(pairs: DataFrame, frames: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def share(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: bytes, y: bytes) -> float | None:
-            if len(x) != len(y) or not x:
-                return None
-            return float((np.abs(np.frombuffer(x, np.uint8).astype(np.int16) - np.frombuffer(y, np.uint8)) > S.PIXEL_DELTA).mean())
-
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+        found = np.full(len(a), np.nan)
+        groups: dict[int, list[int]] = {}
+        for k, (x, y) in enumerate(zip(a, b, strict=True)):
+            if x and len(x) == len(y):
+                groups.setdefault(len(x), []).append(k)
+        for n, own in groups.items():
+            step = max(1, PIXELS // n)
+            for k in range(0, len(own), step):
+                part = own[k : k + step]
+                x, y = (np.frombuffer(b"".join(s.iat[j] for j in part), np.uint8).reshape(-1, n).astype(np.int16) for s in (a, b))
+                found[part] = (np.abs(x - y) > S.PIXEL_DELTA).mean(axis=1)
+        return pd.Series(found).astype(object).where(~np.isnan(found), None)
 
     both = pairs.select("file_id", "other_id").join(a, "file_id").join(b, ["other_id", "frame_idx"])
     return both.select("file_id", "other_id", share("a", "b").alias("d")).groupBy("file_id", "other_id").agg(F.avg("d").alias("diff")).where("diff is not null")

@@ -1,69 +1,20 @@
-"""Structured Streaming twins: keyed rules, windows, alerts, ingest and sinks. Watermarks and what is late are this library's choice."""
+"""Structured Streaming twins: windows, ingest and sinks; stateful operators are in state.py. Watermarks and what is late are this library's choice."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lumaframe import schemas as S
-from lumaframe.operators.frames import METRIC_NAMES, frame_metrics, projections, shifts
+from lumaframe.functions import paths as P
+from lumaframe.operators.frames import METRIC_NAMES, frame_features, shifts
 from lumaframe.streaming.replay import outcomes
-from lumaframe.streaming.rules import RULES
+from lumaframe.streaming.state import keyed, stale_alerts
+from lumaframe.streaming.table_log import add_into, current, upsert_into, version
 
-
-def keyed(events: DataFrame, rule: str, key: str) -> DataFrame:
-    """The rule over a stream: events of a micro-batch are taken in order of (ts_ms, seq); state outlives batches."""
-    step, columns = RULES[rule]
-    names = [key, "ts_ms", "seq", *[c.split()[0] for c in columns.split(", ")]]
-    kind = events.schema[key].dataType.simpleString()
-
-    def run(own: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = json.loads(held.get[0]) if held.exists else {}
-        out = []
-        for e in pd.concat([*parts]).sort_values(["ts_ms", "seq"]).itertuples(index=False):
-            state, rows = step(state, e)
-            out += [(own[0], e.ts_ms, e.seq, *r) for r in rows]
-        held.update((json.dumps(state),))
-        yield pd.DataFrame(out, columns=names)
-
-    return events.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, ts_ms long, seq long, {columns}", "state string", "append", GroupStateTimeout.NoTimeout)
-
-
-def stale_alerts(events: DataFrame) -> DataFrame:
-    """(folder_id, user_name, since): a claim without activity for 30 minutes of event time, once; a renewal starts anew.
-
-    events: ts (timestamp), folder_id, user_name, op.
-    """
-
-    def run(own: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        columns = ["folder_id", "user_name", "since"]
-        if held.hasTimedOut:
-            user, at = held.get
-            held.remove()
-            yield pd.DataFrame([(own[0], user, pd.Timestamp(at, unit="ms"))], columns=columns)
-            return
-        user, at = held.get if held.exists else (None, 0)
-        for e in pd.concat([*parts]).sort_values("ts").itertuples(index=False):
-            ms = int(e.ts.value // 1_000_000)
-            if e.op == "claim" and user in (None, e.user_name) or e.op == "activity" and user == e.user_name:
-                user, at = e.user_name, ms
-            elif e.op in ("release", "force") and user == e.user_name:
-                user = None
-        if user is None:
-            if held.exists:
-                held.remove()
-        else:
-            held.update((user, at))
-            held.setTimeoutTimestamp(max(at + S.STALE_MS, held.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([], columns=columns)
-
-    marked = events.withWatermark("ts", "1 minute")
-    return marked.groupBy("folder_id").applyInPandasWithState(run, "folder_id long, user_name string, since timestamp", "user_name string, at long", "append", GroupStateTimeout.EventTimeTimeout)
+__all__ = ["keyed", "stale_alerts", "current", "upsert_into"]
 
 
 def expanded_activity(events: DataFrame, claims: DataFrame) -> DataFrame:
@@ -105,77 +56,6 @@ def new_only(files: DataFrame, late: str = "1 hour") -> DataFrame:
     return files.withWatermark("ts", late).dropDuplicatesWithinWatermark(["rel_path", "size", "mtime"])
 
 
-#: Folders that a table of upsert_into() is dealt over; a batch rewrites those that its keys are in.
-PARTS = 64
-
-
-def _versions(spark, path: str) -> DataFrame | None:
-    """(version, part, at): for each version of the table in which folder v<at> a part lies; None before the first."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(f"{path}/versions")
-    except AnalysisException:
-        return None
-
-
-def _places(spark, path: str) -> tuple[int, dict[int, int]]:
-    """The last version and where its parts lie (at most PARTS rows)."""
-    known = _versions(spark, path)
-    if known is None:
-        return -1, {}
-    last = known.agg(F.max("version")).first()[0]
-    return last, {r["part"]: r["at"] for r in known.where(F.col("version") == last).collect()}
-
-
-def _read(spark, path: str, places: dict[int, int]) -> DataFrame | None:
-    return spark.read.parquet(*[f"{path}/v{at}/part={part}" for part, at in sorted(places.items())]) if places else None
-
-
-def _remove(spark, paths: list[str]) -> None:
-    context = spark.sparkContext
-    for p in paths:
-        p = context._jvm.org.apache.hadoop.fs.Path(p)
-        p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def upsert_into(path: str, keys: list[str], order: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that keeps the last row per key.
-
-    The table lies in PARTS folders by a hash of the key. A batch writes those anew that it touches and then names the new version;
-    what only versions before the last one had is removed, so a reader of that one can finish. A batch that was written before does nothing.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        last, places = _places(spark, path)
-        if last >= number:
-            return
-        part = F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")
-        new = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*").withColumn("part", part)
-        touched = [r["part"] for r in new.select("part").distinct().collect()]
-        before = _read(spark, path, {p: places[p] for p in touched if p in places})
-        rows = new
-        if before is not None:
-            stay = before.join(new.select(*keys), keys, "left_anti").select(*batch.columns).withColumn("part", part)
-            rows = stay.unionByName(new)
-        rows.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/v{number}")
-        now = places | dict.fromkeys(touched, number)
-        known = _versions(spark, path)
-        old = [] if known is None else known.where(F.col("version") < last).select("part", "at").distinct().collect()
-        if now:
-            spark.createDataFrame([(number, p, at) for p, at in now.items()], "version long, part int, at long").write.mode("append").parquet(f"{path}/versions")
-        needed = {*places.items(), *now.items()}
-        _remove(spark, [f"{path}/v{r['at']}/part={r['part']}" for r in old if (r["part"], r["at"]) not in needed])
-
-    return write
-
-
-def current(spark, path: str) -> DataFrame | None:
-    """The table that upsert_into() has written last, if any."""
-    return _read(spark, path, _places(spark, path)[1])
-
-
 def store_marks(path: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink for keyed(events, "lock", "folder_id"): outcomes of the marks, and the last decision of each file.
 
@@ -187,7 +67,7 @@ def store_marks(path: str) -> Callable[[DataFrame, int], None]:
         stored = current(batch.sparkSession, f"{path}/marks")
         batch.persist()
         rows = outcomes(batch, stored)
-        if _places(batch.sparkSession, f"{path}/marks")[0] < number:  # else the table holds this batch already, and so do its outcomes
+        if version(batch.sparkSession, f"{path}/marks") < number:  # else the table holds this batch already, and so do its outcomes
             rows.write.mode("overwrite").parquet(f"{path}/outcomes/batch={number}")
             kept = rows.where("outcome <> 'blocked'").select("file_id", "decision", "user_name", F.struct("ts_ms", "seq").alias("at"))
             upsert_into(f"{path}/marks", ["file_id"], "at")(kept, number)
@@ -196,6 +76,38 @@ def store_marks(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def mark_changes(decided: DataFrame, folders: DataFrame) -> DataFrame:
+    """(rel_path, keep, reject) by which the marks of state.decisions() change the counts of each folder and of all above it.
+
+    A changed mark takes its file out of the count that it was in and adds it to the other; what stays or is blocked changes nothing.
+    Marks are added up per folder before its ancestors are named, so an ancestor gets a row for each folder that changed.
+    """
+    of = lambda column, code: F.when(F.col(column) == code, 1).otherwise(0)
+    own = decided.where("outcome = 'changed'").groupBy("folder_id").agg(
+        F.sum(of("decision", S.KEEP) - of("before", S.KEEP)).alias("keep"), F.sum(of("decision", S.REJECT) - of("before", S.REJECT)).alias("reject")
+    )
+    paths = own.join(folders.select(F.col("id").alias("folder_id"), "rel_path"), "folder_id")
+    up = paths.select(F.explode(F.array_union(P.ancestors(F.col("rel_path")), F.array("rel_path"))).alias("rel_path"), "keep", "reject")
+    return up.groupBy("rel_path").agg(F.sum("keep").alias("keep"), F.sum("reject").alias("reject"))
+
+
+def count_marks(path: str, folders: DataFrame) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink for state.decisions(): keeps the counts of every folder's subtree up, a few changed rows a batch."""
+    add = add_into(path, ["rel_path"], ["keep", "reject"])
+    return lambda batch, number: add(mark_changes(batch, folders), number)
+
+
+def tree_now(tree: DataFrame, path: str) -> DataFrame:
+    """The tree of stats.tree_counts() as it was when the stream began, with what count_marks(path) has changed since."""
+    changed = current(tree.sparkSession, path)
+    if changed is None:
+        return tree
+    changed = changed.select("rel_path", F.col("keep").alias("_keep"), F.col("reject").alias("_reject"))
+    now = lambda c: (F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c)
+    rows = tree.join(changed, "rel_path", "left").select("id", "parent_id", "name", "rel_path", "depth", "total", now("keep"), now("reject"), "has_children")
+    return rows.withColumn("pending", F.col("total") - F.col("keep") - F.col("reject")).select(*tree.columns)
+
+
 def file_results(metrics: DataFrame, shaking: DataFrame) -> DataFrame:
     """(file_id, frames, flags, METRICS of the first frame) from frame_metrics() of whole files and verdict.shake() of them.
 
@@ -219,18 +131,52 @@ def file_results(metrics: DataFrame, shaking: DataFrame) -> DataFrame:
     return rows.select("file_id", "frames", flags.alias("flags"), *[F.col(f"first.{c}") for c in METRIC_NAMES])
 
 
-def ingest(stored: str, version: int) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink that measures new files (all their FRAME rows with size and mtime) and stores what no stored result covers."""
+def _stored_results(features: DataFrame, facts: DataFrame, stored: str, qc_version: int, number: int) -> None:
+    """Judges whole files by their features, with the size and mtime in facts, and stores the results."""
     from lumaframe.operators import verdict
 
+    found = file_results(features, verdict.shake(shifts(features.select("file_id", "frame_idx", "rows", "cols"))))
+    rows = found.join(facts, "file_id").withColumn("qc_version", F.lit(qc_version)).withColumn("batch", F.lit(number).cast("long"))
+    upsert_into(stored, ["file_id"], "batch")(rows, number)
+
+
+def ingest(stored: str, qc_version: int) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink that measures new frames (FRAME rows with size and mtime) and stores what it makes of each file so far.
+
+    The features of all frames are kept in the table stored + "/frames", so a clip whose frames come in several batches is judged by
+    all that have come. Frames that were measured before with the same size, mtime and version are passed over; with another, the
+    file's earlier frames no longer count.
+    """
+    frames = f"{stored}/frames"
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if version(spark, stored) >= number:
+            return
+        files = batch.select("file_id", "size", "mtime").distinct()
+        fresh = batch
+        done = current(spark, frames)
+        same = ["file_id", "size", "mtime"]
+        if done is not None and version(spark, frames) < number:
+            fresh = batch.join(done.where(F.col("qc_version") == qc_version).select(*same, "frame_idx"), [*same, "frame_idx"], "left_anti")
+        if version(spark, frames) < number:
+            features = frame_features(fresh, S.COSTLY_EVERY, ["size", "mtime"]).withColumn("qc_version", F.lit(qc_version)).withColumn("batch", F.lit(number).cast("long"))
+            upsert_into(frames, ["file_id", "frame_idx"], "batch")(features, number)
+        known = current(spark, frames).where(F.col("qc_version") == qc_version)
+        changed = known.where(F.col("batch") == number).select(*same).distinct()
+        _stored_results(known.join(files.join(changed, same, "left_semi"), same, "left_semi"), changed, stored, qc_version, number)
+
+    return write
+
+
+def ingest_clips(stored: str, qc_version: int) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink for state.clips(): stores the results of clips, with how many frames there were and whether these were all."""
+
     def write(batch: DataFrame, number: int) -> None:
-        facts = batch.select("file_id", "size", "mtime").distinct()
-        done = current(batch.sparkSession, stored)
-        if done is not None:
-            facts = facts.join(done.where(F.col("qc_version") == version), ["file_id", "size", "mtime"], "left_anti")
-        fresh = batch.join(facts.select("file_id"), "file_id", "left_semi")
-        found = file_results(frame_metrics(fresh, S.COSTLY_EVERY), verdict.shake(shifts(projections(fresh))))
-        rows = found.join(facts, "file_id").withColumn("qc_version", F.lit(version)).withColumn("batch", F.lit(number).cast("long"))
-        upsert_into(stored, ["file_id"], "batch")(rows, number)
+        batch.persist()
+        facts = batch.groupBy("file_id").agg(F.max(F.struct("mtime", "size", "complete")).alias("f")).select("file_id", "f.size", "f.mtime", "f.complete")
+        last = batch.join(facts, ["file_id", "size", "mtime", "complete"], "left_semi")
+        _stored_results(last, facts, stored, qc_version, number)
+        batch.unpersist()
 
     return write

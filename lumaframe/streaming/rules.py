@@ -111,3 +111,22 @@ RULES = {
     "lock": (lock, "file_id long, decision int, user_name string, allowed boolean"),
     "section": (changed_section, "json string"),
 }
+
+#: rule -> the fields of its state
+STATES = {
+    "login": "n int, first long",
+    "download": "n int, until long",
+    "throttle": "last long",
+    "redeem": "uses int, until long, used int",
+    "claim": "holder string, at long",
+    "lock": "holder string",
+    "section": "json string",
+}
+
+#: rule -> from when on its state tells no more than an empty one; rules that never forget are missing, and None is never
+ENDS = {
+    "login": lambda s: s["first"] + LOGIN_WINDOW + 1,
+    "download": lambda s: s.get("until"),
+    "throttle": lambda s: s["last"] + NAME_THROTTLE,
+    "redeem": lambda s: s["until"] + 1,
+}
