@@ -171,8 +171,8 @@ class Model:
 def fit(docs: DataFrame, lang: str = "lang", max_fit_rows: int = 4000, penalty: float = 12.0) -> Model:
     """Learns from the rows of docs (doc_id, text and the language column) that have a language."""
     spark = docs.sparkSession
-    known = docs.where(F.col(lang).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(lang).count().limit(MAX_LANGUAGES + 1).collect()}
+    known = docs.where(F.col(lang).isNotNull()).select("doc_id", "text", F.col(lang).alias("known"))
+    sizes = {r[0]: r[1] for r in known.groupBy("known").count().limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"the column {lang} has more than {MAX_LANGUAGES} values")
     languages = sorted(sizes)
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, lang: str = "lang", max_fit_rows: int = 4000, penalty:
         return Model([], np.zeros((0, BUCKETS)), np.zeros((0, len(SCRIPTS) + 2)), penalty)
     number = {name: k for k, name in enumerate(languages)}
     share = spark.createDataFrame([(k, min(1.0, max_fit_rows / n)) for k, n in sizes.items()], "l string, share double")
-    sample = known.join(F.broadcast(share), F.col(lang) == F.col("l")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    sample = known.join(F.broadcast(share), F.col("known") == F.col("l")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
 
     def run(batches):
         for part in slices(batches):

@@ -92,6 +92,10 @@ def forward(factor: np.ndarray, y: np.ndarray) -> np.ndarray:
     return z
 
 
+#: Variance, in units of the scale, that is left where all labelled rows of a class are alike.
+FLOOR = 0.1
+
+
 class Discriminant:
     """Two classes' means and cached Cholesky factors; slope and offset of the logistic line."""
 
@@ -111,7 +115,7 @@ class Discriminant:
         self.scale = np.sqrt(np.diag(pooled) + 1e-8)
         between = np.outer(self.scale, self.scale)
         pooled = pooled / between
-        pooled = (1 - ridge) * pooled + ridge * np.trace(pooled) / d * np.eye(d)
+        pooled = (1 - ridge) * pooled + ridge * max(np.trace(pooled) / d, FLOOR) * np.eye(d)
         self.mean = {k: mean[k] / self.scale for k in n}
         self.factor = {k: np.linalg.cholesky((1 - s) * cov[k] / between + s * pooled) for k in n for s in [max(shrink, min(1.0, 3 * d / n[k]))]}
         self.log_prior = np.log(n[1] / n[0])

@@ -99,9 +99,9 @@ class Shard:
             block = block[asks, column]
             turn = block.argsort(kind="stable")
             block, asks = block[turn], asks[turn]
-            heads = np.r_[True, block[1:] != block[:-1]].nonzero()[0] if len(block) else []
+            edges = np.r_[(block[1:] != block[:-1]).nonzero()[0] + 1, len(block)] if len(block) else []
             parts = [best]
-            for i, j in zip(heads, [*heads[1:], len(block)], strict=True):
+            for i, j in zip([0, *edges[:-1]], edges, strict=False):
                 a, b, own = self.start[block[i]], self.end[block[i]], asks[i:j]
                 s = v[a:b] @ q[own].T
                 hit = (s > score[own]) | ((s == score[own]) & (self.ids[a:b, None] < last[own]))

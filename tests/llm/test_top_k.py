@@ -92,3 +92,13 @@ def test_few_rows(spark):
     assert top_k.top_k(frame(spark, [(0, [1.0, 2.0])]), F.col("vec_id") == 0).count() == 0
     assert top_k.top_k(frame(spark, [(1, [1.0, 2.0])]), F.col("vec_id") == 0).count() == 0
     assert [tuple(r) for r in top_k.top_k(frame(spark, [(0, [1.0, 2.0]), (None, [1.0, 2.0])]), F.col("vec_id") == 0).collect()] == [(0, 1, None, 5 * 1024**2)]
+
+
+def test_only_ties_are_left():
+    """Blocks whose bound is the kth score, with no smaller ids, are not asked; the search ends all the same."""
+    x = np.tile(np.arange(1, 5), (64, 1))
+    blocks = [{"n": 64, "ids": np.arange(64 * k, 64 * k + 64).tobytes(), "nulls": np.zeros(64, bool).tobytes(), "uids": np.arange(64 * k, 64 * k + 64).tobytes(), "x": top_k._raw(x), "high": x[0].tobytes(), "low": x[0].tobytes()} for k in range(40)]
+    shard = top_k.Shard(blocks, 4)
+    _, row, _ = shard.search(x[:1], np.array([-1]), np.array([-top_k.LAST]), np.array([top_k.LAST]), 5)
+    assert shard.ids[row].tolist() == [0, 1, 2, 3, 4] and shard.scored < 4 * 64
+    assert not len(shard.search(x[:1], np.array([-1]), np.array([30]), np.array([0]), 5)[1])
