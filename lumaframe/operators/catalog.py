@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumaframe import schemas as S
 from lumaframe.functions import paths as P
+from lumaframe.session import cut
 
 SKIPPED = ("$RECYCLE.BIN", "System Volume Information")
 
@@ -98,6 +99,22 @@ def refresh(previous: DataFrame, current: DataFrame, reviews: DataFrame, claims:
     }
 
 
+def refresh_counts(previous: DataFrame, current: DataFrame, reviews: DataFrame, claims: DataFrame, qc: DataFrame, folders: DataFrame) -> DataFrame:
+    """One row of what a scan did: files added, removed, changed and unchanged; marks and results dropped, folders and claims pruned."""
+    found = refresh(previous, current, reviews, claims, qc, folders)
+    gone = found["changes"].where(F.col("state").isin("changed", "removed")).select(F.col("old_id").alias("file_id"), "state")
+    left = found["folders"].select(F.col("id").alias("folder_id"))
+    one = found["counts"]
+    for rows, name in (
+        (reviews.join(gone, "file_id", "left_semi"), "marks_dropped"),
+        (qc.join(gone.where("state = 'removed'"), "file_id", "left_semi"), "results_dropped"),
+        (folders.select(F.col("id").alias("folder_id")).join(left, "folder_id", "left_anti"), "folders_pruned"),
+        (claims.join(left, "folder_id", "left_anti"), "claims_pruned"),
+    ):
+        one = one.crossJoin(rows.agg(F.count(F.lit(1)).alias(name)))  # one row each
+    return one
+
+
 def media_list(files: DataFrame, kind: int | None = None, folder_id: int | None = None, present_only: bool = True) -> DataFrame:
     """Files by id: of one kind or all media, of one folder or all."""
     keep: Column = F.col("kind").isin(S.IMAGE, S.VIDEO) if not kind or kind <= 0 else F.col("kind") == kind
@@ -117,3 +134,37 @@ def closure(folders: DataFrame) -> DataFrame:
     """(ancestor_id, folder_id) for every folder and each folder above it, itself included."""
     above = folders.select(F.col("id").alias("folder_id"), F.explode(F.array_union(P.ancestors(F.col("rel_path")), F.array("rel_path"))).alias("path"))
     return above.join(folders.select(F.col("id").alias("ancestor_id"), F.col("rel_path").alias("path")), "path").select("ancestor_id", "folder_id")
+
+
+def closure_by_parents(folders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ancestor_id, folder_id, distance) as closure() has it, from (id, parent_id) alone, and (id) of folders in or below a circle.
+
+    Pointers double: after round k every folder knows its ancestors up to 2^k - 1 steps above and the one 2^k above, so a tree of depth
+    d takes log2(d) rounds, however deep it is. A parent that is no folder (0 among them) ends the way up. A folder that meets itself is in
+    a circle and its pointer goes, with those that lead there; these folders and all below are in the second table, not in the first.
+    """
+    ids = folders.select("id").distinct()
+    parents = folders.select("id", "parent_id").distinct().join(ids.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
+    above = cut(ids.select(F.col("id").alias("ancestor_id"), F.col("id").alias("folder_id"), F.lit(0).cast("long").alias("distance")))
+    jump = cut(parents.select(F.col("id").alias("folder_id"), F.col("parent_id").alias("top")))
+    stuck, step = ids.where("false"), 1
+    while not jump.isEmpty():
+        known = above.select("ancestor_id", F.col("folder_id").alias("top"), "distance")
+        further = cut(jump.join(known, "top").select("ancestor_id", "folder_id", (F.col("distance") + step).alias("distance")))
+        circle = further.where("ancestor_id = folder_id").select(F.col("folder_id").alias("id")).distinct()
+        if not circle.isEmpty():
+            caught = jump.join(circle.select(F.col("id").alias("top")), "top", "left_semi").select(F.col("folder_id").alias("id"))
+            stuck = cut(stuck.unionByName(circle).unionByName(caught).distinct())
+            jump = jump.join(stuck.select(F.col("id").alias("folder_id")), "folder_id", "left_anti")
+        above = cut(above.unionByName(further))
+        jump = cut(jump.join(jump.select(F.col("folder_id").alias("top"), F.col("top").alias("next")), "top").select("folder_id", F.col("next").alias("top")))
+        step *= 2
+    below = above.join(stuck.select(F.col("id").alias("ancestor_id")), "ancestor_id", "left_semi").select(F.col("folder_id").alias("id"))
+    circling = below.distinct()
+    return above.join(circling.select(F.col("id").alias("folder_id")), "folder_id", "left_anti").select("ancestor_id", "folder_id", "distance"), circling
+
+
+def subtree_by_parents(folders: DataFrame, folder_id: int) -> DataFrame:
+    """A folder and all below it, by parent ids."""
+    below = closure_by_parents(folders)[0].where(F.col("ancestor_id") == folder_id)
+    return folders.join(below.select(F.col("folder_id").alias("id")), "id", "left_semi")

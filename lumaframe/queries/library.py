@@ -58,6 +58,22 @@ def review_after_rescan(v):
     return found["reviews"].select("file_id", "decision", "reviewer", "updated_at")
 
 
+@query("folder file previous review claim qc", """
+    , state AS (SELECT CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN a.size = b.size AND a.mtime = b.mtime THEN 'unchanged' ELSE 'changed' END AS state,
+                       a.id AS old_id FROM previous a FULL JOIN file b ON a.rel_path = b.rel_path),
+    lost AS (SELECT old_id FROM state WHERE state IN ('changed', 'removed')),
+    kept AS (SELECT f.id FROM folder f WHERE f.rel_path = '.' OR f.rel_path IN (SELECT unnest(list_transform(range(1, len(string_split(rel_path, '/'))), lambda n: array_to_string(list_slice(string_split(rel_path, '/'), 1, n), '/'))) FROM file))
+    SELECT count(*) FILTER (state = 'added') AS added, count(*) FILTER (state = 'removed') AS removed, count(*) FILTER (state = 'changed') AS changed,
+           count(*) FILTER (state = 'unchanged') AS unchanged,
+           (SELECT count(*) FROM review WHERE file_id IN (SELECT old_id FROM lost)) AS marks_dropped,
+           (SELECT count(*) FROM qc WHERE file_id IN (SELECT old_id FROM state WHERE state = 'removed')) AS results_dropped,
+           (SELECT count(*) FROM folder WHERE id NOT IN (SELECT id FROM kept)) AS folders_pruned,
+           (SELECT count(*) FROM claim WHERE folder_id NOT IN (SELECT id FROM kept)) AS claims_pruned
+    FROM state""")
+def refresh_counts(v):
+    return catalog.refresh_counts(v("previous"), v("file"), v("review"), v("claim"), v("qc"), v("folder"))
+
+
 @query("folder file claim", """
     SELECT c.folder_id, c.user_name, c.claimed_at FROM claim c JOIN folder f ON f.id = c.folder_id
     WHERE EXISTS (SELECT 1 FROM file x WHERE x.rel_path LIKE f.rel_path || '/%' AND x.folder_id % 3 <> 0)""")
@@ -164,6 +180,21 @@ def folder_closure(v):
     return catalog.closure(v("folder"))
 
 
+@query("folder", """
+    , up AS (SELECT id AS folder_id, id AS ancestor_id, CAST(0 AS BIGINT) AS distance FROM folder
+      UNION ALL SELECT u.folder_id, f.parent_id, u.distance + 1 FROM up u JOIN folder f ON f.id = u.ancestor_id WHERE f.parent_id IN (SELECT id FROM folder))
+    SELECT ancestor_id, folder_id, distance FROM up""")
+def folder_closure_by_parents(v):
+    return catalog.closure_by_parents(v("folder"))[0]
+
+
+@query("folder", """
+    , below AS (SELECT id FROM folder WHERE id = 11 UNION ALL SELECT f.id FROM below b JOIN folder f ON f.parent_id = b.id)
+    SELECT id, parent_id, name, rel_path, depth FROM folder WHERE id IN (SELECT id FROM below)""")
+def subtree_by_parents(v):
+    return catalog.subtree_by_parents(v("folder"), 11)
+
+
 @query("file review folder", f"""{IN_SCOPE}
     SELECT f.id, f.folder_id, f.sort_key FROM file f JOIN review r ON r.file_id = f.id AND r.decision = 1 WHERE f.present = 1 AND f.folder_id IN (SELECT id FROM scope)""")
 def kept_set(v):

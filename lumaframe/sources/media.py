@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -46,25 +46,77 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("origin", "height", "width", "nChannels", "data").mapInPandas(run, "origin string, frame_idx int, w int, h int, gray binary")
 
 
-def decode(files: DataFrame, decoder: Callable[[bytes], np.ndarray | None]) -> DataFrame:
-    """(path, frame_idx, w, h, gray) of files (path, content) by a decoder for formats the JVM cannot read.
+Rasters = np.ndarray | Iterable[np.ndarray] | None
 
-    A file that it cannot decode is left out; it is not called corrupted.
+
+def decode(files: DataFrame, decoder: Callable[[bytes], Rasters]) -> DataFrame:
+    """(path, frame_idx, n_frames, w, h, gray) of files (path, content) by a decoder for formats the JVM cannot read.
+
+    It returns one raster or the rasters of a clip one after the other. A file that it cannot decode, or not to its end, is left out;
+    it is not called corrupted. A task holds the frames of one file.
     """
 
+    def of(content: bytes) -> list[np.ndarray]:
+        found = decoder(content)
+        return [] if found is None else [found] if isinstance(found, np.ndarray) else [*found]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["path", "frame_idx", "n_frames", "w", "h", "gray"]
         for part in batches:
-            out = []
             for path, content in part.itertuples(index=False):
                 try:
-                    raster = decoder(content)
+                    rasters = of(content)
                 except Exception:  # whatever a foreign decoder raises about one file
-                    raster = None
-                if raster is not None:
-                    out.append((path, 0, raster.shape[1], raster.shape[0], raster.astype(np.uint8).tobytes()))
-            yield pd.DataFrame(out, columns=["path", "frame_idx", "w", "h", "gray"])
+                    rasters = []
+                yield pd.DataFrame([(path, k, len(rasters), r.shape[1], r.shape[0], r.astype(np.uint8).tobytes()) for k, r in enumerate(rasters)], columns=columns)
+
+    return files.select("path", "content").mapInPandas(run, "path string, frame_idx int, n_frames int, w int, h int, gray binary")
 
-    return files.select("path", "content").mapInPandas(run, "path string, frame_idx int, w int, h int, gray binary")
+
+#: Frames of one clip that stay in one task.
+FRAME_RANGE = 64
+# The magic word of a YUV4MPEG2 file and of each of its frames, and its colour spaces of one byte a sample.
+Y4M, Y4M_FRAME = "YUV4MPEG2", "FRAME\n"
+Y4M_420, Y4M_422, Y4M_444, Y4M_MONO = ("", "420", "420jpeg", "420mpeg2", "420paldv"), ("422",), ("444",), ("mono",)
+
+
+def y4m_frames(files: DataFrame, per_second: float | None = None) -> DataFrame:
+    """The columns of files (path, content, and more) but content, with frame_idx, n_frames, w, h, gray for each frame of a YUV4MPEG2 clip.
+
+    All in Spark's own functions: the header gives the size of a frame, so its luma is a substring of the file. Frames are dealt out by
+    clip and range of FRAME_RANGE, so one long clip is measured by many tasks. per_second thins a clip to so many frames a second
+    (the first of each interval). A file that is no such clip, or of another colour space, is left out; a last frame that is cut off
+    does not count; a frame without its mark has no gray, so it is corrupted.
+    """
+    kept = [c for c in files.columns if c != "content"]
+    head = F.regexp_extract(F.decode(F.substring("content", 1, 512), "ISO-8859-1"), rf"^{Y4M}( [^\n]*)\n", 1)
+    number = lambda pattern: F.regexp_extract("_head", pattern, 1).try_cast("long")
+    w, h, colour = F.col("w"), F.col("h"), F.regexp_extract("_head", r" C(\S+)", 1)
+    half = lambda x: F.expr(f"({x} + 1) div 2")
+    chroma = F.when(colour.isin(*Y4M_420), 2 * half("w") * half("h")).when(colour.isin(*Y4M_422), 2 * half("w") * h).when(colour.isin(*Y4M_444), 2 * w * h).when(colour.isin(*Y4M_MONO), F.lit(0))
+    rows = files.withColumn("_head", head).where("_head <> ''").withColumn("w", number(r" W(\d+)")).withColumn("h", number(r" H(\d+)"))
+    rows = rows.withColumn("_bytes", len(Y4M_FRAME) + w * h + chroma).where("_bytes > 6 and w > 0 and h > 0")
+    rows = rows.withColumn("_start", F.length("_head") + len(Y4M) + 1)
+    rows = rows.withColumn("_all", F.expr("(length(content) - _start) div _bytes"))
+    step = F.lit(1)
+    if per_second:
+        rate = number(r" F(\d+):") / F.nullif(number(r" F\d+:(\d+)"), F.lit(0))
+        step = F.greatest(F.lit(1), F.floor(F.coalesce(rate, F.lit(1.0)) / per_second))
+    rows = rows.withColumn("_step", step.cast("long")).where("_all > 0").withColumn("n_frames", F.expr("cast((_all + _step - 1) div _step as int)"))
+    each = rows.withColumn("frame_idx", F.explode(F.sequence(F.lit(0), F.col("n_frames") - 1)))
+    at = "cast(_start + frame_idx * _step * _bytes as int)"
+    gray = F.expr(f"case when substring(content, {at} + 1, {len(Y4M_FRAME)}) = encode('{Y4M_FRAME[:-1]}\\n', 'UTF-8') then substring(content, {at} + {len(Y4M_FRAME) + 1}, cast(w * h as int)) end")
+    found = each.select(*kept, "frame_idx", "n_frames", w.cast("int").alias("w"), h.cast("int").alias("h"), gray.alias("gray"))
+    # a number of its own, or the ranges would be put together by their few bytes
+    return found.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", F.floor(F.col("frame_idx") / FRAME_RANGE))
+
+
+def clip_stream(spark: SparkSession, root: str, per_second: float | None = None, files_per_batch: int = 100) -> DataFrame:
+    """(file_id, path, size, mtime, frame_idx, n_frames, w, h, gray): a stream of the frames of new *.y4m files below root."""
+    source = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    files = source.option("pathGlobFilter", "*.y4m").option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(root)
+    known = files.select(F.xxhash64("path").bitwiseAND((1 << 63) - 1).alias("file_id"), "path", F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"), "content")
+    return y4m_frames(known, per_second)
 
 
 # TIFF tags of maker, model, the EXIF directory and the time of capture; bytes of each field type.

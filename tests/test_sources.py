@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from lumaframe import schemas as S
 from lumaframe.operators import catalog, review, stats
+from lumaframe.operators.frames import frame_features
 from lumaframe.plans import exports
 from lumaframe.sources import media, sinks
+from lumaframe.streaming import live, state
 
 
 def png(gray):
@@ -121,3 +123,100 @@ def test_marks_and_done(spark):
     assert {r["file_id"]: r["outcome"] for r in review.outcomes(edits, files, none, marks).collect()} == {1: "same", 2: "changed", 8: "missing"}
     after = {r["file_id"]: r["decision"] for r in review.apply_edits(edits, files, none, marks, 50).collect()}
     assert after == {1: 1, 2: 1, 3: 0}
+
+
+def y4m(frames, header=" W8 H6 F25:1 C420jpeg", chroma=b"\x80" * 24, mark=b"FRAME\n"):
+    return b"YUV4MPEG2" + header.encode() + b"\n" + b"".join(mark + f.tobytes() + chroma for f in frames)
+
+
+def test_y4m_frames(spark):
+    rng = np.random.default_rng(1)
+    clip = rng.integers(0, 256, (150, 6, 8)).astype(np.uint8)
+    odd = rng.integers(0, 256, (3, 5, 7)).astype(np.uint8)
+    files = {
+        "long": y4m(clip), "cut": y4m(clip[:4])[:-10], "mono": y4m(clip[:2], " W8 H6 Cmono", b""), "odd": y4m(odd, " W7 H5 F2:1", b"\x80" * 24),
+        "wide": y4m(clip[:2], " W8 H6 C444", b"\x80" * 96), "deep": y4m(clip[:2], " W8 H6 C420p10"), "marks": y4m(clip[:2], mark=b"FRAMX\n"),
+        "other": b"RIFF....", "empty": b"", "header": b"YUV4MPEG2 W8 H6\n", "none": None, "size": b"YUV4MPEG2 W0 Hx\nFRAME\n",
+    }
+    df = spark.createDataFrame([(k, k, v if v is None else bytearray(v)) for k, v in files.items()], "path string, tag string, content binary")
+    found = {}
+    for r in media.y4m_frames(df).collect():
+        assert r["tag"] == r["path"] and (r["frame_idx"], r["path"]) not in found
+        found[r["frame_idx"], r["path"]] = r
+    n = {}
+    for (_, path), r in found.items():
+        n[path] = n.get(path, 0) + 1
+        assert r["n_frames"] == {"long": 150, "cut": 3, "mono": 2, "odd": 3, "wide": 2, "marks": 2}[path]
+    assert n == {"long": 150, "cut": 3, "mono": 2, "odd": 3, "wide": 2, "marks": 2}
+    assert all(found[k, "long"]["gray"] == clip[k].tobytes() for k in range(150)) and found[2, "odd"]["gray"] == odd[2].tobytes() and found[1, "wide"]["gray"] == clip[1].tobytes()
+    assert found[0, "marks"]["gray"] is None and (found[0, "odd"]["w"], found[0, "odd"]["h"]) == (7, 5)
+    thin = media.y4m_frames(df.where("path in ('long', 'odd')"), per_second=2).collect()
+    assert sorted(r["frame_idx"] for r in thin if r["path"] == "long") == [*range(13)] and {r["n_frames"] for r in thin} == {13, 3}
+    assert all(r["gray"] == clip[12 * r["frame_idx"]].tobytes() for r in thin if r["path"] == "long")
+    assert not any("Python" in p for p in [media.y4m_frames(df)._jdf.queryExecution().executedPlan().toString()])
+
+
+def test_one_clip_is_measured_by_many_tasks(spark):
+    frames = np.zeros((media.FRAME_RANGE * 12, 6, 8), np.uint8)
+    df = spark.createDataFrame([("a", bytearray(y4m(frames)))], "path string, content binary")
+    parts = media.y4m_frames(df).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 1 and sum(r["count"] for r in parts) == len(frames)
+
+
+def test_decoder_of_clips(spark):
+    df = spark.createDataFrame([("a", bytearray(b"3")), ("b", bytearray(b"x")), ("c", bytearray(b"0")), ("d", bytearray(b"1"))], "path string, content binary")
+
+    def decoder(content):
+        for k in range(int(content)):
+            yield np.full((2, 3), k, np.uint8)
+            if content == b"1":
+                raise ValueError("broken after a frame")
+
+    found = sorted((r["path"], r["frame_idx"], r["n_frames"], r["w"], r["h"], r["gray"][0]) for r in media.decode(df, decoder).collect())
+    assert found == [("a", k, 3, 3, 2, k) for k in range(3)]
+
+
+def test_stream_of_clip_files(spark, tmp_path):
+    """Clip files that arrive while the stream runs end as the results that the batch rules give their frames."""
+    rng = np.random.default_rng(2)
+    scene = rng.integers(0, 255, (80, 80)).astype(np.uint8)
+    shaking = [scene[8 + 3 * (k % 2) : 72 + 3 * (k % 2), 8:72] for k in range(10)]
+    clips = {"one.y4m": [scene[8:72, 8:72]] * 9, "two.y4m": shaking, "still.y4m": [np.zeros((64, 64), np.uint8)]}
+    root, store = tmp_path / "in", str(tmp_path / "qc")
+    root.mkdir()
+    frames = media.clip_stream(spark, str(root), files_per_batch=1)
+    stream = state.clips(frame_features(frames, S.COSTLY_EVERY, ["n_frames", "size", "mtime"]))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", False)
+    q = stream.writeStream.foreachBatch(live.ingest_clips(store, S.ALGORITHM_VERSION)).option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        for name, own in clips.items():
+            (root / "new").write_bytes(y4m(own, " W64 H64 F2:1 Cmono", b""))
+            (root / "new").rename(root / name)
+            q.processAllAvailable()
+        assert q.exception() is None
+    finally:
+        q.stop()
+    rows = media.y4m_frames(spark.read.format("binaryFile").option("pathGlobFilter", "*.y4m").load(str(root)).select("path", "content"))
+    batch = rows.select(F.xxhash64("path").bitwiseAND((1 << 63) - 1).alias("file_id"), "frame_idx", "w", "h", "gray", F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("mtime"))
+    live.ingest(str(tmp_path / "whole"), S.ALGORITHM_VERSION)(batch, 0)
+    get = lambda path: {r["file_id"]: (r["frames"], r["flags"]) for r in live.current(spark, path).collect()}
+    assert get(store) == get(str(tmp_path / "whole")) and sorted(n for n, _ in get(store).values()) == [1, 9, 10]
+    assert sum(bool(f & S.SHAKE) for _, f in get(store).values()) == 1
+
+
+def test_closure_by_parents(spark):
+    tree = [(1, 0), (2, 1), (3, 2), (4, 99), (5, 4)] + [(100 + k, 99 + k if k else 3) for k in range(40)]
+    loops = [(7, 7), (8, 9), (9, 10), (10, 8), (11, 10), (12, 11), (13, 12)] + [(200 + k, 199 + k if k else 13) for k in range(30)]
+    above, circling = catalog.closure_by_parents(spark.createDataFrame(tree + loops + [(3, 2)], "id long, parent_id long"))
+    parent, want = dict(tree), set()
+    for k in parent:
+        at, d = k, 0
+        while at in parent:
+            want.add((at, k, d))
+            at, d = parent[at], d + 1
+    got = [tuple(r) for r in above.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert {r["id"] for r in circling.collect()} == {k for k, _ in loops}
+    assert {r["id"] for r in catalog.subtree_by_parents(spark.createDataFrame(tree, "id long, parent_id long"), 2).collect()} == {2, 3, *range(100, 140)}
+    empty, none = catalog.closure_by_parents(spark.createDataFrame([], "id long, parent_id long"))
+    assert empty.count() == none.count() == 0
