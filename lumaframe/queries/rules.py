@@ -70,8 +70,8 @@ def token_quota(v):
 
 
 @query("feed", """
-    , log AS (SELECT 100 + event_id % 25 AS folder_id, ts_ms, event_id AS seq, user_name, CASE event_type WHEN 'click' THEN 'claim' WHEN 'view' THEN 'activity' WHEN 'error' THEN 'release' ELSE 'force' END AS op,
-                row_number() OVER (PARTITION BY event_id % 25 ORDER BY ts_ms, event_id) AS i FROM feed),
+    , log AS (SELECT 1000 + 10 * (user_id - user_id % 3) + event_id % 4 AS folder_id, ts_ms, event_id AS seq, user_name, CASE event_type WHEN 'click' THEN 'claim' WHEN 'view' THEN 'activity' WHEN 'error' THEN 'release' ELSE 'force' END AS op,
+                row_number() OVER (PARTITION BY user_id - user_id % 3, event_id % 4 ORDER BY ts_ms, event_id) AS i FROM feed),
     run AS (SELECT folder_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS ts_ms, CAST(0 AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS held, CAST(0 AS BIGINT) AS at, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS VARCHAR) AS holder FROM (SELECT DISTINCT folder_id FROM log)
       UNION ALL
       SELECT l.folder_id, l.i, l.ts_ms, l.seq,
@@ -86,5 +86,5 @@ def token_quota(v):
     SELECT folder_id, ts_ms, seq, outcome, holder FROM run WHERE i > 0 AND outcome IS NOT NULL""")
 def claim_log(v):
     op = F.when(F.col("event_type") == "click", "claim").when(F.col("event_type") == "view", "activity").when(F.col("event_type") == "error", "release").otherwise("force")
-    log = v("feed").select((F.col("event_id") % 25 + 100).alias("folder_id"), "ts_ms", F.col("event_id").alias("seq"), "user_name", op.alias("op"))
+    log = v("feed").select((F.lit(1000) + 10 * (F.col("user_id") - F.col("user_id") % 3) + F.col("event_id") % 4).alias("folder_id"), "ts_ms", F.col("event_id").alias("seq"), "user_name", op.alias("op"))
     return replay(log, "claim", "folder_id")

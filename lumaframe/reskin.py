@@ -86,7 +86,9 @@ VIEWS: dict[str, tuple[str, str]] = {
         "events",
         "SELECT event_id, {ms} AS ts_ms, ts, concat('u', user_id) AS user_name, user_id, event_type, value, props FROM events",
     ),
-    "claim_event": ("feed", "SELECT ts_ms, event_id AS seq, 100 + event_id % 25 AS folder_id, user_name FROM feed WHERE event_type = 'click'"),
+    "claim_event": ("feed", """
+        SELECT ts_ms, event_id AS seq, CASE WHEN event_id % 4 = 0 THEN 100 + event_id % 25 ELSE 1000 + 10 * (user_id - user_id % 3) + event_id % 20 END AS folder_id, user_name
+        FROM feed WHERE event_type = 'click'"""),
     "claim": (
         "claim_event",
         """
@@ -103,7 +105,7 @@ VIEWS: dict[str, tuple[str, str]] = {
     "decision_event": (
         "feed",
         """
-        SELECT ts_ms, event_id AS seq, event_id % 700 + 1 AS file_id, CAST(CAST(floor(event_id / 7) AS BIGINT) % 3 AS INT) AS decision, user_name
+        SELECT ts_ms, event_id AS seq, 10 * user_id + event_id % 10 + 1 AS file_id, CAST(CAST(floor(event_id / 7) AS BIGINT) % 3 AS INT) AS decision, user_name
         FROM feed WHERE event_type IN ('purchase', 'view')""",
     ),
     "known_user": ("feed", "SELECT user_name AS name, max(ts_ms) AS last_used FROM feed WHERE event_type = 'view' GROUP BY user_name"),
