@@ -2,7 +2,7 @@
 
 Members of one hash meet only its DUP_CANDIDATES + 1 smallest ids, so a hash that a third of all files share costs a row
 per file and candidate, never all pairs. Near hashes meet in an index of slices of the 64 bits, some of which are equal
-within five differing bits. Equal hashes are one entry there, and pairs are between hashes, not files.
+within five differing bits. Equal hashes are one entry there, and pairs are between hashes, not files; groups name each hash once.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lumaframe import schemas as S
 from lumaframe.functions import values as V
+from lumaframe.operators.components import components
 
 
 def candidates(qc: DataFrame, limit: int = S.DUP_CANDIDATES) -> DataFrame:
@@ -63,13 +64,21 @@ def hash_groups(qc: DataFrame, files: DataFrame) -> DataFrame:
     return groups.where("files > 1")
 
 
-def near_hashes(qc: DataFrame, most: int = S.MAX_HAMMING, bands: int = 7) -> DataFrame:
+def bands_for(hashes: int, most: int = S.MAX_HAMMING) -> int:
+    """The least number of slices, from `most` + 2 on, whose postings tell more hashes apart than there are."""
+    return next((b for b in range(most + 2, 2 * most + 3) if 1 << (64 * (b - most) // b) > hashes), 2 * most + 3)
+
+
+def near_hashes(qc: DataFrame, most: int = S.MAX_HAMMING, bands: int | None = None) -> DataFrame:
     """(hash_a, hash_b, distance) of different hashes within `most` bits, hash_a < hash_b as text.
 
     The 64 bits are cut into `bands` slices, of which at least bands - most are equal in such a pair. Hashes are posted under every
     combination of that many slices; a pair is reported by the combination of its first equal slices, so nothing has to be made
-    distinct afterwards. With seven bands a posting is chosen by 18 bits, with eight by 24 (and 56 postings a hash instead of 21).
+    distinct afterwards. With seven bands a posting is chosen by 18 bits, with eight by 24 (and 56 postings a hash instead of 21); unless
+    it is given, bands_for() the number of different hashes is taken, so postings do not grow with the library.
     """
+    if bands is None:
+        bands = bands_for(qc.select("dup_hash").distinct().count(), most)
     edges = [64 * k // bands for k in range(bands + 1)]
     cuts = [(at, stop - at) for at, stop in zip(edges, edges[1:], strict=False)]
     hashes = qc.select("dup_hash", V.hash_long(F.col("dup_hash")).alias("h")).where("h is not null").distinct()
@@ -99,3 +108,15 @@ def near_pairs(qc: DataFrame, most: int = S.MAX_HAMMING) -> DataFrame:
     pairs = near_hashes(qc, most)
     pairs = pairs.join(sizes.select(F.col("dup_hash").alias("hash_a"), F.col("n").alias("files_a")), "hash_a")
     return pairs.join(sizes.select(F.col("dup_hash").alias("hash_b"), F.col("n").alias("files_b")), "hash_b").select("hash_a", "hash_b", "distance", "files_a", "files_b")
+
+
+def near_groups(qc: DataFrame, most: int = S.MAX_HAMMING) -> DataFrame:
+    """(dup_hash, group_hash, files): every hash that files have, its group's smallest hash as text, and the files of the whole group.
+
+    Groups are what chains of near hashes connect: a row for each hash with its group, not a row for each pair of members.
+    """
+    sizes = qc.where("dup_hash <> ''").groupBy("dup_hash").agg(F.count(F.lit(1)).alias("n"))
+    links = near_hashes(qc, most).select(F.col("hash_a").alias("a"), F.col("hash_b").alias("b"))
+    known = components(links).select(F.col("node").alias("dup_hash"), F.col("component").alias("group_hash"))
+    rows = sizes.join(known, "dup_hash", "left").withColumn("group_hash", F.coalesce("group_hash", "dup_hash"))
+    return rows.join(rows.groupBy("group_hash").agg(F.sum("n").alias("files")), "group_hash").select("dup_hash", "group_hash", "files")

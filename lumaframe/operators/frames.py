@@ -6,6 +6,7 @@ made afterwards, in verdict.py, so thresholds can change without reading pixels
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -320,21 +321,50 @@ def stub_scorer(batch: np.ndarray) -> np.ndarray:
     return np.stack([1 - 10 * dev, 10 * dev - 3, mean, 2 - 8 * mean], axis=1)
 
 
-def scored(images: DataFrame, make_scorer: Callable[[], Scorer]) -> DataFrame:
+_SCORERS: dict[str, Scorer] = {}
+
+
+def scorer_of(name: str, make_scorer: Callable[[], Scorer]) -> Scorer:
+    """The scorer that this worker process keeps under a name; made the first time, when one of another name goes."""
+    if name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[name] = make_scorer()
+    return _SCORERS[name]
+
+
+def scored(images: DataFrame, make_scorer: Callable[[], Scorer], at_once: int = 8, name: str | None = None) -> DataFrame:
     """(file_id, frame_idx, blur, noise, dirt) of rasters (file_id, frame_idx, w, h, rgb): mean over the crops of the sigmoid of logits 0, 1 and 3.
 
-    The scorer is made once per task. An image that cannot be scored is left out.
+    The scorer gets the crops of `at_once` images together. It is made once for each worker process, under `name` (by
+    default one for each call), and serves all tasks that the process runs. An image that cannot be scored is left out: if the scorer fails on
+    several, each of them is tried alone.
     """
+    name = name or uuid.uuid4().hex
+
+    def patches(w: int, h: int, rgb: bytes | None) -> np.ndarray | None:
+        if rgb is None or w * h == 0 or len(rgb) != w * h * 3:
+            return None
+        return crops(np.frombuffer(rgb, np.uint8).reshape(h, w, 3))
+
+    def judged(score: Scorer, held: list[tuple]) -> list[tuple]:
+        try:
+            logits = np.asarray(score(np.concatenate([x for *_, x in held])))
+        except Exception:  # whatever a foreign model raises
+            return [r for one in held for r in judged(score, [one])] if len(held) > 1 else []
+        means = (1 / (1 + np.exp(-logits[:, [0, 1, 3]]))).reshape(len(held), -1, 3).mean(axis=1)
+        return [(file_id, at, *row) for (file_id, at, _), row in zip(held, means.tolist(), strict=True)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = make_scorer()
+        score, held, columns = scorer_of(name, make_scorer), [], ["file_id", "frame_idx", "blur", "noise", "dirt"]
         for part in batches:
-            out = []
-            for file_id, at, w, h, rgb in part.itertuples(index=False):
-                if rgb is None or len(rgb) != w * h * 3:
-                    continue
-                logits = score(crops(np.frombuffer(rgb, np.uint8).reshape(h, w, 3)))
-                out.append((file_id, at, *(1 / (1 + np.exp(-logits[:, [0, 1, 3]]))).mean(axis=0).tolist()))
-            yield pd.DataFrame(out, columns=["file_id", "frame_idx", "blur", "noise", "dirt"])
+            for file_id, at, *raster in part.itertuples(index=False):
+                x = patches(*raster)
+                if x is not None:
+                    held.append((file_id, at, x))
+                if len(held) == at_once:
+                    yield pd.DataFrame(judged(score, held), columns=columns)
+                    held = []
+        if held:
+            yield pd.DataFrame(judged(score, held), columns=columns)
 
     return images.select("file_id", "frame_idx", "w", "h", "rgb").mapInPandas(run, "file_id long, frame_idx int, blur double, noise double, dirt double")

@@ -59,6 +59,16 @@ def near_dup_pairs(v):
     return dedup.near_pairs(v("qc"))
 
 
+@query("qc", """
+    , h AS (SELECT dup_hash, count(*) AS n, CAST('0x' || dup_hash AS UBIGINT) AS x FROM qc WHERE dup_hash <> '' GROUP BY dup_hash),
+    link AS (SELECT a.dup_hash AS a, b.dup_hash AS b FROM h a JOIN h b ON bit_count(xor(a.x, b.x)) <= 5),
+    reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+    named AS (SELECT a AS dup_hash, min(b) AS group_hash FROM reach GROUP BY a)
+    SELECT m.dup_hash, m.group_hash, CAST(sum(h.n) OVER (PARTITION BY m.group_hash) AS BIGINT) AS files FROM named m JOIN h ON h.dup_hash = m.dup_hash""")
+def near_dup_groups(v):
+    return dedup.near_groups(v("qc"))
+
+
 BURSTS = """
     , timed AS (SELECT file_id, device, CAST('0x' || dup_hash AS UBIGINT) AS h, epoch(try_strptime(shoot_key, '%Y-%m-%d %H:%M:%S')) AS t
                 FROM qc WHERE device <> '' AND flags & 2 = 0 AND dup_hash <> '' AND try_strptime(shoot_key, '%Y-%m-%d %H:%M:%S') IS NOT NULL {more}),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lumaframe import schemas as S
 from lumaframe.operators import calibrate, dedup, frames, reconcile, verdict
+from lumaframe.operators.components import components
 
 Y, X = np.mgrid[0:64, 0:64]
 BIG_Y, BIG_X = np.mgrid[0:256, 0:256]
@@ -95,6 +96,37 @@ def test_scores(spark):
     assert [r["file_id"] for r in got] == [1] and got[0]["dirt"] == pytest.approx(np.mean([r["dirt"] for r in used]))
 
 
+def test_scores_of_several_images_at_once(spark):
+    """All rows equal one image at a time in NumPy; an image on which the model fails takes no other with it."""
+    rng = np.random.default_rng(4)
+    images = {k: rng.integers(0, 256, (20 + k, 30, 3)).astype(np.uint8) for k in range(11)}
+    images[5][:] = 255
+
+    def make():
+        def score(batch):
+            assert len(batch) <= 4 * 9
+            if (batch.reshape(len(batch), -1).min(axis=1) == 1).any():
+                raise ValueError("white")
+            return frames.stub_scorer(batch)
+
+        return score
+
+    rows = [(k, 0, x.shape[1], x.shape[0], bytearray(x.tobytes())) for k, x in images.items()] + [(20, 0, 0, 0, bytearray()), (21, 0, 5, 5, None)]
+    got = {r["file_id"]: (r["blur"], r["noise"], r["dirt"]) for r in frames.scored(spark.createDataFrame(rows, "file_id long, frame_idx int, w int, h int, rgb binary").coalesce(1), make, at_once=4).collect()}
+    assert sorted(got) == [k for k in range(11) if k != 5]
+    for k, row in got.items():
+        logits = frames.stub_scorer(frames.crops(images[k]))[:, [0, 1, 3]]
+        assert row == pytest.approx((1 / (1 + np.exp(-logits))).mean(axis=0).tolist(), rel=1e-6)
+
+
+def test_scorer_is_made_once():
+    made = []
+    make = lambda: made.append(1) or frames.stub_scorer
+    assert frames.scorer_of("one", make) is frames.scorer_of("one", make) and len(made) == 1
+    frames.scorer_of("two", make)
+    assert len(made) == 2 and list(frames._SCORERS) == ["two"]
+
+
 BASE = 0x0F0F0F0F0F0F0F0F
 NEAR, FAR = BASE ^ 0b1011, BASE ^ 0xFFFF000000000000
 
@@ -163,3 +195,45 @@ def test_upsert_and_quantile_sketch(spark):
     metrics = spark.range(1000).select(F.col("id").cast("double").alias("m"))
     exact, sketch = (calibrate.quantiles(metrics, ["m"], a).first() for a in (None, 1000))
     assert exact["p95"] == pytest.approx(949.05) and abs(sketch["p95"] - 949) <= 1
+
+
+def linked(pairs):
+    """{node: smallest node that it is connected to}."""
+    to = {}
+    for a, b in pairs:
+        to.setdefault(a, {a}).add(b)
+        to.setdefault(b, {b}).add(a)
+    name = {}
+    for start in sorted(to):
+        todo = [start] if start not in name else []
+        while todo:
+            x = todo.pop()
+            if x not in name:
+                name[x] = start
+                todo += to[x]
+    return name
+
+
+def test_components(spark):
+    rng = np.random.default_rng(6)
+    chain = [(k, k + 1) for k in range(1000, 1060)]
+    star = [(5000, 5001 + k) for k in range(300)]
+    some = [(int(a), int(b)) for a, b in rng.integers(0, 200, (120, 2))]
+    for pairs in (chain[::-1] + star + some + some[:9] + [(7000, 7000)], []):
+        got = [(r["node"], r["component"]) for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()]
+        assert len(got) == len({n for n, _ in got}) and dict(got) == linked(pairs)
+
+
+def test_near_groups(spark):
+    rng = np.random.default_rng(3)
+    base = [int(x) for x in rng.integers(0, 2**63, 6)]
+    hashes = [b ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 5), replace=False)) for b in base for _ in range(9)]
+    qc = qc_rows(spark, [(k, 0, h, "", "", []) for k, h in enumerate(hashes + hashes[:5])])
+    text = [f"{h:016x}" for h in hashes]
+    name = linked([(a, b) for a in text for b in text if bin(int(a, 16) ^ int(b, 16)).count("1") <= 5])
+    files = {}
+    for h in text + text[:5]:
+        files[name[h]] = files.get(name[h], 0) + 1
+    got = {r["dup_hash"]: (r["group_hash"], r["files"]) for r in dedup.near_groups(qc).collect()}
+    assert got == {h: (name[h], files[name[h]]) for h in text}
+    assert [dedup.bands_for(n) for n in (0, 200_000, 300_000, 20_000_000, 10**9, 10**12)] == [7, 7, 8, 9, 10, 13]
