@@ -10,7 +10,7 @@ where it lies; the passes over the texts of a slice run side by side.
 
 Defined results: a null text or one without a letter is `und` with score 0; ties go to the language first in order of
 name; equal rows give equal results; an empty table gives an empty result; without anything to learn from every text is
-`und`; texts may be of any length; other columns are not looked at.
+`und`; more than MAX_LANGUAGES values in the language column are an error; texts may be of any length; other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ become a run of level 0. When a level holds `fanout` runs they are merged into o
 history stays a handful of sorted tables. A key is dropped once the runs count it in enough documents.
 
 A run is a table in buckets by hash, each bucket sorted. All runs and the counted keys of a batch are dealt alike, so
-neither the anti-join nor a merge shuffles or sorts a run again: they are merge joins, bucket by bucket.
+neither the anti-join nor a merge shuffles a run again: they are merge joins, bucket by bucket. Spark sorts a bucket's rows once
+more when it reads them, as it does not rely on their order by default.
 
 Only built-in DataFrame functions are used. Lines are shuffled as counts of their hashes, never as text; the text itself
 moves once, to meet the positions to drop. A key that a third of all documents holds is counted by partial aggregation;
