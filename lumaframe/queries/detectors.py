@@ -184,16 +184,41 @@ def pixel_diff(v):
     return frames.pixel_differences(pairs, rasters)
 
 
-@query()
+def _profile(name: str, along: str) -> str:
+    """SQL for (k, v): smoothed means of the raster's pixels for each place along an axis."""
+    means = f"(SELECT k, list(m ORDER BY {along}) AS u FROM (SELECT k, {along}, CAST(sum(g) AS DOUBLE) / 64 AS m FROM p GROUP BY ALL) GROUP BY k)"
+    return f"{name} AS (SELECT k, list_transform(range(1, 65), lambda i: CASE WHEN i IN (1, 64) THEN u[i] ELSE (u[i - 1] + u[i] + u[i + 1]) / 3 END) AS v FROM {means})"
+
+
+def _distances(a: str, b: str) -> str:
+    """SQL for the mean distance of two profiles at each of 17 offsets."""
+    return f"list_transform(range(-8, 9), lambda d: round(list_avg(list_transform(range(greatest(1, 1 - d), least(64, 64 - d) + 1), lambda i: abs({a}[i] - {b}[i + d]))), 9))"
+
+
+@query("", f"""
+    WITH p AS (SELECT o_orderkey AS k, x, y, {_pixel('o_orderkey', 'x', 'y')} AS g FROM orders, {GRID}),
+    {_profile('r', 'y')}, {_profile('c', 'x')},
+    s AS (SELECT r.k, (r.k + 1) // 10 AS file_id, (r.k + 1) % 10 AS frame_idx, r.v AS rows, c.v AS cols FROM r JOIN c ON c.k = r.k),
+    t AS (SELECT *, lag(rows) OVER own AS r0, lag(cols) OVER own AS c0 FROM s WINDOW own AS (PARTITION BY file_id ORDER BY frame_idx)),
+    d AS (SELECT file_id, frame_idx, CASE WHEN r0 IS NOT NULL THEN {_distances('r0', 'rows')} END AS dr, CASE WHEN c0 IS NOT NULL THEN {_distances('c0', 'cols')} END AS dc FROM t)
+    SELECT file_id, CAST(frame_idx AS INTEGER) AS frame_idx, CAST(coalesce(list_position(dr, list_min(dr)) - 9, 0) AS INTEGER) AS dy,
+           CAST(coalesce(list_position(dc, list_min(dc)) - 9, 0) AS INTEGER) AS dx, round(coalesce(greatest(list_min(dr), list_min(dc)), 0), 6) AS dist FROM d""")
 def frame_shifts(v):
-    return frames.shifts(frames.projections(_rasters(v).withColumn("frame_idx", (F.col("file_id") % 10).cast("int")).withColumn("file_id", F.floor(F.col("file_id") / 10))))
+    clips = _rasters(v).withColumn("frame_idx", (F.col("file_id") % 10).cast("int")).withColumn("file_id", F.floor(F.col("file_id") / 10))
+    return frames.shifts(frames.projections(clips)).withColumn("dist", F.round("dist", 6))
 
 
-@query()
+@query("", f"""
+    WITH p AS (SELECT o_orderkey AS k, {_pixel('o_orderkey', 'x', 'y')} AS g FROM orders, {GRID.replace('64', '32')}),
+    q AS (SELECT k, CAST(CAST(g AS FLOAT) / CAST(255 AS FLOAT) AS DOUBLE) AS g FROM p),
+    m AS (SELECT k + 1 AS n, avg(g) AS mean, stddev_pop(g) AS dev FROM q GROUP BY k),
+    s AS (SELECT n // 6 AS file_id, 1 / (1 + exp(10 * dev - 1)) AS blur, 1 / (1 + exp(3 - 10 * dev)) AS noise, 1 / (1 + exp(8 * mean - 2)) AS dirt FROM m WHERE n % 6 IN (0, 2, 4)),
+    a AS (SELECT file_id, avg(blur) AS blur, avg(noise) AS noise, avg(dirt) AS dirt FROM s GROUP BY file_id)
+    SELECT file_id, round(blur, 6) AS blur, round(noise, 6) AS noise, round(dirt, 6) AS dirt, blur > 0.86 OR noise > 0.29 OR dirt > 0.66 AS suspect FROM a""")
 def ai_scores(v):
     rasters = _rasters(v, 32)
     rgb = rasters.withColumn("rgb", F.concat("gray", "gray", "gray")).withColumn("frame_idx", ((F.col("file_id") % 6) * 50).cast("int")).withColumn("file_id", F.floor(F.col("file_id") / 6))
-    return verdict.ai_votes(frames.scored(rgb, lambda: frames.stub_scorer))
+    return verdict.ai_votes(frames.scored(rgb, lambda: frames.stub_scorer)).withColumns({c: F.round(c, 6) for c in ("blur", "noise", "dirt")})
 
 
 FLAGS = """CASE WHEN corrupted THEN 2 ELSE CASE WHEN gray_std < {blank} THEN 4 ELSE 0 END + CASE WHEN dirty THEN 8 ELSE 0 END + CASE WHEN gray_std >= {blank} AND lap_std < {blur} THEN 16 ELSE 0 END
