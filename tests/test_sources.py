@@ -220,3 +220,25 @@ def test_closure_by_parents(spark):
     assert {r["id"] for r in catalog.subtree_by_parents(spark.createDataFrame(tree, "id long, parent_id long"), 2).collect()} == {2, 3, *range(100, 140)}
     empty, none = catalog.closure_by_parents(spark.createDataFrame([], "id long, parent_id long"))
     assert empty.count() == none.count() == 0
+
+
+def test_snapshots_in_buckets_meet_without_a_shuffle(spark, tmp_path):
+    old = spark.range(400).selectExpr("id", "concat('p/', id) AS rel_path", "id AS size", "1L AS mtime")
+    new = spark.range(50, 500).selectExpr("id + 1000 AS id", "concat('p/', id) AS rel_path", "if(id % 7 = 0, 0L, id) AS size", "1L AS mtime")
+    names = [f"snapshot_{k}_{abs(hash(str(tmp_path)))}" for k in "ab"]
+    ordering = spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering")
+    try:
+        for name, rows in zip(names, (old, new), strict=True):
+            sinks.write_snapshot(rows, name, str(tmp_path / name), 5)
+        found = catalog.diff(*[sinks.read_snapshot(spark, n).hint("merge") for n in names])
+        assert ordered_rows(found) == ordered_rows(catalog.diff(old, new))
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    finally:
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", ordering)
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def ordered_rows(df):
+    return sorted(map(repr, df.collect()))
