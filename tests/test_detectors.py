@@ -237,3 +237,14 @@ def test_near_groups(spark):
     got = {r["dup_hash"]: (r["group_hash"], r["files"]) for r in dedup.near_groups(qc).collect()}
     assert got == {h: (name[h], files[name[h]]) for h in text}
     assert [dedup.bands_for(n) for n in (0, 200_000, 300_000, 20_000_000, 10**9, 10**12)] == [7, 7, 8, 9, 10, 13]
+
+
+def test_pixels_of_many_pairs_are_not_broadcast(spark):
+    rows = [(k, 0, 8, 8, bytearray(bytes([k * 40]) * 64)) for k in range(4)]
+    few = spark.createDataFrame(rows, S.FRAME).mapInPandas(lambda batches: batches, S.FRAME)
+    pairs = spark.range(1, frames.FEW_PAIRS + 3).select(F.col("id").alias("file_id"), (F.col("id") - 1).alias("other_id"))
+    for some, sent in ((pairs, 0), (pairs.where("file_id < 9"), 2)):
+        found = frames.pixel_differences(some, few)
+        assert {tuple(r) for r in found.collect()} == {(k, k - 1, 1.0) for k in (1, 2, 3)}
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("BroadcastHashJoin") == sent
