@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lumaframe import schemas as S
@@ -129,20 +129,29 @@ def hash_bits(v):
 
 def _rasters(v, side: int = 64):
     """A gray raster for each order, by a formula of its key. Keys are dealt out first, so that pixels are made where they are used."""
-    y, x = np.mgrid[0:side, 0:side]
+    y, x = (a.ravel() for a in np.mgrid[0:side, 0:side])
+    # bytes wrap at 256 as the formula does, and x * y * k % 97 depends on k % 97
+    rights, downs = (np.outer(np.arange(n), a).astype(np.uint8) for n, a in ((7, x), (5, y)))
+    textures = (np.outer(np.arange(97), x * y) % 97).astype(np.uint8)
 
     def run(batches):
         for part in batches:
-            for at in range(0, len(part), 256):
-                keys = part["k"].to_numpy()[at : at + 256]
-                k = keys[:, None, None]
-                pixels = (x * (k % 7) + y * (k % 5) + k * 37 % 256 + np.where(k % 3 == 0, x * y * k % 97, 0)) % 256
-                grays = [g.tobytes() for g in pixels.astype(np.uint8)]
-                yield pd.DataFrame({"file_id": keys + 1, "frame_idx": 0, "w": side, "h": side, "gray": grays})
+            for at in range(0, part.num_rows, 256):
+                k = part.column("k").slice(at, 256).to_numpy(zero_copy_only=False)
+                pixels = rights[k % 7]
+                pixels += downs[k % 5]
+                pixels += (k * 37 % 256).astype(np.uint8)[:, None]
+                rough = k % 3 == 0
+                pixels[rough] += textures[k[rough] % 97]
+                ends = pa.array(np.arange(0, (len(k) + 1) * side * side, side * side, dtype=np.int32))
+                gray = pa.BinaryArray.from_buffers(pa.binary(), len(k), [None, ends.buffers()[1], pa.py_buffer(pixels)])
+                size = pa.array(np.full(len(k), side, np.int32))
+                columns = [pa.array(k + 1), pa.array(np.zeros(len(k), np.int32)), size, size, gray]
+                yield pa.RecordBatch.from_arrays(columns, names=["file_id", "frame_idx", "w", "h", "gray"])
 
     keys = v("orders").select(F.col("o_orderkey").alias("k"))
     tasks = 2 * keys.sparkSession.sparkContext.defaultParallelism
-    return keys.repartition(tasks, "k").mapInPandas(run, S.FRAME)
+    return keys.repartition(tasks, "k").mapInArrow(run, S.FRAME)
 
 
 #: The pixel formula in DuckDB, at a place given by SQL terms.
@@ -164,14 +173,14 @@ AROUND = " - ".join(["4 * g", *(_pixel("k", x, y) for x, y in (("x - 1", "y"), (
            round(sqrt(greatest(avg(lap * lap) - avg(lap) * avg(lap), 0)), 6) AS lap_std, round(any_value(noise_floor), 6) AS noise_floor
     FROM q JOIN noise USING (k) GROUP BY q.k""")
 def frame_metrics(v):
-    rows = frames.frame_metrics(_rasters(v)).select("file_id", "frame_idx", *frames.METRIC_NAMES[:7])
+    rows = frames.frame_metrics(_rasters(v), wanted=frames.METRIC_NAMES[:7])
     return rows.withColumns({c: F.round(c, 6) for c in ("gray_std", "lap_std", "noise_floor")})
 
 
 @query()
 def frame_marks(v):
     """Lens dirt and perceptual hash of each raster."""
-    return frames.frame_metrics(_rasters(v)).select("file_id", "frame_idx", "dirt_conf", "dup_hash")
+    return frames.frame_metrics(_rasters(v), wanted=["dirt_conf", "dup_hash"])
 
 
 @query("", f"""

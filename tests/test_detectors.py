@@ -248,3 +248,24 @@ def test_pixels_of_many_pairs_are_not_broadcast(spark):
         assert {tuple(r) for r in found.collect()} == {(k, k - 1, 1.0) for k in (1, 2, 3)}
         plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
         assert plan.count("BroadcastHashJoin") == sent
+
+
+def test_wanted_metrics_are_those_of_all(spark):
+    rng = np.random.default_rng(7)
+    sizes = [(64, 64), (64, 64), (20, 33), (64, 64), (90, 70), (64, 64)]
+    rows = [(k, k, w, h, bytearray(rng.integers(0, 256, w * h).astype(np.uint8).tobytes())) for k, (w, h) in enumerate(sizes)]
+    rows += [(6, 6, 64, 64, bytearray(b"short")), (7, 7, 64, 64, None), (8, 8, None, 64, bytearray(64))]
+    some = spark.createDataFrame(rows, S.FRAME)
+    every = {r["file_id"]: r.asDict() for r in frames.frame_metrics(some, costly_every=2).collect()}
+    assert [k for k, r in every.items() if r["corrupted"]] == [6, 7, 8] and every[1]["lap_std"] is None and every[0]["lap_std"] > 0
+    wanted = ["noise_floor", "dup_hash", "clip_low"]
+    assert {r["file_id"]: r.asDict() for r in frames.frame_metrics(some, 2, wanted).collect()} == {k: {c: r[c] for c in ("file_id", "frame_idx", *wanted)} for k, r in every.items()}
+    for k in range(6):
+        gray = np.frombuffer(rows[k][4], np.uint8).reshape(sizes[k][1], sizes[k][0])
+        small = frames.resized(gray, 64, 64).astype(float)
+        assert every[k]["gray_std"] == pytest.approx(small.std()) and every[k]["exp_mean"] == small.mean() and every[k]["dup_hash"] == frames.perceptual_hash(small)
+        if k % 2 == 0:
+            lap = 4.0 * gray[1:-1, 1:-1] - gray[1:-1, :-2] - gray[1:-1, 2:] - gray[:-2, 1:-1] - gray[2:, 1:-1]
+            cells = [gray[y : y + 16, x : x + 16].std() for y in range(0, gray.shape[0] - 15, 16) for x in range(0, gray.shape[1] - 15, 16)]
+            assert every[k]["lap_std"] == pytest.approx(lap.std())
+            assert every[k]["noise_floor"] == pytest.approx(sorted(cells)[len(cells) // 10] if min(gray.shape) >= 32 else 0)
