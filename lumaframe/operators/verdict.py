@@ -124,6 +124,11 @@ def shake(shifts: DataFrame, most_distance: float = 25.0, least_frames: int = 8,
     return found.select("file_id", "frames", "amp", rate.alias("flip_rate"), hit.alias("shake"))
 
 
+def ai_frames(images: DataFrame) -> DataFrame:
+    """The rows that ai_votes() looks at, for a scorer to be spared the others; a file's first AI_FRAMES are known only when all are scored."""
+    return images.where(every(S.AI_EVERY))
+
+
 def ai_votes(scores: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:  # noqa: B008
     """(file_id, blur, noise, dirt, suspect): mean over the first AI_FRAMES of every AI_EVERY-th frame."""
     own = Window.partitionBy("file_id").orderBy("frame_idx")

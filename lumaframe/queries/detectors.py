@@ -227,7 +227,7 @@ def frame_shifts(v):
 def ai_scores(v):
     rasters = _rasters(v, 32)
     rgb = rasters.withColumn("rgb", F.concat("gray", "gray", "gray")).withColumn("frame_idx", ((F.col("file_id") % 6) * 50).cast("int")).withColumn("file_id", F.floor(F.col("file_id") / 6))
-    return verdict.ai_votes(frames.scored(rgb, lambda: frames.stub_scorer)).withColumns({c: F.round(c, 6) for c in ("blur", "noise", "dirt")})
+    return verdict.ai_votes(frames.scored(verdict.ai_frames(rgb), lambda: frames.stub_scorer)).withColumns({c: F.round(c, 6) for c in ("blur", "noise", "dirt")})
 
 
 FLAGS = """CASE WHEN corrupted THEN 2 ELSE CASE WHEN gray_std < {blank} THEN 4 ELSE 0 END + CASE WHEN dirty THEN 8 ELSE 0 END + CASE WHEN gray_std >= {blank} AND lap_std < {blur} THEN 16 ELSE 0 END

@@ -250,6 +250,29 @@ def test_pixels_of_many_pairs_are_not_broadcast(spark):
         assert plan.count("BroadcastHashJoin") == sent
 
 
+def test_crops_at_one_place_are_scored_once(spark):
+    """A square image no larger than a crop is one crop, and frames without a vote are not scored at all."""
+    rng = np.random.default_rng(6)
+    for h, w, n in ((32, 32, 1), (32, 40, 3), (224, 224, 1), (300, 240, 9)):
+        rgb = rng.integers(0, 256, (h, w, 3)).astype(np.uint8)
+        found, of = frames.distinct_crops(rgb)
+        ys, xs = (np.arange(max(x, round(x * 224 / min(h, w)))) * x // max(x, round(x * 224 / min(h, w))) for x in (h, w))
+        big = rgb[ys][:, xs].transpose(2, 0, 1).astype(np.float32) / 255
+        starts = [(y, x) for y in np.linspace(0, len(ys) - 224, 3).astype(int) for x in np.linspace(0, len(xs) - 224, 3).astype(int)]
+        assert len(found) == n and np.array_equal(found[of], np.stack([big[:, y : y + 224, x : x + 224] for y, x in starts]))
+    rows = [(1, k * 50, 32, 32, bytearray(bytes([k]) * 3072)) for k in range(6)]
+    images = spark.createDataFrame(rows, "file_id long, frame_idx int, w int, h int, rgb binary").coalesce(1)
+
+    def make():
+        def score(batch):
+            assert len(batch) == 3 and set((batch[:, 0, 0, 0] * 255).round()) == {0, 2, 4}
+            return frames.stub_scorer(batch)
+
+        return score
+
+    assert frames.scored(verdict.ai_frames(images), make).count() == 3
+
+
 def test_wanted_metrics_are_those_of_all(spark):
     rng = np.random.default_rng(7)
     sizes = [(64, 64), (64, 64), (20, 33), (64, 64), (90, 70), (64, 64)]
