@@ -29,7 +29,10 @@ def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: five-word shingles with a Jaccard similarity of 0.8 or more."""
+    """Keeps one document of each group of near copies: five-word shingles with a Jaccard similarity of 0.8 or more.
+
+    Candidates come from the SimHash index (two bits) and, for those it does not reach, from one of the shingles; all are compared exactly.
+    """
     return simhash.one_of_each(docs, shingle_join.near_groups(docs, size=5, similarity=0.8))
 
 

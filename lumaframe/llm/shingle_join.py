@@ -1,6 +1,7 @@
 """Near copies by the similarity of their word shingles: every pair of texts whose Jaccard similarity reaches a threshold.
 
-A SimHash of 64 bits guarantees no distance at a given similarity, so this index holds the shingles themselves. All texts
+Candidates come from two indexes, and all are compared exactly: from the byte positions of SimHash fingerprints (see simhash.py), which links
+texts that differ in little, and, as a SimHash of 64 bits guarantees no distance at a given similarity, from the shingles themselves. All texts
 order their shingle hashes alike; two sets of similarity t share a hash among the first n - ceil(t n) + 1 of either
 (prefix filter), so only these are posted. Hashes that look frequent in some of the sets are moved to the end of the order,
 which keeps postings short and is right for any choice of them. What meets in postings is filtered by size, place and the
@@ -30,6 +31,7 @@ from xxhash import xxh64_intdigest
 
 from lumaframe.llm.common import as_bytes, bounded, forget, once, saved, slices
 from lumaframe.llm.decontaminate import WordHashes, window_hashes
+from lumaframe.llm import simhash
 from lumaframe.llm.simhash import components
 
 MAX_POSTING = 64
@@ -89,14 +91,16 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(doc_id, body, sig, n, keys): body is a hash of the text, sig one of its n hashes, keys their prefix."""
+    """(doc_id, body, fp, sig, n, keys): body is a hash of the text, fp its SimHash, sig one of its n hashes, keys their prefix."""
     typed = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, size))
 
     def run(batches):
         hashes, last = WordHashes(), shared.value
         for part in slices(batches):
-            sets = [shingles(t, size, hashes) for t in as_bytes(part)]
+            texts = as_bytes(part)
+            sets = [shingles(t, size, hashes) for t in texts]
+            fps = np.array([simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64)
             sigs = np.fromiter((xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
             place = last.searchsorted(joined := np.concatenate(sets))
             late = (last[place.clip(max=len(last) - 1)] == joined) if len(last) else np.zeros(len(joined), bool)
@@ -105,10 +109,10 @@ def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
                 own = late[at : at + len(s)]
                 keys.append(np.concatenate((s[~own], s[own]))[: prefix_length(len(s), similarity)])
                 at += len(s)
-            columns = [pa.array(sigs), pa.array(np.fromiter(map(len, sets), np.int32, len(sets))), lists(keys)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("body"), *columns], names=["doc_id", "body", "sig", "n", "keys"])
+            columns = [pa.array(fps), pa.array(sigs), pa.array(np.fromiter(map(len, sets), np.int32, len(sets))), lists(keys)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("body"), *columns], names=["doc_id", "body", "fp", "sig", "n", "keys"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("body"), "text").mapInArrow(run, f"doc_id {typed}, body long, sig long, n int, keys array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("body"), "text").mapInArrow(run, f"doc_id {typed}, body long, fp long, sig long, n int, keys array<long>")
 
 
 def postings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -290,6 +294,17 @@ def roles(found: DataFrame, least: DataFrame, similarity: float) -> DataFrame:
     return rows.select(F.xxhash64("hub", "hash", "p.bucket").alias("key"), "sig", "n", "component", "d", "at", "r", "p.small")
 
 
+def hashed_pairs(rows: DataFrame, max_bits: int = 2) -> DataFrame:
+    """(a, b) of distinct sets whose SimHashes differ in max_bits at most: each set with the first of its fingerprint, and those with each other."""
+    sets = saved(rows.select("fp", "sig").distinct(), "fingerprints")
+    first = saved(sets.groupBy("fp").agg(F.min("sig").alias("first")), "first-of-fingerprints")
+    same = sets.join(bounded(first), "fp").where("sig <> first").select(F.col("first").alias("a"), F.col("sig").alias("b"))
+    links = simhash.near_links(first.select("fp"), max_bits)
+    ends = [first.select(F.col("fp").alias(x), F.col("first").alias(f"_{x}")) for x in "ab"]
+    near = links.join(ends[0], "a").join(ends[1], "b").where("_a <> _b")
+    return same.unionByName(near.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")))
+
+
 def near_links(rows: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """(a, b) between distinct sets; the links' components are those of all pairs that reach the similarity. rows: prefixes(), stored."""
     member = F.struct("sig", "n", "at")
@@ -304,7 +319,7 @@ def near_links(rows: DataFrame, docs: DataFrame, size: int, similarity: float) -
     starred = long.select("key", member.alias("own")).join(bounded(hubs), "key")
     partner = possible(starred.select(F.col("hub").alias("a"), F.col("own").alias("b")), similarity, ordered=False).groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
     starred = partner.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = saved(counted.unionByName(starred).distinct(), "candidates")
+    pairs = saved(counted.unionByName(starred).unionByName(hashed_pairs(rows)).distinct(), "candidates")
     links = verified(pairs, rows, docs, size, similarity)
     forget(hubs, pairs)
     return long_links(long.select("key", "sig", "n"), links, rows, docs, size, similarity)

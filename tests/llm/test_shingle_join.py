@@ -1,9 +1,10 @@
 import random
+from itertools import combinations
 
 import corpus_pipeline
 import pytest
 
-from lumaframe.llm import shingle_join
+from lumaframe.llm import shingle_join, simhash
 
 from .conftest import ordered, texts
 
@@ -86,3 +87,27 @@ def test_stage_keeps_one_of_each_group(spark, no_docs):
     want = [min((r for r in rows if repr(r) in g), key=lambda r: (r[0] is None, r[0])) for g in brute(rows)]
     assert ordered(kept.collect()) == ordered(want)
     assert corpus_pipeline.one_of_each_group(spark, no_docs, "").count() == 0
+
+
+def test_stage_takes_candidates_from_the_simhash_index(spark, monkeypatch):
+    """All sets within two bits are connected by the pairs that go to the exact check, and the stage asks for them."""
+    rows = [*near_copies(seed=5, bases=5), *[(1000 + k, t) for k, t in enumerate(["a b", "A  b", "", None, " "])]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {r["sig"]: r["fp"] & (2**64 - 1) for r in shingle_join.prefixes(docs, 5, 0.8).collect()}
+    assert set(prints.values()) == {simhash.fingerprint((t or "").encode()) for _, t in rows}
+    asked = []
+    real = shingle_join.hashed_pairs
+    monkeypatch.setattr(shingle_join, "hashed_pairs", lambda stored: asked.append(real(stored)) or asked[-1])
+    assert corpus_pipeline.one_of_each_group(spark, docs, "").count() == len(brute([(k, t) for k, t in rows]))
+    name = {s: s for s in prints}
+
+    def top(s):
+        while name[s] != s:
+            s = name[s]
+        return s
+
+    for r in asked[0].collect():
+        assert (prints[r["a"]] ^ prints[r["b"]]).bit_count() <= 2 and r["a"] < r["b"]
+        name[top(r["a"])] = top(r["b"])
+    near = [(a, b) for a, b in combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 2]
+    assert near and all(top(a) == top(b) for a, b in near)
