@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumaframe.llm import bpe, decontaminate, line_dedup, shingle_join, simhash, toxicity
-from lumaframe.llm.common import fold, modest_batches, saved, table
+from lumaframe.llm.common import fold, modest_batches, saved, short_lived_shuffles, table
 from lumaframe.llm.queries import TOKENIZER
 
 
@@ -51,6 +51,7 @@ def _stage(function):
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         modest_batches(spark)
+        short_lived_shuffles(spark)
         return function(spark, docs, sf_dir)
 
     return run
