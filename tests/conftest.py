@@ -26,3 +26,15 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(autouse=True)
+def idle_batches(request):
+    """A test that sets whether streams run batches without data does so for itself only; the session is shared."""
+    if "spark" not in request.fixturenames:
+        yield
+        return
+    conf, key = request.getfixturevalue("spark").conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    yield
+    conf.set(key, before)

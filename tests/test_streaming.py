@@ -367,3 +367,10 @@ def test_table_of_many_batches(spark, tmp_path):
     assert {r["k"]: r["n"] for r in table_log.current(spark, last).collect()} == {0: 10, 1: 11, 2: 7, 3: 8, 4: 9, 7: 1}
     assert most <= 2 * table_log.EVERY + 3 and table_log.version(spark, sums) == 44
     assert len([*(tmp_path / "sums").glob("v*/part=*")]) <= 2 * 7
+
+
+@pytest.mark.parametrize("turn", (1, 2))
+def test_idle_batches_are_set_for_one_test(spark, turn):
+    """What one test leaves in the session does not reach the next: test_windows needs the batch without data that comes last."""
+    assert spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled") == "true"
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", False)
