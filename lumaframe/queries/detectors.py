@@ -127,8 +127,12 @@ def hash_bits(v):
     return v("embeddings").select("vec_id", F.transform(e, lambda x: (x > middle).cast("int")).alias("bits"), middle.alias("middle"))
 
 
-def _rasters(v, side: int = 64):
-    """A gray raster for each order, by a formula of its key. Keys are dealt out first, so that pixels are made where they are used."""
+def _files(v):
+    return v("orders").select((F.col("o_orderkey") + 1).alias("file_id"))
+
+
+def _decoder(side: int = 64):
+    """A decoder of files (file_id) to one gray raster each, by a formula of the key."""
     y, x = (a.ravel() for a in np.mgrid[0:side, 0:side])
     # bytes wrap at 256 as the formula does, and x * y * k % 97 depends on k % 97
     rights, downs = (np.outer(np.arange(n), a).astype(np.uint8) for n, a in ((7, x), (5, y)))
@@ -137,7 +141,7 @@ def _rasters(v, side: int = 64):
     def run(batches):
         for part in batches:
             for at in range(0, part.num_rows, 256):
-                k = part.column("k").slice(at, 256).to_numpy(zero_copy_only=False)
+                k = part.column("file_id").slice(at, 256).to_numpy(zero_copy_only=False) - 1
                 pixels = rights[k % 7]
                 pixels += downs[k % 5]
                 pixels += (k * 37 % 256).astype(np.uint8)[:, None]
@@ -149,9 +153,13 @@ def _rasters(v, side: int = 64):
                 columns = [pa.array(k + 1), pa.array(np.zeros(len(k), np.int32)), size, size, gray]
                 yield pa.RecordBatch.from_arrays(columns, names=["file_id", "frame_idx", "w", "h", "gray"])
 
-    keys = v("orders").select(F.col("o_orderkey").alias("k"))
-    tasks = 2 * keys.sparkSession.sparkContext.defaultParallelism
-    return keys.repartition(tasks, "k").mapInArrow(run, S.FRAME)
+    return run
+
+
+def _rasters(files, side: int = 64):
+    """A gray raster for each file. Files are dealt out first, so that pixels are made where they are used."""
+    tasks = 2 * files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(tasks, "file_id").mapInArrow(_decoder(side), S.FRAME)
 
 
 #: The pixel formula in DuckDB, at a place given by SQL terms.
@@ -173,14 +181,14 @@ AROUND = " - ".join(["4 * g", *(_pixel("k", x, y) for x, y in (("x - 1", "y"), (
            round(sqrt(greatest(avg(lap * lap) - avg(lap) * avg(lap), 0)), 6) AS lap_std, round(any_value(noise_floor), 6) AS noise_floor
     FROM q JOIN noise USING (k) GROUP BY q.k""")
 def frame_metrics(v):
-    rows = frames.frame_metrics(_rasters(v), wanted=frames.METRIC_NAMES[:7])
+    rows = frames.frame_metrics(_rasters(_files(v)), wanted=frames.METRIC_NAMES[:7])
     return rows.withColumns({c: F.round(c, 6) for c in ("gray_std", "lap_std", "noise_floor")})
 
 
 @query()
 def frame_marks(v):
     """Lens dirt and perceptual hash of each raster."""
-    return frames.frame_metrics(_rasters(v), wanted=["dirt_conf", "dup_hash"])
+    return frames.frame_metrics(_rasters(_files(v)), wanted=["dirt_conf", "dup_hash"])
 
 
 @query("", f"""
@@ -188,9 +196,8 @@ def frame_marks(v):
     SELECT k + 1 AS file_id, m + 1 AS other_id, avg(CASE WHEN abs({_pixel('k', 'x', 'y')} - {_pixel('m', 'x', 'y')}) > 25 THEN 1.0::DOUBLE ELSE 0 END) AS diff
     FROM pair, {GRID} GROUP BY k, m""")
 def pixel_diff(v):
-    rasters = _rasters(v)
     pairs = v("orders").select((F.col("o_orderkey") + 1).alias("file_id"), (F.col("o_orderkey") - F.col("o_orderkey") % 3 + 1).alias("other_id")).where("file_id <> other_id")
-    return frames.pixel_differences(pairs, rasters)
+    return frames.differences_of(pairs, _files(v), _decoder(), at_once=512)
 
 
 def _profile(name: str, along: str) -> str:
@@ -213,7 +220,7 @@ def _distances(a: str, b: str) -> str:
     SELECT file_id, CAST(frame_idx AS INTEGER) AS frame_idx, CAST(coalesce(list_position(dr, list_min(dr)) - 9, 0) AS INTEGER) AS dy,
            CAST(coalesce(list_position(dc, list_min(dc)) - 9, 0) AS INTEGER) AS dx, round(coalesce(greatest(list_min(dr), list_min(dc)), 0), 6) AS dist FROM d""")
 def frame_shifts(v):
-    clips = _rasters(v).withColumn("frame_idx", (F.col("file_id") % 10).cast("int")).withColumn("file_id", F.floor(F.col("file_id") / 10))
+    clips = _rasters(_files(v)).withColumn("frame_idx", (F.col("file_id") % 10).cast("int")).withColumn("file_id", F.floor(F.col("file_id") / 10))
     return frames.shifts(frames.projections(clips)).withColumn("dist", F.round("dist", 6))
 
 
@@ -225,7 +232,7 @@ def frame_shifts(v):
     a AS (SELECT file_id, avg(blur) AS blur, avg(noise) AS noise, avg(dirt) AS dirt FROM s GROUP BY file_id)
     SELECT file_id, round(blur, 6) AS blur, round(noise, 6) AS noise, round(dirt, 6) AS dirt, blur > 0.86 OR noise > 0.29 OR dirt > 0.66 AS suspect FROM a""")
 def ai_scores(v):
-    rasters = _rasters(v, 32)
+    rasters = _rasters(_files(v), 32)
     rgb = rasters.withColumn("rgb", F.concat("gray", "gray", "gray")).withColumn("frame_idx", ((F.col("file_id") % 6) * 50).cast("int")).withColumn("file_id", F.floor(F.col("file_id") / 6))
     return verdict.ai_votes(frames.scored(verdict.ai_frames(rgb), lambda: frames.stub_scorer)).withColumns({c: F.round(c, 6) for c in ("blur", "noise", "dirt")})
 

@@ -1,12 +1,14 @@
 """The detectors on rasters made by formula, and the rules between photos on hand-made rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lumaframe import schemas as S
 from lumaframe.operators import calibrate, dedup, frames, reconcile, verdict
 from lumaframe.operators.components import components
+from lumaframe.queries import QUERIES
 
 Y, X = np.mgrid[0:64, 0:64]
 BIG_Y, BIG_X = np.mgrid[0:256, 0:256]
@@ -250,6 +252,51 @@ def test_pixels_of_many_pairs_are_not_broadcast(spark):
         assert plan.count("BroadcastHashJoin") == sent
 
 
+def test_frames_made_where_they_are_compared(spark):
+    """Rows equal those of stored frames: several frames a file, frames without a partner, other sizes, no bytes, files that are missing or not asked for."""
+    rng = np.random.default_rng(8)
+    scene = rng.integers(0, 60, (3, 9, 64)).astype(np.uint8)
+    stored = {k: [(f, bytes((scene[f] + rng.integers(0, 40)).tobytes()[: 64 * (7 if k % 5 == 4 else 9)])) for f in range(3) if (k + f) % 4] for k in range(40)}
+    stored[7], stored[8], stored[9] = [], [(0, None), (1, b"")], [(k, x[:64] if k == 1 else x) for k, x in stored[13]]
+    rows = [(k, f, 64, 9, x) for k, own in stored.items() for f, x in own]
+
+    def decode(batches):
+        for part in batches:
+            assert len(set(part.column("file_id").to_pylist())) == part.num_rows
+            found = [(k, f, 64, 9, x) for k, p in zip(*(part.column(c).to_pylist() for c in ("file_id", "path")), strict=True) for f, x in stored[int(p[1:])]]
+            columns = [pa.array([r[c] for r in found], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["file_id", "frame_idx", "w", "h", "gray"])
+
+    files = spark.createDataFrame([(k, f"p{k}") for k in stored], "file_id long, path string")
+    pairs = [(k, 13) for k in stored] + [(k, k - 1) for k in stored] + [(5, 13), (99, 13), (5, 99)]
+    some = spark.createDataFrame(pairs, "file_id long, other_id long")
+    want = {(r["file_id"], r["other_id"]): r["diff"] for r in frames.pixel_differences(some, spark.createDataFrame(rows, S.FRAME)).collect()}
+    for at_once in (1, 7, 100):
+        got = [(r["file_id"], r["other_id"], r["diff"]) for r in frames.differences_of(some, files, decode, at_once).collect()]
+        assert len(got) == len(want) > 40 and {(a, b): d for a, b, d in got} == pytest.approx(want)
+    assert want[13, 13] == 0 and (7, 13) not in want and (8, 13) not in want
+
+
+def test_pixels_of_pixel_diff_are_not_shuffled(spark):
+    """Ids are dealt out, and nothing is after the frames are made; ranges take one pair after the other, so a file in all pairs is not one task."""
+    found = QUERIES["pixel_diff"](spark, "/root/testdata/sf0.001")
+    lines = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].splitlines()
+    made = [k for k, x in enumerate(lines) if "MapIn" in x]
+    moved = [k for k, x in enumerate(lines) if "Exchange" in x]
+    assert len(made) == 1 and moved and min(moved) > made[0] and not any("gray" in lines[k] for k in moved)
+    pairs = spark.range(1, 4001).select(F.col("id").alias("file_id"), F.lit(0).alias("other_id"))
+
+    def decode(batches):
+        for part in batches:
+            n = part.num_rows
+            columns = [part.column("file_id"), pa.array([0] * n, pa.int32()), pa.array([1] * n, pa.int32()), pa.array([1] * n, pa.int32()), pa.array([b"x"] * n)]
+            yield pa.RecordBatch.from_arrays(columns, names=["file_id", "frame_idx", "w", "h", "gray"])
+
+    dealt = frames.differences_of(pairs, spark.range(4001).select(F.col("id").alias("file_id")), decode, 100)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 1000
+
+
 def test_crops_at_one_place_are_scored_once(spark):
     """A square image no larger than a crop is one crop, and frames without a vote are not scored at all."""
     rng = np.random.default_rng(6)
