@@ -131,8 +131,8 @@ def _files(v):
     return v("orders").select((F.col("o_orderkey") + 1).alias("file_id"))
 
 
-def _decoder(side: int = 64):
-    """A decoder of files (file_id) to one gray raster each, by a formula of the key."""
+def _decoder(side: int = 64, rgb: bool = False):
+    """A decoder of files (file_id) to one gray raster each, by a formula of the key, or to one whose bytes are those of the gray one three times."""
     y, x = (a.ravel() for a in np.mgrid[0:side, 0:side])
     # bytes wrap at 256 as the formula does, and x * y * k % 97 depends on k % 97
     rights, downs = (np.outer(np.arange(n), a).astype(np.uint8) for n, a in ((7, x), (5, y)))
@@ -147,19 +147,25 @@ def _decoder(side: int = 64):
                 pixels += (k * 37 % 256).astype(np.uint8)[:, None]
                 rough = k % 3 == 0
                 pixels[rough] += textures[k[rough] % 97]
-                ends = pa.array(np.arange(0, (len(k) + 1) * side * side, side * side, dtype=np.int32))
+                if rgb:
+                    pixels = np.tile(pixels, 3)
+                ends = pa.array(np.arange(len(k) + 1, dtype=np.int32) * pixels.shape[1])
                 gray = pa.BinaryArray.from_buffers(pa.binary(), len(k), [None, ends.buffers()[1], pa.py_buffer(pixels)])
                 size = pa.array(np.full(len(k), side, np.int32))
                 columns = [pa.array(k + 1), pa.array(np.zeros(len(k), np.int32)), size, size, gray]
-                yield pa.RecordBatch.from_arrays(columns, names=["file_id", "frame_idx", "w", "h", "gray"])
+                yield pa.RecordBatch.from_arrays(columns, names=["file_id", "frame_idx", "w", "h", "rgb" if rgb else "gray"])
 
     return run
 
 
-def _rasters(files, side: int = 64):
-    """A gray raster for each file. Files are dealt out first, so that pixels are made where they are used."""
-    tasks = 2 * files.sparkSession.sparkContext.defaultParallelism
-    return files.repartition(tasks, "file_id").mapInArrow(_decoder(side), S.FRAME)
+def _dealt(files):
+    """Files dealt out, so that pixels are made where they are used."""
+    return files.repartition(2 * files.sparkSession.sparkContext.defaultParallelism, "file_id")
+
+
+def _rasters(v):
+    """A gray raster for each file."""
+    return _dealt(_files(v)).mapInArrow(_decoder(), S.FRAME)
 
 
 #: The pixel formula in DuckDB, at a place given by SQL terms.
@@ -181,14 +187,14 @@ AROUND = " - ".join(["4 * g", *(_pixel("k", x, y) for x, y in (("x - 1", "y"), (
            round(sqrt(greatest(avg(lap * lap) - avg(lap) * avg(lap), 0)), 6) AS lap_std, round(any_value(noise_floor), 6) AS noise_floor
     FROM q JOIN noise USING (k) GROUP BY q.k""")
 def frame_metrics(v):
-    rows = frames.frame_metrics(_rasters(_files(v)), wanted=frames.METRIC_NAMES[:7])
+    rows = frames.frame_metrics(_rasters(v), wanted=frames.METRIC_NAMES[:7])
     return rows.withColumns({c: F.round(c, 6) for c in ("gray_std", "lap_std", "noise_floor")})
 
 
 @query()
 def frame_marks(v):
     """Lens dirt and perceptual hash of each raster."""
-    return frames.frame_metrics(_rasters(_files(v)), wanted=["dirt_conf", "dup_hash"])
+    return frames.frame_metrics(_rasters(v), wanted=["dirt_conf", "dup_hash"])
 
 
 @query("", f"""
@@ -220,7 +226,7 @@ def _distances(a: str, b: str) -> str:
     SELECT file_id, CAST(frame_idx AS INTEGER) AS frame_idx, CAST(coalesce(list_position(dr, list_min(dr)) - 9, 0) AS INTEGER) AS dy,
            CAST(coalesce(list_position(dc, list_min(dc)) - 9, 0) AS INTEGER) AS dx, round(coalesce(greatest(list_min(dr), list_min(dc)), 0), 6) AS dist FROM d""")
 def frame_shifts(v):
-    clips = _rasters(_files(v)).withColumn("frame_idx", (F.col("file_id") % 10).cast("int")).withColumn("file_id", F.floor(F.col("file_id") / 10))
+    clips = _rasters(v).withColumn("frame_idx", (F.col("file_id") % 10).cast("int")).withColumn("file_id", F.floor(F.col("file_id") / 10))
     return frames.shifts(frames.projections(clips)).withColumn("dist", F.round("dist", 6))
 
 
@@ -232,9 +238,11 @@ def frame_shifts(v):
     a AS (SELECT file_id, avg(blur) AS blur, avg(noise) AS noise, avg(dirt) AS dirt FROM s GROUP BY file_id)
     SELECT file_id, round(blur, 6) AS blur, round(noise, 6) AS noise, round(dirt, 6) AS dirt, blur > 0.86 OR noise > 0.29 OR dirt > 0.66 AS suspect FROM a""")
 def ai_scores(v):
-    rasters = _rasters(_files(v), 32)
-    rgb = rasters.withColumn("rgb", F.concat("gray", "gray", "gray")).withColumn("frame_idx", ((F.col("file_id") % 6) * 50).cast("int")).withColumn("file_id", F.floor(F.col("file_id") / 6))
-    return verdict.ai_votes(frames.scored(verdict.ai_frames(rgb), lambda: frames.stub_scorer)).withColumns({c: F.round(c, 6) for c in ("blur", "noise", "dirt")})
+    in_clip = ((F.col("file_id") % 6) * 50).cast("int")
+    voting = verdict.ai_frames(_files(v).withColumn("frame_idx", in_clip))  # the others are not even made
+    scores = frames.scored(_dealt(voting.select("file_id")), lambda: frames.stub_scorer, decode=_decoder(32, rgb=True))
+    clips = scores.withColumn("frame_idx", in_clip).withColumn("file_id", F.floor(F.col("file_id") / 6))
+    return verdict.ai_votes(clips).withColumns({c: F.round(c, 6) for c in ("blur", "noise", "dirt")})
 
 
 FLAGS = """CASE WHEN corrupted THEN 2 ELSE CASE WHEN gray_std < {blank} THEN 4 ELSE 0 END + CASE WHEN dirty THEN 8 ELSE 0 END + CASE WHEN gray_std >= {blank} AND lap_std < {blur} THEN 16 ELSE 0 END

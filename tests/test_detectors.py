@@ -339,3 +339,52 @@ def test_wanted_metrics_are_those_of_all(spark):
             cells = [gray[y : y + 16, x : x + 16].std() for y in range(0, gray.shape[0] - 15, 16) for x in range(0, gray.shape[1] - 15, 16)]
             assert every[k]["lap_std"] == pytest.approx(lap.std())
             assert every[k]["noise_floor"] == pytest.approx(sorted(cells)[len(cells) // 10] if min(gray.shape) >= 32 else 0)
+
+
+def test_small_images_are_scored_in_their_own_pixels(spark):
+    """For a scorer of any size the rows are those of enlarged crops; where pixels would not be repeated as often, crops are enlarged."""
+    rng = np.random.default_rng(9)
+    sizes = {(32, 32): (1, 32), (32, 64): (3, 32), (28, 56): (3, 28), (224, 300): (3, 224), (56, 59): None, (20, 30): None, (300, 240): (9, 224)}
+    images = []
+    for (h, w), own in sizes.items():
+        stack = rng.integers(0, 256, (5, h, w, 3)).astype(np.uint8)
+        small = frames.own_crops(stack)
+        assert (small is None) == (own is None), (h, w)
+        if own:
+            found, of = small
+            full = [frames.distinct_crops(x) for x in stack]
+            assert found.shape == (5, own[0], 3, own[1], own[1]) and np.array_equal(of, full[0][1])
+            assert np.array_equal(found.repeat(224 // own[1], axis=3).repeat(224 // own[1], axis=4), np.stack([x for x, _ in full]))
+        images += [*stack]
+    images[3][:], images[-1][:] = 255, 255
+
+    def make(any_size):
+        def score(batch):
+            assert batch.shape[2] in ((28, 32, 224) if any_size else (224,)) and batch[0].size * len(batch) <= 4 * 9 * 3 * 224**2
+            if (batch.reshape(len(batch), -1).min(axis=1) == 1).any():
+                raise ValueError("white")
+            return frames.stub_scorer(batch)
+
+        score.any_size = any_size
+        return lambda: score
+
+    rows = [(k, 0, x.shape[1], x.shape[0], bytearray(x.tobytes())) for k, x in enumerate(images)] + [(90, 0, 32, 32, bytearray(5)), (91, 0, 32, 32, None)]
+    some = spark.createDataFrame(rows, "file_id long, frame_idx int, w int, h int, rgb binary").coalesce(1)
+    plain, small = ({r["file_id"]: tuple(r)[1:] for r in frames.scored(some, make(x), at_once=4).collect()} for x in (False, True))
+    assert sorted(plain) == sorted(small) == [k for k in range(35) if k not in (3, 34)]
+    assert all(small[k] == pytest.approx(plain[k], rel=1e-9) for k in plain)
+    paths = some.select(F.col("file_id").alias("path"), "w", "h", "rgb")
+
+    def decode(batches):
+        for part in batches:
+            names = ["file_id", "w", "h", "rgb", "frame_idx"]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([0] * part.num_rows, pa.int32())], names=names)
+
+    assert {r["file_id"]: tuple(r)[1:] for r in frames.scored(paths, make(True), at_once=4, decode=decode).collect()} == small
+
+
+def test_images_of_ai_scores_are_made_where_they_are_scored(spark):
+    """One step in Python, and frames without a vote are left out before it."""
+    lines = QUERIES["ai_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    made = [k for k, x in enumerate(lines) if "MapIn" in x]
+    assert len(made) == 1 and any("% 100) = 0" in x for x in lines[made[0] :]) and not any("gray" in x or "rgb" in x for x in lines)
