@@ -258,6 +258,7 @@ def test_frames_made_where_they_are_compared(spark):
     scene = rng.integers(0, 60, (3, 9, 64)).astype(np.uint8)
     stored = {k: [(f, bytes((scene[f] + rng.integers(0, 40)).tobytes()[: 64 * (7 if k % 5 == 4 else 9)])) for f in range(3) if (k + f) % 4] for k in range(40)}
     stored[7], stored[8], stored[9] = [], [(0, None), (1, b"")], [(k, x[:64] if k == 1 else x) for k, x in stored[13]]
+    stored[20] = [*stored[21], *stored[22]]
     rows = [(k, f, 64, 9, x) for k, own in stored.items() for f, x in own]
 
     def decode(batches):
